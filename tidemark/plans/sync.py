@@ -30,7 +30,7 @@ def _effective_name(j: DataFrame) -> Column:
 
 def plan_sync(listing: DataFrame, catalog: DataFrame, inventory: DataFrame,
               config: DataFrame | None = None, *, as_of, stale_seconds: int = STALE_SECONDS,
-              max_attempts: int = MAX_ATTEMPTS, age_col: str = "updated_at") -> DataFrame:
+              max_attempts: int = MAX_ATTEMPTS, age_col: str = "updated_at", with_flags: bool = False) -> DataFrame:
     """K-01: one action per listed file, first matching rule wins.
 
     ``listing``: ``source_name, file_id, file_name, mime_type, md5, size``;
@@ -78,4 +78,38 @@ def plan_sync(listing: DataFrame, catalog: DataFrame, inventory: DataFrame,
         F.when(action.isin("TRANSFER", "MAX_ATTEMPTS"), reason).alias("reason"),
         F.col("c_id").alias("id"), F.col("c_attempt_count").alias("attempt_count"),
         F.col("o_size").alias("object_size"),
+        *([busy.alias("is_fresh"), F.coalesce(changed, F.lit(False)).alias("checksum_changed"),
+           skip_db.alias("skip_from_catalog"), skip_from_store(F.col("o_checksum"), F.col("md5")).alias("skip_from_store"),
+           (~out_of_attempts).alias("attempts_left")] if with_flags else []),
     )
+
+
+def discover(listing: DataFrame, catalog: DataFrame, config: DataFrame | None = None, *, as_of,
+             sources: list[str] | None = None, order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """K-02: one sync of the given sources (all when ``sources`` is None).
+
+    Returns (next catalog, work list). The upsert keeps unlisted rows, and a changed
+    UPLOADED/CORRUPTED file is re-queued against its pre-upsert checksum (T1). Every listed
+    file is on the work list: re-listing is what retries FAILED files.
+    """
+    from tidemark.operators.catalog import upsert_discovered
+
+    lst = listing if sources is None else listing.where(F.col("source_name").isin(list(sources)))
+    nxt = upsert_discovered(catalog, lst, config, as_of=as_of, order_col=order_col, requeue=True)
+    work = lst.select(*FILE_KEY).distinct()
+    return nxt, work
+
+
+def verify_transfer(transfers: DataFrame, inventory_after: DataFrame) -> DataFrame:
+    """K-03: after copying, the stored size must equal the planned size; otherwise the file
+    fails with ``upload truncated: ..`` (a missing object counts as size 0).
+
+    ``transfers``: plan rows (``source_name, file_id, checksum, size, object_key``). Returns
+    outcomes for ``apply_outcomes``.
+    """
+    inv = inventory_after.select(F.col("object_key").alias("_k"), F.col("object_size").alias("_stored"))
+    j = transfers.join(inv, F.col("object_key") == F.col("_k"), "left")
+    actual = F.coalesce(F.col("_stored"), F.lit(0)).cast("bigint")
+    ok = actual == F.col("size")
+    return j.select(*FILE_KEY, F.when(ok, "ok").otherwise("failed").alias("outcome"), "checksum", "size",
+                    "object_key", F.when(~ok, truncated_message(actual, F.col("size"))).alias("message"))

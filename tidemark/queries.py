@@ -1,7 +1,8 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per operator.
 
-Each binds an operator to the fixture views over the driver tables; the matching DuckDB
-string lives in ``tidemark.oracle_sql`` under the same key.
+Each binds an operator to the fixture views over the driver tables (FIXTURES.md part B);
+the matching DuckDB string lives in ``tidemark.oracle_sql`` under the same key. Computed
+columns carry the same aliases on both sides; doubles are rounded to 6 digits.
 """
 
 from __future__ import annotations
@@ -10,10 +11,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.plans.sync import plan_sync
-from tidemark.sources.fixtures import STALE_SECONDS, fixtures
+from tidemark.functions.checksums import meta_checksum, normalize_checksum
+from tidemark.functions.mime import is_video_like
+from tidemark.functions.paths import bucket_key, expected_key, key_basename, object_key, sanitize_file_name
+from tidemark.functions.probe import parse_probe
+from tidemark.functions.sizes import chunk_ranges, effective_size, sample_offsets
+from tidemark.operators import catalog as cat
+from tidemark.operators.integrity import content_hash, frame_verdict, pixel_stddev
+from tidemark.operators.joins import (
+    FILE_KEY, join_catalog_inventory, join_listing_catalog, not_in_catalog, with_config,
+)
+from tidemark.plans.audit import audit_sources, issue_set
+from tidemark.plans.integrity import diagnose_bytes, frame_samples, quarantine, validate_media
+from tidemark.plans.sync import discover, plan_sync, verify_transfer
+from tidemark.sources.fixtures import CHUNK_BYTES, STALE_SECONDS, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
+CATALOG_COLUMNS = cat.CATALOG_COLUMNS
 
 
 def _as_of(catalog: DataFrame):
@@ -21,14 +35,347 @@ def _as_of(catalog: DataFrame):
     return catalog.select(F.max("updated_at")).scalar()
 
 
-def q_plan_sync(spark: SparkSession, sf: str) -> DataFrame:
-    listing, catalog, inventory = fixtures(spark, sf, "fx_listing", "fx_catalog", "fx_inventory")
-    plan = plan_sync(listing, catalog, inventory, as_of=_as_of(catalog), stale_seconds=STALE_SECONDS)
+def _sync_inputs(spark, sf):
+    return fixtures(spark, sf, "fx_listing", "fx_catalog", "fx_inventory")
+
+
+def _plan(spark, sf, **kw):
+    listing, catalog, inventory = _sync_inputs(spark, sf)
+    return plan_sync(listing, catalog, inventory, as_of=_as_of(catalog), stale_seconds=STALE_SECONDS, **kw), catalog, inventory
+
+
+# ---------------------------------------------------------------- sync planning (K-01)
+
+def q_plan_sync(spark, sf):
+    plan, _, _ = _plan(spark, sf)
     return plan.select("source_name", "file_id", "file_name", "checksum", "size", "object_key",
                        "status", "action", "reason")
 
 
+def q_sync_predicates(spark, sf):
+    plan, _, _ = _plan(spark, sf, with_flags=True)
+    return plan.where(F.col("id").isNotNull()).select(
+        *FILE_KEY, "is_fresh", "checksum_changed", "skip_from_catalog", "skip_from_store", "attempts_left")
+
+
+def q_join_plan_inputs(spark, sf):
+    plan, _, _ = _plan(spark, sf)
+    return plan.select(*FILE_KEY, "id", "object_key", "object_size")
+
+
+# ---------------------------------------------------------------- catalog updates (S-*)
+
+def q_upsert_discovered(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    return cat.upsert_discovered(catalog, listing, as_of=_as_of(catalog)).select(*CATALOG_COLUMNS)
+
+
+def q_discover(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    nxt, _ = discover(listing, catalog, as_of=_as_of(catalog))
+    return nxt.select(*CATALOG_COLUMNS)
+
+
+def q_requeue_changed(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    as_of = _as_of(catalog)
+    upserted = cat.upsert_discovered(catalog, listing, as_of=as_of)
+    return cat.requeue_changed(catalog, upserted, as_of=as_of).select(*CATALOG_COLUMNS)
+
+
+def q_assign_ids(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    fresh = not_in_catalog(listing, catalog).select(*FILE_KEY)
+    return cat.assign_ids(fresh, catalog.select(F.max("id")).scalar()).select(*FILE_KEY, "id")
+
+
+def q_not_in_catalog(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    return not_in_catalog(listing, catalog).select(*FILE_KEY, "file_name")
+
+
+def _verified(spark, sf):
+    plan, catalog, inventory = _plan(spark, sf)
+    outcomes = verify_transfer(plan.where(F.col("action") == "TRANSFER"), inventory)
+    return outcomes, catalog
+
+
+def q_verify_transfer(spark, sf):
+    outcomes, _ = _verified(spark, sf)
+    return outcomes.select(*FILE_KEY, "outcome", "checksum", "size", "object_key", "message")
+
+
+def q_mark_uploaded(spark, sf):
+    outcomes, catalog = _verified(spark, sf)
+    return cat.apply_outcomes(catalog, outcomes.where(F.col("outcome") == "ok"), as_of=_as_of(catalog))
+
+
+def q_mark_failed(spark, sf):
+    outcomes, catalog = _verified(spark, sf)
+    return cat.apply_outcomes(catalog, outcomes.where(F.col("outcome") == "failed"), as_of=_as_of(catalog))
+
+
+def q_reconcile_from_store(spark, sf):
+    plan, catalog, _ = _plan(spark, sf)
+    return cat.reconcile_from_store(plan, catalog, as_of=_as_of(catalog))
+
+
+def q_reset_stale(spark, sf):
+    _, catalog, _ = _sync_inputs(spark, sf)
+    out, _obs = cat.reset_stale(catalog, as_of=_as_of(catalog), older_than=STALE_SECONDS)
+    return out.select(*CATALOG_COLUMNS)
+
+
+def _arrivals(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    old = catalog.select(*FILE_KEY, "file_name", F.col("checksum").alias("md5"), "size", F.lit(0).alias("seq"))
+    new = listing.select(*FILE_KEY, "file_name", "md5", "size", F.lit(1).alias("seq"))
+    return old.unionByName(new)
+
+
+def q_last_wins(spark, sf):
+    return cat.last_wins(_arrivals(spark, sf), FILE_KEY, ["seq"]).select(*FILE_KEY, "file_name", "md5", "size", "seq")
+
+
+def q_key_violations(spark, sf):
+    return cat.key_violations(_arrivals(spark, sf))
+
+
+def q_count_files(spark, sf):
+    _, catalog, _ = _sync_inputs(spark, sf)
+    return cat.count_files(catalog)
+
+
+def q_filter_files(spark, sf):
+    _, catalog, _ = _sync_inputs(spark, sf)
+    return cat.filter_files(catalog, source_name="src3", name_contains="CLIP_").select(*CATALOG_COLUMNS)
+
+
+def q_files_page(spark, sf):
+    _, catalog, _ = _sync_inputs(spark, sf)
+    page, _ = cat.files_page(catalog, status="UPLOADED", name_contains="clip", limit=50)
+    return cat.listing_projection(page)
+
+
+def q_files_page_cursor(spark, sf):
+    _, catalog, _ = _sync_inputs(spark, sf)
+    _, cursor = cat.files_page(catalog, status="UPLOADED", name_contains="clip", limit=50)
+    return cursor
+
+
+def q_cursor_after(spark, sf):
+    _, catalog, _ = _sync_inputs(spark, sf)
+    page, _ = cat.files_page(catalog, source_name="src7", cursor_updated_at="2024-01-20 12:00:00",
+                             cursor_id=500, limit=10)
+    return cat.listing_projection(page)
+
+
+def q_claim_next(spark, sf):
+    _, catalog, _ = _sync_inputs(spark, sf)
+    claimed, _ = cat.claim_next(catalog, as_of=_as_of(catalog), n=25)
+    return claimed.select(*CATALOG_COLUMNS)
+
+
+def q_resolve_by_name(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    return cat.resolve_by_name(listing.select("source_name", "file_name"), catalog)
+
+
+def q_listing_projection(spark, sf):
+    _, catalog, _ = _sync_inputs(spark, sf)
+    return cat.listing_projection(catalog, view="candidates")
+
+
+# ---------------------------------------------------------------- expressions (P-*)
+
+def _files(spark, sf):
+    listing, catalog, inventory = _sync_inputs(spark, sf)
+    return join_listing_catalog(listing, catalog), inventory
+
+
+def q_file_expressions(spark, sf):
+    j, _ = _files(spark, sf)
+    built = object_key("source_name", "file_id", "file_name")
+    return j.select(
+        *FILE_KEY,
+        normalize_checksum("c_checksum").alias("checksum_norm"),
+        sanitize_file_name("file_name").alias("safe_name"),
+        built.alias("built_key"),
+        bucket_key(F.concat(F.lit("//"), built)).alias("bucket_key"),
+        key_basename("c_object_key").alias("key_basename"),
+        is_video_like("mime_type", "file_name").alias("video_like"),
+        effective_size("size", "c_size").alias("effective_size"),
+        expected_key("c_object_key", built).alias("expected_key"),
+    )
+
+
+def q_meta_checksum(spark, sf):
+    _, _, inventory = _sync_inputs(spark, sf)
+    return inventory.select("object_key", meta_checksum("metadata").alias("checksum"))
+
+
+def q_join_listing_catalog(spark, sf):
+    j, _ = _files(spark, sf)
+    return j.select(*FILE_KEY, "file_name", F.col("c_id").alias("id"), F.col("c_status").alias("status"))
+
+
+def q_join_catalog_inventory(spark, sf):
+    _, catalog, inventory = _sync_inputs(spark, sf)
+    j = join_catalog_inventory(catalog, inventory)
+    return j.select("id", "object_key", F.col("o_size").alias("object_size"), F.col("o_checksum").alias("object_checksum"))
+
+
+def q_config_join(spark, sf):
+    listing, _, _ = _sync_inputs(spark, sf)
+    config = listing.groupBy("source_name").agg(
+        F.when(F.min("doc_id") % 2 == 0, F.concat(F.lit("video/"), F.col("source_name"))).alias("object_prefix"))
+    j = with_config(listing, config)
+    return j.select(*FILE_KEY, "object_prefix",
+                    object_key("source_name", "file_id", "file_name", "object_prefix").alias("object_key"))
+
+
+def q_sync_counts(spark, sf):
+    listing, _, _ = _sync_inputs(spark, sf)
+    return (listing.where(is_video_like("mime_type", "file_name")).groupBy("source_name")
+            .agg(F.count(F.lit(1)).alias("discovered")))
+
+
+# ---------------------------------------------------------------- audit (K-04)
+
+def _audit(spark, sf, full=False):
+    listing, catalog, inventory = _sync_inputs(spark, sf)
+    return audit_sources(listing, catalog, inventory, full=full)
+
+
+def _items(df):
+    return df.withColumn("issues", F.array_join("issues", ","))
+
+
+def q_audit_sources(spark, sf):
+    return _items(_audit(spark, sf).items)
+
+
+def q_audit_union(spark, sf):
+    return _items(_audit(spark, sf, full=True).items)
+
+
+def q_audit_summary(spark, sf):
+    return _audit(spark, sf).summary
+
+
+def q_audit_totals(spark, sf):
+    return _audit(spark, sf).totals
+
+
+def q_orphan_objects(spark, sf):
+    items = _audit(spark, sf).items
+    return _items(items.where(F.array_contains("issues", "orphaned_in_store")))
+
+
+def q_issue_set(spark, sf):
+    return issue_set(_audit(spark, sf).items)
+
+
+# ---------------------------------------------------------------- integrity (K-05..K-07)
+
+def _bytes(spark, sf):
+    (b,) = fixtures(spark, sf, "fx_bytes")
+    files = b.select("doc_id", F.concat(F.lit("bytes/"), F.col("doc_id").cast("string")).alias("object_key"),
+                     F.length("source_bytes").cast("bigint").alias("source_size"), "source_md5", "meta_checksum")
+    source = b.select("doc_id", F.col("source_bytes").alias("content"))
+    store = b.where(F.col("stored_bytes").isNotNull()).select("doc_id", F.col("stored_bytes").alias("content"))
+    return files, source, store
+
+
+def q_diagnose_bytes(spark, sf):
+    files, source, store = _bytes(spark, sf)
+    report, _ = diagnose_bytes(files, source, store, key="doc_id", chunk=CHUNK_BYTES)
+    return report
+
+
+def q_diagnose_bytes_full(spark, sf):
+    files, source, store = _bytes(spark, sf)
+    report, _ = diagnose_bytes(files, source, store, key="doc_id", chunk=CHUNK_BYTES, mode="full")
+    return report
+
+
+def q_hash_compare(spark, sf):
+    files, source, store = _bytes(spark, sf)
+    _, compared = diagnose_bytes(files, source, store, key="doc_id", chunk=CHUNK_BYTES)
+    return compared
+
+
+def q_all_ranges_match(spark, sf):
+    from tidemark.operators.integrity import all_ranges_match
+    return all_ranges_match(q_hash_compare(spark, sf), "doc_id")
+
+
+def q_content_hash(spark, sf):
+    (b,) = fixtures(spark, sf, "fx_bytes")
+    return b.select("doc_id", content_hash("source_bytes").alias("source_sha256"),
+                    content_hash("stored_bytes").alias("store_sha256"))
+
+
+def q_chunk_ranges(spark, sf):
+    (b,) = fixtures(spark, sf, "fx_bytes")
+    r = b.select("doc_id", F.explode(chunk_ranges(F.length("source_bytes"), CHUNK_BYTES)).alias("r"))
+    return r.select("doc_id", "r.name", "r.offset", "r.length")
+
+
+def q_range_distinct(spark, sf):
+    from tidemark.operators.setops import range_distinct
+    (b,) = fixtures(spark, sf, "fx_bytes")
+    return range_distinct(b.select("doc_id", F.length("source_bytes").cast("bigint").alias("size")), "doc_id",
+                          CHUNK_BYTES)
+
+
+def _frames(spark, sf):
+    (fr,) = fixtures(spark, sf, "fx_frames")
+    return fr.withColumnRenamed("file_no", "doc_id")
+
+
+def q_pixel_stddev(spark, sf):
+    fr = _frames(spark, sf)
+    return fr.select("doc_id", "sample_no", F.round(pixel_stddev("pixels", "scale"), 6).alias("variance"))
+
+
+def q_frame_verdict(spark, sf):
+    v = frame_verdict(frame_samples(_frames(spark, sf), "doc_id"), "doc_id")
+    return v.select("doc_id", F.col("failed.rel").alias("failed_rel"),
+                    F.round("failed.variance", 6).alias("failed_variance"),
+                    F.round("last_variance", 6).alias("last_variance"), "n_samples")
+
+
+def _validated(spark, sf):
+    (probe,) = fixtures(spark, sf, "fx_probe")
+    return validate_media(probe.select("doc_id", "file_size"), probe.select("doc_id", "probe_json"),
+                          _frames(spark, sf), key="doc_id")
+
+
+def q_validate_media(spark, sf):
+    return _validated(spark, sf).withColumn("variance", F.round("variance", 6))
+
+
+def q_parse_probe(spark, sf):
+    (probe,) = fixtures(spark, sf, "fx_probe")
+    return probe.select("doc_id", parse_probe("probe_json").alias("p")).select("doc_id", "p.*")
+
+
+def q_sample_offsets(spark, sf):
+    (probe,) = fixtures(spark, sf, "fx_probe")
+    s = probe.select("doc_id", F.explode(sample_offsets("file_size")).alias("s"))
+    return s.select("doc_id", "s.rel", "s.offset", "s.min_variance")
+
+
+def q_mark_corrupted(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    v = _validated(spark, sf).join(listing.select("doc_id", *FILE_KEY), "doc_id")
+    return quarantine(catalog, v, as_of=_as_of(catalog))
+
+
 def registry() -> dict[str, Query]:
-    return {
-        "plan_sync": q_plan_sync,
-    }
+    out: dict[str, Query] = {}
+    for name, fn in list(globals().items()):
+        if name.startswith("q_") and callable(fn):
+            out[name[2:]] = fn
+    return out
