@@ -110,9 +110,424 @@ plan AS (
 """, "fx_listing", "fx_catalog", "fx_inventory")
 
 
+
+CAT = ("id, source_name, file_id, file_name, checksum, size, status, object_key, attempt_count, "
+       "last_error, created_at, updated_at")
+AS_OF = AS_OF_SQL
+SYNC_FX = ("fx_listing", "fx_catalog", "fx_inventory")
+
+
+def size_expr(x: str) -> str:
+    return f"TRY_CAST(nullif({strip(f'CAST({x} AS VARCHAR)')}, '') AS BIGINT)"
+
+
+def upsert_sql(requeue: bool, select: str = f"SELECT {CAT} FROM up") -> str:
+    cond = (f"in_c AND in_l AND c_status IN ('UPLOADED', 'CORRUPTED') AND NOT "
+            f"({norm('c_checksum')} IS NOT DISTINCT FROM {norm('md5')})") if requeue else "false"
+    return with_fixtures(f"""
+WITH l0 AS (SELECT source_name, file_id, coalesce(nullif(file_name, ''), 'unnamed') AS nm, md5,
+                   coalesce({size_expr('size')}, 0) AS l_size FROM fx_listing),
+{safe_name_ctes("l0", "nm", "l1")},
+l AS (SELECT *, {key_expr("source_name", None, "file_id")} AS l_key FROM l1),
+uj AS (
+  SELECT coalesce(c.source_name, l.source_name) AS sn, coalesce(c.file_id, l.file_id) AS fid,
+         c.id AS c_id, c.file_name AS c_file_name, c.checksum AS c_checksum, c.size AS c_size,
+         c.status AS c_status, c.object_key AS c_object_key, c.attempt_count AS c_attempt_count,
+         c.last_error AS c_last_error, c.created_at AS c_created_at, c.updated_at AS c_updated_at,
+         l.file_id IS NOT NULL AS in_l, c.file_id IS NOT NULL AS in_c, l.nm, l.md5, l.l_size, l.l_key
+  FROM fx_catalog c FULL OUTER JOIN l ON c.source_name = l.source_name AND c.file_id = l.file_id
+),
+um AS (
+  SELECT c_id AS id, sn AS source_name, fid AS file_id,
+         CASE WHEN in_l THEN nm ELSE c_file_name END AS file_name,
+         CASE WHEN in_l THEN md5 ELSE c_checksum END AS checksum,
+         CASE WHEN in_l THEN l_size ELSE c_size END AS size,
+         CASE WHEN {cond} THEN 'NEW' WHEN in_c THEN c_status ELSE 'NEW' END AS status,
+         CASE WHEN in_l THEN l_key ELSE c_object_key END AS object_key,
+         CASE WHEN in_c THEN c_attempt_count ELSE 0 END AS attempt_count,
+         c_last_error AS last_error,
+         CASE WHEN in_c THEN c_created_at ELSE {AS_OF} END AS created_at,
+         CASE WHEN in_l THEN {AS_OF} ELSE c_updated_at END AS updated_at
+  FROM uj
+),
+up AS (
+  SELECT coalesce(id, (SELECT max(id) FROM fx_catalog)
+                      + row_number() OVER (PARTITION BY id IS NULL ORDER BY source_name, file_id)) AS id,
+         * EXCLUDE (id)
+  FROM um
+)
+{select}
+""", *SYNC_FX)
+
+
+def outcomes_sql(filter_: str) -> str:
+    """Plan -> TRANSFER rows -> verify against the inventory -> outcomes CTE ``oc``."""
+    return f""",
+tr AS (SELECT * FROM plan WHERE action = 'TRANSFER'),
+vt AS (SELECT tr.*, coalesce(i.object_size, 0) AS actual FROM tr LEFT JOIN fx_inventory i ON i.object_key = tr.object_key),
+oc_all AS (
+  SELECT source_name, file_id, CASE WHEN actual = size THEN 'ok' ELSE 'failed' END AS outcome, checksum, size,
+         object_key,
+         CASE WHEN actual <> size THEN 'upload truncated: store=' || format('{{:,}}', actual) || ' != source='
+              || format('{{:,}}', size) || ' (lost ' || format('{{:,}}', size - actual) || ' bytes)' END AS message
+  FROM vt
+),
+oc AS (SELECT * FROM oc_all WHERE {filter_})"""
+
+
+def apply_sql(outcomes: str = "oc") -> str:
+    return f"""
+SELECT c.id, c.source_name, c.file_id, c.file_name,
+       CASE WHEN o.outcome = 'ok' THEN o.checksum ELSE c.checksum END AS checksum,
+       CASE WHEN o.outcome = 'ok' THEN o.size ELSE c.size END AS size,
+       CASE o.outcome WHEN 'ok' THEN 'UPLOADED' WHEN 'failed' THEN 'FAILED' WHEN 'corrupted' THEN 'CORRUPTED'
+            ELSE c.status END AS status,
+       CASE WHEN o.outcome = 'ok' THEN o.object_key ELSE c.object_key END AS object_key,
+       CASE o.outcome WHEN 'ok' THEN 0 WHEN 'failed' THEN c.attempt_count + 1 ELSE c.attempt_count END AS attempt_count,
+       CASE o.outcome WHEN 'ok' THEN NULL WHEN 'failed' THEN substring(coalesce(o.message, ''), 1, 4000)
+            WHEN 'corrupted' THEN substring(coalesce(nullif(o.message, ''), 'validation failed'), 1, 4000)
+            ELSE c.last_error END AS last_error,
+       c.created_at,
+       CASE WHEN o.outcome IN ('ok', 'failed', 'corrupted') THEN {AS_OF} ELSE c.updated_at END AS updated_at
+FROM fx_catalog c LEFT JOIN {outcomes} o ON o.source_name = c.source_name AND o.file_id = c.file_id"""
+
+
+ARRIVALS = """arrivals AS (
+  SELECT source_name, file_id, file_name, checksum AS md5, size, 0 AS seq FROM fx_catalog
+  UNION ALL SELECT source_name, file_id, file_name, md5, size, 1 AS seq FROM fx_listing)"""
+
+FILES_COLS = CAT
+
+
+def page_sql(where: str, limit: int) -> str:
+    return with_fixtures(f"SELECT {FILES_COLS} FROM fx_catalog WHERE {where} "
+                         f"ORDER BY updated_at DESC, id DESC LIMIT {limit}", *SYNC_FX)
+
+
+def audit_sql(full: bool, select: str) -> str:
+    o_ck = meta_checksum("i.meta_key", "i.meta_value") if full else "CAST(NULL AS VARCHAR)"
+    ck = (f"""CASE WHEN o_key IS NOT NULL AND coalesce(source_md5, '') <> '' AND coalesce(o_checksum, '') <> ''
+                       AND {norm('source_md5')} <> {norm('o_checksum')} THEN 'checksum_mismatch' END,""" if full else "")
+    return with_fixtures(f"""
+WITH cfg AS (SELECT DISTINCT source_name, regexp_replace({strip('source_name')}, '^/+|/+$', '', 'g') AS prefix
+             FROM fx_listing),
+objs AS (SELECT cfg.source_name, i.object_key, i.object_size, {o_ck} AS o_checksum
+         FROM fx_inventory i JOIN cfg ON starts_with(i.object_key, cfg.prefix)),
+files AS (SELECT source_name, file_id, coalesce(file_name, '') AS file_name, md5 AS source_md5,
+                 coalesce({size_expr('size')}, 0) AS source_size
+          FROM fx_listing WHERE source_name IN (SELECT source_name FROM cfg)),
+fa AS (SELECT f.*, c.status, c.object_key AS expected_key, o.object_key AS o_key, o.object_size AS o_size,
+              o.o_checksum
+       FROM files f
+       LEFT JOIN fx_catalog c ON c.source_name = f.source_name AND c.file_id = f.file_id
+       LEFT JOIN objs o ON o.source_name = f.source_name AND o.object_key = c.object_key),
+fi AS (SELECT *, list_filter([
+          CASE WHEN o_key IS NULL THEN 'missing_in_store' END,
+          CASE WHEN o_key IS NOT NULL AND source_size > 0 AND o_size <> source_size THEN 'size_mismatch' END,
+          {ck}
+          CASE WHEN status IS NULL THEN 'not_in_db'
+               WHEN status = 'UPLOADED' AND o_key IS NULL THEN 'db_inconsistent'
+               WHEN status NOT IN ('UPLOADED', 'PROCESSING') AND o_key IS NOT NULL THEN 'db_inconsistent' END
+        ], lambda x: x IS NOT NULL) AS issues
+       FROM fa),
+file_items AS (SELECT source_name, file_id, file_name, source_md5, source_size, expected_key AS object_key,
+                      o_size AS object_size, o_checksum AS object_checksum, status, issues
+               FROM fi WHERE len(issues) > 0),
+matched AS (SELECT DISTINCT source_name, o_key AS object_key FROM fa WHERE o_key IS NOT NULL),
+owners AS (SELECT source_name, object_key, arg_max(file_id, id) AS file_id, arg_max(file_name, id) AS file_name,
+                  arg_max(status, id) AS status
+           FROM fx_catalog WHERE coalesce(object_key, '') <> '' GROUP BY source_name, object_key),
+orph AS (SELECT o.source_name, coalesce(w.file_id, 'unknown') AS file_id,
+                coalesce(w.file_name, regexp_extract(o.object_key, '[^/]*$')) AS file_name,
+                CAST(NULL AS VARCHAR) AS source_md5, CAST(0 AS BIGINT) AS source_size, o.object_key,
+                o.object_size, CAST(NULL AS VARCHAR) AS object_checksum, w.status, ['orphaned_in_store'] AS issues
+         FROM objs o LEFT JOIN owners w ON w.source_name = o.source_name AND w.object_key = o.object_key
+         WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.source_name = o.source_name AND m.object_key = o.object_key)),
+orphans AS (SELECT * FROM orph x
+            WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.source_name = x.source_name AND f.file_id = x.file_id)),
+items AS (SELECT * FROM file_items UNION ALL SELECT * FROM orphans)
+{select}
+""", *SYNC_FX)
+
+
+ITEMS = ("source_name, file_id, file_name, source_md5, source_size, object_key, object_size, object_checksum, "
+         "status, array_to_string(issues, ',') AS issues")
+
+
+def bytes_sql(select: str, full: bool = False) -> str:
+    return with_fixtures(f"""
+WITH files AS (SELECT doc_id, 'bytes/' || CAST(doc_id AS VARCHAR) AS object_key, length(source_bytes) AS source_size,
+                      length(stored_bytes) AS store_size, source_md5, meta_checksum, source_bytes, stored_bytes
+               FROM fx_bytes),
+hashed AS (SELECT * FROM files WHERE store_size IS NOT NULL AND source_size = store_size),
+rb AS (SELECT doc_id, source_size AS s, least(source_size, {CHUNK_BYTES}) AS ln FROM hashed WHERE source_size > 0),
+rr AS (SELECT doc_id, 'head' AS name, 0 AS p, CAST(0 AS BIGINT) AS off, ln FROM rb
+       UNION ALL SELECT doc_id, 'middle', 1, (s - ln) // 2, ln FROM rb
+       UNION ALL SELECT doc_id, 'tail', 2, s - ln, ln FROM rb),
+ranges AS (SELECT * FROM rr QUALIFY row_number() OVER (PARTITION BY doc_id, off, ln ORDER BY p) = 1),
+cmp AS (SELECT r.doc_id, r.name, r.off AS "offset", r.ln AS length,
+               sha256(substring(h.source_bytes, r.off + 1, r.ln)) AS source_sha256,
+               sha256(substring(h.stored_bytes, r.off + 1, r.ln)) AS store_sha256
+        FROM ranges r JOIN hashed h USING (doc_id)),
+cmpm AS (SELECT *, coalesce(source_sha256 = store_sha256, false) AS match FROM cmp),
+agg AS (SELECT doc_id, count(*) AS n_ranges, CAST(sum(CASE WHEN match THEN 1 ELSE 0 END) AS BIGINT) AS ranges_matched,
+               bool_or(NOT match) AS any_mismatch, bool_and(match) AS all_match FROM cmpm GROUP BY doc_id),
+fullm AS (SELECT doc_id, sha256(source_bytes) = sha256(stored_bytes) AS full_match FROM hashed),
+rep AS (
+  SELECT f.doc_id, f.object_key, CAST(f.source_size AS BIGINT) AS source_size, CAST(f.store_size AS BIGINT) AS store_size,
+         CASE WHEN f.store_size IS NOT NULL THEN f.source_size = f.store_size END AS size_match,
+         CASE WHEN coalesce(f.source_md5, '') <> '' AND coalesce(f.meta_checksum, '') <> ''
+              THEN {norm('f.source_md5')} = {norm('f.meta_checksum')} END AS metadata_md5_match,
+         {'CAST(0 AS BIGINT)' if full else 'coalesce(a.n_ranges, 0)'} AS n_ranges,
+         {'CAST(0 AS BIGINT)' if full else 'coalesce(a.ranges_matched, 0)'} AS ranges_matched,
+         {'fm.full_match' if full else 'CAST(NULL AS BOOLEAN)'} AS full_sha256_match,
+         {'false' if full else 'coalesce(a.any_mismatch, false)'} AS any_mismatch,
+         {'CAST(NULL AS BOOLEAN)' if full else 'a.all_match'} AS all_match
+  FROM files f LEFT JOIN agg a USING (doc_id) LEFT JOIN fullm fm USING (doc_id)
+),
+verdicts AS (
+  SELECT *, CASE WHEN coalesce(object_key, '') = '' THEN 'missing_store_key'
+                 WHEN store_size IS NULL THEN 'missing_store_object'
+                 WHEN NOT size_match THEN 'bytes_differ_upload_or_storage_suspect'
+                 WHEN coalesce(NOT full_sha256_match, false) THEN 'bytes_differ_upload_or_storage_suspect'
+                 WHEN any_mismatch THEN 'bytes_differ_upload_or_storage_suspect'
+                 WHEN coalesce(NOT metadata_md5_match, false) THEN 'metadata_mismatch_upload_or_storage_suspect'
+                 WHEN coalesce(full_sha256_match, false) THEN 'bytes_match_hook_or_splitter_suspect'
+                 WHEN n_ranges > 0 AND coalesce(all_match, false) THEN 'sampled_bytes_match_run_full_for_proof'
+                 ELSE 'inconclusive' END AS verdict
+  FROM rep
+)
+{select}
+""", "fx_bytes")
+
+
+def stddev_expr(pixels: str = "pixels", scale: str = "scale") -> str:
+    return (f"CASE WHEN {pixels} IS NULL THEN NULL WHEN len({pixels}) < 2 THEN 0.0 "
+            f"ELSE list_stddev_samp(list_transform({pixels}, lambda x: CAST(x AS DOUBLE) * {scale})) END")
+
+
+FRAMES_CTE = f"""samples AS (
+  SELECT file_no AS doc_id, rel_offset AS rel, {stddev_expr()} AS variance,
+         CASE WHEN abs(rel_offset - 0.97) < 1e-9 THEN 2.0 ELSE 8.0 END AS min_variance
+  FROM fx_frames),
+fv AS (
+  SELECT doc_id,
+         min(rel) FILTER (WHERE variance < min_variance) AS failed_rel,
+         arg_min(variance, rel) FILTER (WHERE variance < min_variance) AS failed_variance,
+         arg_min(min_variance, rel) FILTER (WHERE variance < min_variance) AS failed_min,
+         arg_max(variance, rel) AS last_variance,
+         count(*) AS n_samples
+  FROM samples WHERE variance IS NOT NULL GROUP BY doc_id)"""
+
+PROBE_CTE = """pr AS (
+  SELECT doc_id, file_id, file_size, probe_json,
+         list_filter(CAST(json_extract(probe_json, '$.streams') AS JSON[]),
+                     lambda s: json_extract_string(s, '$.codec_type') = 'video')[1] AS v
+  FROM fx_probe),
+pp AS (
+  SELECT doc_id, file_size, probe_json, probe_json IS NOT NULL AS probed, v IS NOT NULL AS has_video,
+         coalesce(json_extract_string(v, '$.codec_name'), 'unknown') AS codec,
+         coalesce(TRY_CAST(nullif(json_extract_string(v, '$.width'), '') AS INTEGER), 0) AS width,
+         coalesce(TRY_CAST(nullif(json_extract_string(v, '$.height'), '') AS INTEGER), 0) AS height,
+         TRY_CAST(coalesce(nullif(json_extract_string(probe_json, '$.format.duration'), ''),
+                           nullif(json_extract_string(v, '$.duration'), '')) AS DOUBLE) AS duration_sec
+  FROM pr)"""
+
+
+def validate_sql(select: str) -> str:
+    return with_fixtures(f"""
+WITH {FRAMES_CTE},
+{PROBE_CTE},
+vm AS (
+  SELECT pp.*, fv.failed_rel, fv.failed_variance, fv.failed_min, fv.last_variance,
+         file_size < 5242880 AS too_small, NOT probed AS no_probe, NOT has_video AS no_video,
+         duration_sec IS NOT NULL AND duration_sec < 5.0 AS short
+  FROM pp LEFT JOIN fv ON fv.doc_id = pp.doc_id),
+val AS (
+  SELECT doc_id,
+         CASE WHEN too_small THEN 'file too small: ' || format('{{:,}}', file_size) || ' B < 5,242,880 B'
+              WHEN no_probe THEN 'probe failed'
+              WHEN no_video THEN 'probe: no video stream found'
+              WHEN short THEN 'duration too short: ' || printf('%.1f', duration_sec) || 's < 5.0s'
+              WHEN failed_rel IS NOT NULL THEN 'frame variance too low at ' || printf('%.0f', failed_rel * 100)
+                   || '%: ' || printf('%.1f', failed_variance) || ' < ' || printf('%.1f', failed_min)
+                   || ' (green / gray / black frame)' END AS reason,
+         NOT (too_small OR no_probe OR no_video) AS probed_ok, short, failed_rel, failed_variance, last_variance,
+         duration_sec, codec, width, height
+  FROM vm),
+vr AS (
+  SELECT doc_id, reason IS NULL AS ok, reason,
+         CASE WHEN probed_ok THEN duration_sec END AS duration_sec, CASE WHEN probed_ok THEN codec END AS codec,
+         CASE WHEN probed_ok THEN width END AS width, CASE WHEN probed_ok THEN height END AS height,
+         CASE WHEN NOT probed_ok OR short THEN NULL WHEN failed_rel IS NOT NULL THEN failed_variance
+              ELSE last_variance END AS variance
+  FROM val)
+{select}
+""", "fx_probe", "fx_frames", "fx_listing", "fx_catalog")
+
+
 def oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["plan_sync"] = plan_sync_sql(
         "SELECT source_name, file_id, file_name, checksum, size, object_key, status, action, "
         "CASE WHEN action IN ('TRANSFER', 'MAX_ATTEMPTS') THEN why END AS reason FROM plan")
+    q["sync_predicates"] = plan_sync_sql(f"""
+SELECT source_name, file_id, busy AS is_fresh,
+       NOT ({norm('c_checksum')} IS NOT DISTINCT FROM {norm('md5')}) AS checksum_changed,
+       skip_db AS skip_from_catalog,
+       coalesce(o_checksum <> '' AND md5 <> '' AND {norm('o_checksum')} = {norm('md5')}, false) AS skip_from_store,
+       NOT (coalesce(c_attempt_count, 0) >= 5) AS attempts_left
+FROM g WHERE c_present""")
+    q["join_plan_inputs"] = plan_sync_sql("SELECT source_name, file_id, id, object_key, object_size FROM plan")
+
+    q["upsert_discovered"] = upsert_sql(False)
+    q["discover"] = upsert_sql(True)
+    q["requeue_changed"] = upsert_sql(False, f"""
+SELECT up.id, up.source_name, up.file_id, up.file_name, up.checksum, up.size, 'NEW' AS status, up.object_key,
+       up.attempt_count, up.last_error, up.created_at, {AS_OF} AS updated_at
+FROM up JOIN fx_catalog o ON o.source_name = up.source_name AND o.file_id = up.file_id
+WHERE up.status IN ('UPLOADED', 'CORRUPTED')
+  AND NOT ({norm('o.checksum')} IS NOT DISTINCT FROM {norm('up.checksum')})""")
+    anti = ("FROM fx_listing l WHERE NOT EXISTS (SELECT 1 FROM fx_catalog c "
+            "WHERE c.source_name = l.source_name AND c.file_id = l.file_id)")
+    q["assign_ids"] = with_fixtures(
+        "SELECT source_name, file_id, (SELECT max(id) FROM fx_catalog) + row_number() OVER "
+        f"(ORDER BY source_name, file_id) AS id {anti}", *SYNC_FX)
+    q["not_in_catalog"] = with_fixtures(f"SELECT source_name, file_id, file_name {anti}", *SYNC_FX)
+
+    q["verify_transfer"] = plan_sync_sql(outcomes_sql("true") + "\nSELECT * FROM oc")
+    q["mark_uploaded"] = plan_sync_sql(outcomes_sql("outcome = 'ok'") + apply_sql())
+    q["mark_failed"] = plan_sync_sql(outcomes_sql("outcome = 'failed'") + apply_sql())
+    q["reconcile_from_store"] = plan_sync_sql(""",
+oc AS (SELECT source_name, file_id, 'ok' AS outcome, checksum, size, object_key, NULL AS message
+       FROM plan WHERE action = 'RECONCILE')""" + apply_sql())
+    q["reset_stale"] = with_fixtures(f"""
+WITH s AS (SELECT *, coalesce(status = 'PROCESSING' AND updated_at < {AS_OF} - INTERVAL ({STALE_SECONDS}) SECOND,
+                              false) AS stale FROM fx_catalog)
+SELECT id, source_name, file_id, file_name, checksum, size, CASE WHEN stale THEN 'FAILED' ELSE status END AS status,
+       object_key, attempt_count, CASE WHEN stale THEN 'stale_processing_reset' ELSE last_error END AS last_error,
+       created_at, CASE WHEN stale THEN {AS_OF} ELSE updated_at END AS updated_at
+FROM s""", *SYNC_FX)
+    q["last_wins"] = with_fixtures(f"""WITH {ARRIVALS}
+SELECT source_name, file_id, file_name, md5, size, seq FROM arrivals
+QUALIFY row_number() OVER (PARTITION BY source_name, file_id ORDER BY seq DESC) = 1""", *SYNC_FX)
+    q["key_violations"] = with_fixtures(f"""WITH {ARRIVALS}
+SELECT source_name, file_id, count(*) AS n_rows FROM arrivals GROUP BY source_name, file_id HAVING count(*) > 1""",
+                                        *SYNC_FX)
+    q["count_files"] = with_fixtures("SELECT count(*) AS n_files FROM fx_catalog", *SYNC_FX)
+    q["filter_files"] = with_fixtures(
+        f"SELECT {CAT} FROM fx_catalog WHERE source_name = 'src3' AND file_name ILIKE '%CLIP_%'", *SYNC_FX)
+    q["files_page"] = page_sql("status = 'UPLOADED' AND file_name ILIKE '%clip%'", 50)
+    q["files_page_cursor"] = with_fixtures("""
+WITH t AS (SELECT updated_at, id, row_number() OVER (ORDER BY updated_at DESC, id DESC) AS n
+           FROM fx_catalog WHERE status = 'UPLOADED' AND file_name ILIKE '%clip%')
+SELECT updated_at AS cursor_updated_at, id AS cursor_id FROM t
+WHERE n = 50 AND EXISTS (SELECT 1 FROM t WHERE n = 51)""", *SYNC_FX)
+    q["cursor_after"] = page_sql(
+        "source_name = 'src7' AND (updated_at < TIMESTAMP '2024-01-20 12:00:00' OR "
+        "(updated_at = TIMESTAMP '2024-01-20 12:00:00' AND id < 500))", 10)
+    q["claim_next"] = with_fixtures(f"""
+SELECT id, source_name, file_id, file_name, checksum, size, 'PROCESSING' AS status, object_key, attempt_count,
+       last_error, created_at, {AS_OF} AS updated_at
+FROM fx_catalog WHERE status IN ('NEW', 'FAILED') ORDER BY updated_at, id LIMIT 25""", *SYNC_FX)
+    q["resolve_by_name"] = with_fixtures("""
+WITH req AS (SELECT DISTINCT source_name, file_name FROM fx_listing),
+cand AS (
+  SELECT c.source_name, c.file_name, c.file_id, c.id, c.size, c.status, c.object_key, c.updated_at,
+         count(*) OVER (PARTITION BY c.source_name, c.file_name) AS n_matches,
+         row_number() OVER (PARTITION BY c.source_name, c.file_name ORDER BY c.updated_at DESC, c.id DESC) AS candidate_rank
+  FROM fx_catalog c
+  WHERE EXISTS (SELECT 1 FROM req r WHERE r.source_name = c.source_name AND r.file_name = c.file_name))
+SELECT source_name, file_name, CASE WHEN n_matches = 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome, n_matches,
+       candidate_rank, file_id, id, size, status, object_key, updated_at FROM cand
+UNION ALL
+SELECT r.source_name, r.file_name, 'not_found', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM req r
+WHERE NOT EXISTS (SELECT 1 FROM fx_catalog c WHERE c.source_name = r.source_name AND c.file_name = r.file_name)""",
+                                         *SYNC_FX)
+    q["listing_projection"] = with_fixtures(
+        "SELECT file_id, file_name, size, status, object_key, updated_at FROM fx_catalog", *SYNC_FX)
+
+    q["file_expressions"] = with_fixtures(f"""
+WITH lc AS (SELECT l.source_name, l.file_id, l.file_name, l.mime_type, l.size, c.checksum AS c_checksum,
+                   c.size AS c_size, c.object_key AS c_object_key
+            FROM fx_listing l LEFT JOIN fx_catalog c ON c.source_name = l.source_name AND c.file_id = l.file_id),
+{safe_name_ctes("lc", "file_name", "ls")},
+lk AS (SELECT *, {key_expr("source_name", None, "file_id")} AS built FROM ls)
+SELECT source_name, file_id, {norm('c_checksum')} AS checksum_norm, safe_name, built AS built_key,
+       regexp_replace('//' || built, '^/+', '') AS bucket_key, regexp_extract(c_object_key, '[^/]*$') AS key_basename,
+       {video_like('mime_type', 'file_name')} AS video_like,
+       coalesce({size_expr('size')}, c_size, 0) AS effective_size,
+       coalesce(nullif(c_object_key, ''), built) AS expected_key
+FROM lk""", *SYNC_FX)
+    q["meta_checksum"] = with_fixtures(f"SELECT object_key, {meta_checksum()} AS checksum FROM fx_inventory", *SYNC_FX)
+    q["join_listing_catalog"] = with_fixtures("""
+SELECT l.source_name, l.file_id, l.file_name, c.id, c.status
+FROM fx_listing l LEFT JOIN fx_catalog c ON c.source_name = l.source_name AND c.file_id = l.file_id""", *SYNC_FX)
+    q["join_catalog_inventory"] = with_fixtures(f"""
+SELECT c.id, c.object_key, i.object_size, {meta_checksum('i.meta_key', 'i.meta_value')} AS object_checksum
+FROM fx_catalog c LEFT JOIN fx_inventory i ON i.object_key = c.object_key""", *SYNC_FX)
+    q["config_join"] = with_fixtures(f"""
+WITH cfg AS (SELECT source_name, CASE WHEN min(doc_id) % 2 = 0 THEN 'video/' || source_name END AS object_prefix
+             FROM fx_listing GROUP BY source_name),
+lc AS (SELECT l.source_name, l.file_id, l.file_name, cfg.object_prefix FROM fx_listing l
+       LEFT JOIN cfg ON cfg.source_name = l.source_name),
+{safe_name_ctes("lc", "file_name", "ls")}
+SELECT source_name, file_id, object_prefix, {key_expr("source_name", "object_prefix", "file_id")} AS object_key
+FROM ls""", *SYNC_FX)
+    q["sync_counts"] = with_fixtures(f"""
+SELECT source_name, count(*) AS discovered FROM fx_listing WHERE {video_like('mime_type', 'file_name')}
+GROUP BY source_name""", *SYNC_FX)
+
+    q["audit_sources"] = audit_sql(False, f"SELECT {ITEMS} FROM items")
+    q["audit_union"] = audit_sql(True, f"SELECT {ITEMS} FROM items")
+    q["audit_summary"] = audit_sql(False, """
+SELECT source_name, issue, count(*) AS n FROM (SELECT source_name, unnest(issues) AS issue FROM items)
+GROUP BY source_name, issue""")
+    q["audit_totals"] = audit_sql(False, """
+SELECT c.source_name,
+       coalesce((SELECT count(DISTINCT file_id) FROM files f WHERE f.source_name = c.source_name), 0) AS total_files,
+       coalesce((SELECT count(DISTINCT object_key) FROM objs o WHERE o.source_name = c.source_name), 0) AS total_objects,
+       CAST(greatest(0, coalesce((SELECT count(DISTINCT file_id) FROM files f WHERE f.source_name = c.source_name), 0)
+                       - coalesce((SELECT count(DISTINCT file_id) FROM file_items i WHERE i.source_name = c.source_name), 0))
+            AS BIGINT) AS synced_ok
+FROM (SELECT DISTINCT source_name FROM cfg) c""")
+    q["orphan_objects"] = audit_sql(False, f"SELECT {ITEMS} FROM orphans")
+    q["issue_set"] = audit_sql(False, "SELECT DISTINCT source_name, file_id FROM file_items")
+
+    rep_cols = ("doc_id, object_key, source_size, store_size, size_match, metadata_md5_match, n_ranges, "
+                "ranges_matched, full_sha256_match, verdict")
+    q["diagnose_bytes"] = bytes_sql(f"SELECT {rep_cols}, 'chunks' AS mode FROM verdicts")
+    q["diagnose_bytes_full"] = bytes_sql(f"SELECT {rep_cols}, 'full' AS mode FROM verdicts", full=True)
+    q["hash_compare"] = bytes_sql('SELECT doc_id, name, "offset", length, source_sha256, store_sha256, match FROM cmpm')
+    q["all_ranges_match"] = bytes_sql("SELECT doc_id, n_ranges, ranges_matched, any_mismatch, all_match FROM agg")
+    q["content_hash"] = with_fixtures(
+        "SELECT doc_id, sha256(source_bytes) AS source_sha256, sha256(stored_bytes) AS store_sha256 FROM fx_bytes",
+        "fx_bytes")
+    ranges_all = f"""
+WITH rb AS (SELECT doc_id, length(source_bytes) AS s, least(length(source_bytes), {CHUNK_BYTES}) AS ln
+            FROM fx_bytes WHERE length(source_bytes) > 0),
+rr AS (SELECT doc_id, 'head' AS name, 0 AS p, CAST(0 AS BIGINT) AS off, ln FROM rb
+       UNION ALL SELECT doc_id, 'middle', 1, (s - ln) // 2, ln FROM rb
+       UNION ALL SELECT doc_id, 'tail', 2, s - ln, ln FROM rb)
+SELECT doc_id, name, off AS "offset", CAST(ln AS BIGINT) AS length FROM rr
+QUALIFY row_number() OVER (PARTITION BY doc_id, off, ln ORDER BY p) = 1"""
+    q["chunk_ranges"] = with_fixtures(ranges_all, "fx_bytes")
+    q["range_distinct"] = with_fixtures(ranges_all, "fx_bytes")
+    q["pixel_stddev"] = with_fixtures(
+        f"SELECT file_no AS doc_id, sample_no, round({stddev_expr()}, 6) AS variance FROM fx_frames", "fx_frames")
+    q["frame_verdict"] = with_fixtures(f"""WITH {FRAMES_CTE}
+SELECT doc_id, failed_rel, round(failed_variance, 6) AS failed_variance, round(last_variance, 6) AS last_variance,
+       n_samples FROM fv""", "fx_frames")
+    q["validate_media"] = validate_sql(
+        "SELECT doc_id, ok, reason, duration_sec, codec, width, height, round(variance, 6) AS variance FROM vr")
+    q["parse_probe"] = with_fixtures(f"""WITH {PROBE_CTE}
+SELECT doc_id, probed, has_video, codec, width, height, duration_sec FROM pp""", "fx_probe")
+    q["sample_offsets"] = with_fixtures("""
+SELECT doc_id, rel, (CAST(floor(CAST(file_size AS DOUBLE) * rel) AS BIGINT) // 1048576) * 1048576 AS "offset",
+       CASE WHEN rel = 0.97 THEN 2.0 ELSE 8.0 END AS min_variance
+FROM fx_probe, (SELECT CAST(unnest([0.0, 0.33, 0.66, 0.97]) AS DOUBLE) AS rel)""", "fx_probe")
+    q["mark_corrupted"] = validate_sql(""",
+oc AS (SELECT l.source_name, l.file_id, 'corrupted' AS outcome, NULL AS checksum, NULL AS size, NULL AS object_key,
+              vr.reason AS message
+       FROM vr JOIN fx_listing l ON l.doc_id = vr.doc_id WHERE vr.ok = false)""" + apply_sql())
     return q

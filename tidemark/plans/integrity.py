@@ -9,7 +9,9 @@ from tidemark.functions.formatting import duration_message, too_small_message, v
 from tidemark.functions.probe import parse_probe
 from tidemark.functions.sizes import MIB, SAMPLE_POINTS
 from tidemark.operators.catalog import apply_outcomes
-from tidemark.operators.integrity import all_ranges_match, frame_verdict, hash_compare, pixel_stddev, range_hashes
+from tidemark.operators.integrity import (
+    all_ranges_match, content_hash, frame_verdict, hash_compare, pixel_stddev, range_hashes,
+)
 
 # Byte-diagnostic verdicts (store names generalised).
 MISSING_KEY = "missing_store_key"
@@ -46,14 +48,14 @@ def diagnose_bytes(files: DataFrame, source: DataFrame, store: DataFrame, *, key
                        normalize_checksum("source_md5") == normalize_checksum("meta_checksum"))
     f = f.withColumn("size_match", size_match).withColumn("metadata_md5_match", md5_match)
 
-    src_h = range_hashes(source, key, content, chunk, full=full)
-    dst_h = range_hashes(store, key, content, chunk, full=full)
+    src_h = range_hashes(source, key, content, chunk)
+    dst_h = range_hashes(store, key, content, chunk)
     # Only files whose verdict depends on the bytes take part in the comparison.
     hashed = f.where((F.coalesce(F.col("object_key"), F.lit("")) != "") & F.col("size_match")).select(key)
     compared = hash_compare(src_h.join(hashed, key, "left_semi"), dst_h, key) if not full else None
     if full:
-        s_full = src_h.select(key, F.col("full_sha256").alias("s_full")).distinct()
-        d_full = dst_h.select(key, F.col("full_sha256").alias("d_full")).distinct()
+        s_full = source.select(key, content_hash(content).alias("s_full"))
+        d_full = store.select(key, content_hash(content).alias("d_full"))
         fm = hashed.join(s_full, key, "left").join(d_full, key, "left").select(
             key, F.when(hashed[key].isNotNull(), F.coalesce(F.col("s_full") == F.col("d_full"), F.lit(False)))
             .alias("full_sha256_match"))
