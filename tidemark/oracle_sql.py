@@ -530,4 +530,66 @@ FROM fx_probe, (SELECT CAST(unnest([0.0, 0.33, 0.66, 0.97]) AS DOUBLE) AS rel)""
 oc AS (SELECT l.source_name, l.file_id, 'corrupted' AS outcome, NULL AS checksum, NULL AS size, NULL AS object_key,
               vr.reason AS message
        FROM vr JOIN fx_listing l ON l.doc_id = vr.doc_id WHERE vr.ok = false)""" + apply_sql())
+
+    # ---------------------------------------------------------------- retrieval
+    uws = (r"'^[\x{09}-\x{0d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+"
+           r"|[\x{09}-\x{0d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+$'")
+    texts = f"""texts AS (
+  SELECT doc_id, source, '/corpus/' || source || '/docs/doc_' || CAST(doc_id AS VARCHAR) || '.md' AS path,
+         CAST(n_chars AS VARCHAR) AS mtime, regexp_replace(text, {uws}, '', 'g') AS text
+  FROM documents),
+st AS (SELECT * FROM texts WHERE text <> '')"""
+    nchunks = ("CASE WHEN length(text) = 0 THEN 0 ELSE 1 + CAST(ceil(greatest(length(text) - 2000, 0) / 1800) "
+               "AS BIGINT) END")
+    built = f"""WITH {texts},
+cn AS (SELECT *, {nchunks} AS n FROM st),
+ce AS (SELECT *, unnest(range(0, n)) AS j FROM cn),
+idx AS (
+  SELECT path || '::' || CAST(j AS VARCHAR) || '::' || mtime AS chunk_id, path AS file,
+         source || '/docs/doc_' || CAST(doc_id AS VARCHAR) || '.md' AS rel_path, source AS repo,
+         CAST(j AS BIGINT) AS chunk, n AS total_chunks, path || ':' || mtime AS file_mtime_key,
+         substring(text, CAST(j AS BIGINT) * 1800 + 1, 2000) AS text
+  FROM ce)"""
+    q["read_text"] = f"WITH {texts} SELECT doc_id, text FROM st"
+    q["chunk_text"] = f"""
+WITH cn AS (SELECT doc_id, text, {nchunks} AS n FROM documents WHERE text IS NOT NULL),
+ce AS (SELECT *, unnest(range(0, n)) AS j FROM cn)
+SELECT doc_id, CAST(j AS BIGINT) AS chunk, n AS total_chunks, substring(text, CAST(j AS BIGINT) * 1800 + 1, 2000) AS text
+FROM ce"""
+    q["build_index"] = built + "\nSELECT chunk_id, file, rel_path, repo, chunk, total_chunks, file_mtime_key, text FROM idx"
+    q["chunk_keys"] = built + "\nSELECT file, chunk, chunk_id, file_mtime_key FROM idx"
+    q["corpus_stats"] = built + "\nSELECT repo, count(DISTINCT file) AS n_files, count(*) AS n_chunks FROM idx GROUP BY repo"
+    q["corpus_labels"] = f"""WITH {texts}
+SELECT path, source AS repo, source || '/docs/doc_' || CAST(doc_id AS VARCHAR) || '.md' AS rel_path FROM texts"""
+    q["unchanged_files"] = f"""WITH {texts},
+keys AS (SELECT path || ':' || CASE WHEN doc_id % 3 = 0 THEN mtime ELSE mtime || '.old' END AS k
+         FROM texts WHERE doc_id % 3 <> 2)
+SELECT path, mtime FROM texts WHERE path || ':' || mtime NOT IN (SELECT k FROM keys)"""
+    snip = ("'    ' || replace(substring({t}, 1, 400), chr(10), chr(10) || '    ') || CASE WHEN length({t}) > 400 "
+            "THEN chr(10) || '    ... (' || CAST(length({t}) AS VARCHAR) || ' chars total)' ELSE '' END")
+    q["snippet"] = f"SELECT doc_id, {snip.format(t='text')} AS snippet FROM documents"
+    scored = """
+WITH qv AS (SELECT query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM fx_query),
+cv AS (SELECT chunk_id, repo, rel_path, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM fx_corpus),
+sc AS (SELECT qv.query_id, cv.chunk_id, cv.repo, cv.rel_path,
+              list_dot_product(qv.v, cv.v) / (sqrt(list_dot_product(qv.v, qv.v)) * sqrt(list_dot_product(cv.v, cv.v))) AS raw
+       FROM qv, cv),
+sr AS (SELECT *, round(raw, 6) AS score FROM sc)"""
+    top = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank"
+    q["knn"] = with_fixtures(scored + f"\nSELECT query_id, {top}, chunk_id, score FROM sr QUALIFY rank <= 5",
+                             "fx_query", "fx_corpus")
+    q["knn_repo"] = with_fixtures(scored + f"\nSELECT query_id, {top}, chunk_id, score, repo FROM sr "
+                                  "WHERE repo = 'repo3' QUALIFY rank <= 5", "fx_query", "fx_corpus")
+    q["knn_postfilter"] = with_fixtures(scored + f""",
+wide AS (SELECT query_id, {top}, chunk_id, score, rel_path FROM sr QUALIFY rank <= 15),
+kept AS (SELECT query_id, rank AS wide_rank, chunk_id, score, rel_path FROM wide WHERE ends_with(rel_path, '.py'))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY wide_rank) AS rank, chunk_id, score, rel_path
+FROM kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY wide_rank) <= 5""", "fx_query", "fx_corpus")
+    q["similarity_join"] = with_fixtures(scored + "\nSELECT query_id, chunk_id, score FROM sr WHERE raw >= 0.25",
+                                         "fx_query", "fx_corpus")
+    q["search"] = with_fixtures(scored + f""",
+hits AS (SELECT query_id, {top}, chunk_id, raw, rel_path FROM sr QUALIFY rank <= 5)
+SELECT h.query_id, h.rank, h.rel_path, 'chunk 1/1' AS chunk_label, printf('%.3f', h.raw) AS score_text,
+       {snip.format(t='d.text')} AS snippet
+FROM hits h LEFT JOIN documents d ON d.doc_id = h.chunk_id""", "fx_query", "fx_corpus")
     return q

@@ -25,6 +25,13 @@ from tidemark.plans.audit import audit_sources, issue_set
 from tidemark.plans.integrity import diagnose_bytes, frame_samples, quarantine, validate_media
 from tidemark.plans.sync import discover, plan_sync, verify_transfer
 from tidemark.sources.fixtures import CHUNK_BYTES, STALE_SECONDS, fixtures
+from tidemark.sources.tables import table
+from tidemark.functions.text import file_mtime_key, snippet
+from tidemark.operators.retrieval import (
+    chunk_text, corpus_labels, corpus_stats, hash_embed, knn, knn_postfilter, read_text, similarity_join,
+    unchanged_files,
+)
+from tidemark.plans.index import INDEX_COLUMNS, index_texts, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG_COLUMNS = cat.CATALOG_COLUMNS
@@ -373,6 +380,103 @@ def q_mark_corrupted(spark, sf):
     return quarantine(catalog, v, as_of=_as_of(catalog))
 
 
+# ---------------------------------------------------------------- retrieval (P-14..P-18, R-*, K-08, K-09)
+
+def _doc_texts(spark, sf):
+    docs = table(spark, sf, "documents")
+    path = F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/docs/doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    texts = docs.select("doc_id", path.alias("path"), F.col("n_chars").cast("string").alias("mtime"), "text")
+    roots = docs.select(F.concat(F.lit("/corpus/"), F.col("source")).alias("root")).distinct()
+    return texts, roots
+
+
+def _stripped(spark, sf):
+    texts, roots = _doc_texts(spark, sf)
+    return read_text(texts.withColumn("content", F.col("text").cast("binary")).drop("text")), roots
+
+
+def q_read_text(spark, sf):
+    t, _ = _stripped(spark, sf)
+    return t.select("doc_id", "text")
+
+
+def q_chunk_text(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return chunk_text(docs).select("doc_id", "chunk", "total_chunks", "text")
+
+
+def _built(spark, sf, embed=None):
+    t, roots = _stripped(spark, sf)
+    return index_texts(t.select("path", "mtime", "text"), roots, embed=embed)
+
+
+def q_build_index(spark, sf):
+    return _built(spark, sf).select(*INDEX_COLUMNS)
+
+
+def q_chunk_keys(spark, sf):
+    return _built(spark, sf).select("file", "chunk", "chunk_id", "file_mtime_key")
+
+
+def q_corpus_stats(spark, sf):
+    return corpus_stats(_built(spark, sf))
+
+
+def q_embed_chunks(spark, sf):
+    return _built(spark, sf, embed=hash_embed).select("chunk_id", "embedding")
+
+
+def q_corpus_labels(spark, sf):
+    texts, roots = _doc_texts(spark, sf)
+    return corpus_labels(texts.select("path"), roots).select("path", "repo", "rel_path")
+
+
+def q_unchanged_files(spark, sf):
+    texts, _ = _doc_texts(spark, sf)
+    seen = texts.where(F.col("doc_id") % 3 != 2).select(
+        "path", F.when(F.col("doc_id") % 3 == 0, F.col("mtime")).otherwise(F.concat("mtime", F.lit(".old"))).alias("mtime"))
+    index_keys = seen.select(file_mtime_key("path", "mtime").alias("file_mtime_key"))
+    return unchanged_files(texts.select("path", "mtime"), index_keys).select("path", "mtime")
+
+
+def q_snippet(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", snippet("text").alias("snippet"))
+
+
+def _vectors(spark, sf):
+    corpus, query, docs = fixtures(spark, sf, "fx_corpus", "fx_query", "documents")
+    index = (corpus.join(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id", "left")
+             .withColumn("chunk", F.lit(0).cast("bigint")).withColumn("total_chunks", F.lit(1).cast("bigint")))
+    return query, index
+
+
+def q_knn(spark, sf):
+    query, index = _vectors(spark, sf)
+    return knn(query, index, 5).select("query_id", "rank", "chunk_id", "score")
+
+
+def q_knn_repo(spark, sf):
+    query, index = _vectors(spark, sf)
+    return knn(query, index, 5, where=F.col("repo") == "repo3", keep=["repo"]).select(
+        "query_id", "rank", "chunk_id", "score", "repo")
+
+
+def q_knn_postfilter(spark, sf):
+    query, index = _vectors(spark, sf)
+    return knn_postfilter(query, index, 5, ext="py").select("query_id", "rank", "chunk_id", "score", "rel_path")
+
+
+def q_similarity_join(spark, sf):
+    query, index = _vectors(spark, sf)
+    return similarity_join(query, index, 0.25).select("query_id", "chunk_id", "score")
+
+
+def q_search(spark, sf):
+    query, index = _vectors(spark, sf)
+    return search(query, index, k=5)
+
+
 def registry() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name, fn in list(globals().items()):
