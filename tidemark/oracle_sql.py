@@ -592,4 +592,35 @@ hits AS (SELECT query_id, {top}, chunk_id, raw, rel_path FROM sr QUALIFY rank <=
 SELECT h.query_id, h.rank, h.rel_path, 'chunk 1/1' AS chunk_label, printf('%.3f', h.raw) AS score_text,
        {snip.format(t='d.text')} AS snippet
 FROM hits h LEFT JOIN documents d ON d.doc_id = h.chunk_id""", "fx_query", "fx_corpus")
+
+    # ---------------------------------------------------------------- streams (end state) and file sources
+    q["stream_discover"] = upsert_sql(True, "SELECT * EXCLUDE (id) FROM up")
+    snaps = f"""
+WITH a AS (SELECT source_name, file_id, checksum AS md5, 0 AS snap FROM fx_catalog),
+b AS (SELECT source_name, file_id, md5, 1 AS snap FROM fx_listing)
+SELECT * FROM a
+UNION ALL
+SELECT b.* FROM b
+WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.source_name = b.source_name AND a.file_id = b.file_id
+                  AND {{cond}})"""
+    q["stream_changes"] = with_fixtures(snaps.format(
+        cond=f"{norm('a.md5')} IS NOT DISTINCT FROM {norm('b.md5')}"), *SYNC_FX)
+    q["stream_dedupe"] = with_fixtures(snaps.format(cond="a.md5 IS NOT DISTINCT FROM b.md5"), *SYNC_FX)
+    files = """
+WITH f AS (
+  SELECT doc_id, source, text,
+         source || '/' || CASE WHEN doc_id % 7 = 0 THEN 'node_modules' ELSE 'docs' END || '/doc_' || CAST(doc_id AS VARCHAR)
+           || CASE WHEN doc_id % 5 = 0 THEN '.txt' WHEN doc_id % 11 = 0 THEN '.py' ELSE '.md' END AS rel,
+         CAST(coalesce(strlen(text), 0) AS BIGINT) AS size
+  FROM documents),
+kept AS (SELECT * FROM f WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND size <= 500000)"""
+    q["scan_corpus"] = files + "\nSELECT rel, size FROM kept"
+    q["scan_inventory"] = files + "\nSELECT rel AS object_key, size AS object_size FROM f WHERE starts_with(rel, 'src1')"
+    q["stream_index"] = files + f""",
+st AS (SELECT rel, source, regexp_replace(text, {uws}, '', 'g') AS text FROM kept),
+cn AS (SELECT *, {nchunks} AS n FROM st WHERE text <> ''),
+ce AS (SELECT *, unnest(range(0, n)) AS j FROM cn)
+SELECT rel AS rel_path, source AS repo, CAST(j AS BIGINT) AS chunk, n AS total_chunks,
+       substring(text, CAST(j AS BIGINT) * 1800 + 1, 2000) AS text
+FROM ce"""
     return q

@@ -7,6 +7,7 @@ columns carry the same aliases on both sides; doubles are rounded to 6 digits.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -477,6 +478,110 @@ def q_search(spark, sf):
     return search(query, index, k=5)
 
 
+# ---------------------------------------------------------------- streaming (X-*) and file sources
+
+def _scratch(spark, name):
+    from tidemark.session import scratch_path
+    return scratch_path(spark, name)
+
+
+def _write_parts(parts, in_dir):
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("overwrite").parquet(f"{in_dir}/{i:04d}")
+
+
+def _listing_rows(listing, at):
+    return listing.select("source_name", "file_id", "file_name", "mime_type", "md5", "size",
+                          at.cast("timestamp_ntz").alias("listed_at"))
+
+
+def q_stream_discover(spark, sf):
+    from tidemark.streaming.jobs import stream_discover
+    from tidemark.streaming.snapshots import read_version, write_version
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    base = _scratch(spark, "stream-discover")
+    write_version(catalog, f"{base}/catalog", -1)
+    rows = _listing_rows(listing, _as_of(catalog))
+    _write_parts([rows.where(listing["doc_id"] % 4 == i) for i in range(4)], f"{base}/in")
+    stream_discover(spark, f"{base}/in", f"{base}/catalog", f"{base}/ckpt").awaitTermination()
+    return read_version(spark, f"{base}/catalog").select(*[c for c in CATALOG_COLUMNS if c != "id"])
+
+
+def _two_snapshots(spark, sf, name):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    t1 = _as_of(catalog)
+    t0 = t1 - F.make_dt_interval(days=F.lit(1))
+    old = catalog.select("source_name", "file_id", "file_name", F.lit(None).cast("string").alias("mime_type"),
+                         F.col("checksum").alias("md5"), "size", t0.cast("timestamp_ntz").alias("listed_at"))
+    base = _scratch(spark, name)
+    _write_parts([old, _listing_rows(listing, t1)], f"{base}/in")
+    return base
+
+
+def _run_to_parquet(stream_df, base):
+    q = (stream_df.writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _snap_tag(df, spark, sf):
+    _, catalog, _ = _sync_inputs(spark, sf)
+    return df.select(*FILE_KEY, "md5", F.when(F.col("listed_at") == _as_of(catalog), 1).otherwise(0).alias("snap"))
+
+
+def q_stream_changes(spark, sf):
+    from tidemark.streaming.jobs import listing_stream, stream_changes
+    base = _two_snapshots(spark, sf, "stream-changes")
+    _run_to_parquet(stream_changes(listing_stream(spark, f"{base}/in")), base)
+    return _snap_tag(spark.read.parquet(f"{base}/out"), spark, sf)
+
+
+def q_stream_dedupe(spark, sf):
+    from tidemark.streaming.jobs import listing_stream, stream_dedupe
+    base = _two_snapshots(spark, sf, "stream-dedupe")
+    _run_to_parquet(stream_dedupe(listing_stream(spark, f"{base}/in")), base)
+    return _snap_tag(spark.read.parquet(f"{base}/out"), spark, sf)
+
+
+def _doc_files(spark, sf, name):
+    from tidemark.sources.materialize import materialize_documents
+    root = _scratch(spark, name)
+    materialize_documents(table(spark, sf, "documents"), root)
+    return root
+
+
+def q_scan_corpus(spark, sf):
+    from tidemark.sources.corpus import scan_corpus
+    root = _doc_files(spark, sf, "corpus")
+    files = scan_corpus(spark, [root])
+    base = root[5:] if root.startswith("file:") else root
+    return files.select(F.regexp_replace("path", "^" + re.escape(base.rstrip("/") + "/"), "").alias("rel"), "size")
+
+
+def q_scan_inventory(spark, sf):
+    from tidemark.sources.corpus import scan_inventory
+    root = _doc_files(spark, sf, "inventory")
+    return scan_inventory(spark, root, prefix="src1")
+
+
+def q_stream_index(spark, sf):
+    from tidemark.streaming.jobs import stream_index
+    from tidemark.streaming.snapshots import read_version
+    root = _doc_files(spark, sf, "stream-index")
+    base = _scratch(spark, "stream-index-out")
+    roots = sorted(r for r in _source_dirs(spark, sf, root))
+    stream_index(spark, root, f"{base}/index", f"{base}/ckpt", roots, files_per_batch=400).awaitTermination()
+    idx = read_version(spark, f"{base}/index")
+    return idx.select("rel_path", "repo", "chunk", "total_chunks", "text")
+
+
+def _source_dirs(spark, sf, root):
+    # The corpus roots: one per source folder (bounded by the number of sources).
+    srcs = table(spark, sf, "documents").select("source").distinct().collect()
+    base = root[5:] if root.startswith("file:") else root
+    return [f"{base.rstrip('/')}/{r[0]}" for r in srcs]
+
+
 def registry() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name, fn in list(globals().items()):
