@@ -67,15 +67,22 @@ def all_ranges_match(compared: DataFrame, key: str) -> DataFrame:
 
 def pixel_stddev(pixels: Column | str, scale: Column | str | float = 1.0) -> Column:
     """A-06: sample standard deviation of ``scale * pixel`` over an array, 0.0 under two
-    pixels, NULL for a NULL array (an undecodable sample). Two passes over the array, no
-    explode and no shuffle."""
+    pixels, NULL for a NULL array (an undecodable sample). One Welford pass over the array
+    (numerically stable), no explode and no shuffle."""
     p = col(pixels)
     s = scale if isinstance(scale, Column) else (F.col(scale) if isinstance(scale, str) else F.lit(float(scale)))
+    init = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(acc, x):
+        v = x.cast("double") * s
+        n = acc["n"] + 1
+        delta = v - acc["mean"]
+        mean = acc["mean"] + delta / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + delta * (v - mean)).alias("m2"))
+
+    m2 = F.aggregate(p, init, step, lambda acc: acc["m2"])
     n = F.size(p)
-    vals = F.transform(p, lambda x: x.cast("double") * s)
-    mean = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x) / n
-    ss = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.when(p.isNull(), F.lit(None).cast("double")).when(n < 2, F.lit(0.0)).otherwise(F.sqrt(ss / (n - 1)))
+    return F.when(p.isNull(), F.lit(None).cast("double")).when(n < 2, F.lit(0.0)).otherwise(F.sqrt(m2 / (n - 1)))
 
 
 def frame_verdict(samples: DataFrame, key: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.text import chunk_array, chunk_id, file_mtime_key, snippet
+from tidemark.functions.text import CHARS_PER_TOKEN, chunk_array, chunk_count, chunk_id, file_mtime_key, snippet
 
 # Over-fetch factor for suffix post-filtering and embedding batch size.
 POSTFILTER_FACTOR = 3
@@ -32,11 +32,21 @@ def read_text(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("text", txt).drop(content).where(F.col("text") != "")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy per-row work over the session's cores when the input arrives in fewer
+    partitions (a single large file); a no-op when the scan is already well split."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def chunk_text(df: DataFrame, text_col: str = "text", chunk_tokens: int = 500, overlap_tokens: int = 50) -> DataFrame:
     """P-14: one row per overlapping window: ``chunk`` (0-based), ``total_chunks``, ``text``."""
+    df = spread(df)
+    size = chunk_tokens * CHARS_PER_TOKEN
+    step = size - overlap_tokens * CHARS_PER_TOKEN
     arr = chunk_array(F.col(text_col), chunk_tokens, overlap_tokens)
     rest = [c for c in df.columns if c != text_col]
-    return df.select(*rest, F.size(arr).cast("bigint").alias("total_chunks"),
+    return df.select(*rest, F.coalesce(chunk_count(F.col(text_col), size, step), F.lit(0)).alias("total_chunks"),
                      F.posexplode(arr).alias("chunk", text_col)).withColumn("chunk", F.col("chunk").cast("bigint"))
 
 
