@@ -623,4 +623,30 @@ ce AS (SELECT *, unnest(range(0, n)) AS j FROM cn)
 SELECT rel AS rel_path, source AS repo, CAST(j AS BIGINT) AS chunk, n AS total_chunks,
        substring(text, CAST(j AS BIGINT) * 1800 + 1, 2000) AS text
 FROM ce"""
+
+    cfg = """cfg AS (SELECT source_name,
+       CASE WHEN min(doc_id) % 3 = 0 THEN '' ELSE md5(source_name) END AS folder_id,
+       CASE WHEN min(doc_id) % 2 = 0 THEN 'video/' || source_name END AS object_prefix
+FROM fx_listing GROUP BY source_name)"""
+    q["source_config"] = with_fixtures(f"""WITH {cfg}
+SELECT source_name, folder_id, object_prefix,
+       length(folder_id) >= 1 AND length(source_name) BETWEEN 1 AND 128
+         AND coalesce(length(object_prefix) <= 512, true) AS valid,
+       array_to_string(list_filter([CASE WHEN length(source_name) NOT BETWEEN 1 AND 128 THEN 'name_length' END,
+                                    CASE WHEN coalesce(length(folder_id), 0) < 1 THEN 'folder_id_empty' END,
+                                    CASE WHEN length(object_prefix) > 512 THEN 'prefix_length' END],
+                                   lambda x: x IS NOT NULL), ',') AS violations
+FROM cfg""", *SYNC_FX)
+    q["unknown_source"] = with_fixtures(f"""WITH {cfg}
+SELECT DISTINCT 'src' || CAST(page_id % 25 AS VARCHAR) AS source_name FROM pages
+WHERE 'src' || CAST(page_id % 25 AS VARCHAR) NOT IN (SELECT source_name FROM cfg)""", *SYNC_FX)
+    q["config_diff"] = with_fixtures("""
+WITH a AS (SELECT source_name, min(file_id) AS folder_id FROM fx_listing GROUP BY source_name),
+b AS (SELECT source_name, min(file_id) AS folder_id FROM fx_catalog WHERE starts_with(file_id, 'f') GROUP BY source_name)
+SELECT *, 'only_in_a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+UNION ALL
+SELECT *, 'only_in_b' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""", *SYNC_FX)
+    q["scan_listing_pages"] = with_fixtures(f"""
+SELECT source_name, file_id, file_name, mime_type, md5, size FROM fx_listing
+WHERE {video_like('mime_type', 'file_name')}""", *SYNC_FX)
     return q

@@ -582,6 +582,49 @@ def _source_dirs(spark, sf, root):
     return [f"{base.rstrip('/')}/{r[0]}" for r in srcs]
 
 
+def _config(listing):
+    return listing.groupBy("source_name").agg(
+        F.when(F.min("doc_id") % 3 == 0, F.lit("")).otherwise(F.md5(F.col("source_name"))).alias("folder_id"),
+        F.when(F.min("doc_id") % 2 == 0, F.concat(F.lit("video/"), F.col("source_name"))).alias("object_prefix"))
+
+
+def q_source_config(spark, sf):
+    from tidemark.sources.listing import source_config
+    listing, _, _ = _sync_inputs(spark, sf)
+    c = source_config(_config(listing))
+    return c.select("source_name", "folder_id", "object_prefix", "valid", F.array_join("violations", ",").alias("violations"))
+
+
+def q_unknown_source(spark, sf):
+    from tidemark.sources.listing import unknown_source
+    listing, _, _ = _sync_inputs(spark, sf)
+    pages = table(spark, sf, "pages")
+    requests = pages.select(F.concat(F.lit("src"), (F.col("page_id") % 25).cast("string")).alias("source_name"))
+    return unknown_source(requests, _config(listing))
+
+
+def q_config_diff(spark, sf):
+    from tidemark.operators.setops import config_diff
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    a = listing.groupBy("source_name").agg(F.min("file_id").alias("folder_id"))
+    b = catalog.where(F.col("file_id").startswith("f")).groupBy("source_name").agg(F.min("file_id").alias("folder_id"))
+    return config_diff(a, b)
+
+
+def q_scan_listing_pages(spark, sf):
+    from tidemark.sources.listing import scan_listing_pages, write_listing_pages
+    listing, _, _ = _sync_inputs(spark, sf)
+    root = _scratch(spark, "pages")
+    write_listing_pages(listing, root)
+    return scan_listing_pages(spark, root)
+
+
+def q_knn_approx(spark, sf):
+    from tidemark.operators.retrieval import knn_approx
+    query, index = _vectors(spark, sf)
+    return knn_approx(query, index, 5)
+
+
 def registry() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name, fn in list(globals().items()):
