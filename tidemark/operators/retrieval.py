@@ -22,14 +22,18 @@ MAX_BROADCAST_QUERIES = 20_000
 SCORE_DIGITS = 6
 
 _WS_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_WS_CHAR = r"(?U)^[\s\x1c-\x1f]$"
 
 
 # ------------------------------------------------------------------ text and chunks
 
 def read_text(files: DataFrame, content: str = "content") -> DataFrame:
     """C-08: decode UTF-8 replacing bad bytes, strip, drop empty texts."""
-    txt = F.regexp_replace(F.make_valid_utf8(F.col(content).cast("string")), _WS_EDGES, "")
-    return files.withColumn("text", txt).drop(content).where(F.col("text") != "")
+    raw = F.make_valid_utf8(F.col(content).cast("string"))
+    # Only texts that begin or end with white space pay for the regex.
+    edge = raw.substr(F.lit(1), F.lit(1)).rlike(_WS_CHAR) | raw.substr(F.lit(-1), F.lit(1)).rlike(_WS_CHAR)
+    txt = F.when(edge, F.regexp_replace(raw, _WS_EDGES, "")).otherwise(raw)
+    return spread(files).withColumn("text", txt).drop(content).where(F.col("text") != "")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -54,16 +58,19 @@ def corpus_labels(files: DataFrame, roots: DataFrame, path_col: str = "path", ro
     """P-16: repo name and relative path per file; the longest root that is a whole-path-part
     prefix wins (``infra-rg`` files are not labelled ``infra``, trap T7); ``unknown`` without one.
 
-    An equi join of each file's ancestor folders with the roots (no prefix nested loop);
-    ``max_by`` over the matches is a partial aggregate.
+    Each file's ancestor folders are matched against the (bounded) root list inside the row;
+    no join and no shuffle of the file rows.
     """
     parts = F.split(F.col(path_col), "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
                             lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    anc = files.select(path_col, F.explode(ancestors).alias("_anc"))
-    r = roots.select(F.regexp_replace(F.col(root_col), "/+$", "").alias("_anc"))
-    hits = anc.join(r, "_anc").groupBy(path_col).agg(F.max_by("_anc", F.length("_anc")).alias("_root"))
-    out = files.join(hits, path_col, "left")
+    # The roots are a configured list (bounded): one sorted array, attached to every row as a
+    # scalar subquery, so the lookup is row-local - no shuffle of the file rows.
+    root_arr = roots.select(F.sort_array(F.collect_set(F.regexp_replace(F.col(root_col), "/+$", ""))).alias("r")).scalar()
+    out = files.withColumn("_roots", root_arr).withColumn("_anc", ancestors)
+    hit = F.filter(F.col("_roots"), lambda r: F.array_contains(F.col("_anc"), r))
+    best = F.array_max(F.transform(hit, lambda r: F.struct(F.length(r).alias("n"), r.alias("root"))))["root"]
+    out = out.withColumn("_root", best).drop("_roots", "_anc")
     repo = F.coalesce(F.substring_index("_root", "/", -1), F.lit("unknown"))
     rel = F.when(F.col("_root").isNotNull(),
                  F.concat(repo, F.col(path_col).substr(F.length("_root") + 1, F.lit(1 << 30))))
