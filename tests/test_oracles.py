@@ -7,8 +7,12 @@ import __spark_entry__ as entry
 from conftest import SF001
 from oracle_check import compare, duck
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+from tidemark.oracle_sql import oracles
+from tidemark.queries import registry
+
+ALL = entry.queries()
+QUERIES = {k: ALL[k] for k in registry()}
+ORACLES = oracles()
 
 
 @pytest.fixture(scope="module")
