@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontamination import OP2_SQL, op2_decontamination
+from tidemark.llm.language_id import op3_language_id
 from tidemark.llm.minhash_dedup import op1_minhash_dedup
 
 
 def registry() -> dict:
-    found = [op1_minhash_dedup]
+    found = [op1_minhash_dedup, op2_decontamination, op3_language_id]
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": OP2_SQL}
