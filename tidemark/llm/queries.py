@@ -7,10 +7,11 @@ from tidemark.llm.language_id import op3_language_id
 from tidemark.llm.minhash_dedup import op1_minhash_dedup
 from tidemark.llm.mixing import op5_mixing
 from tidemark.llm.secrets import op9_secret_scan
+from tidemark.llm.substring_dedup import op4_substring_dedup
 
 
 def registry() -> dict:
-    found = [op1_minhash_dedup, op2_decontamination, op3_language_id, op5_mixing, op9_secret_scan]
+    found = [op1_minhash_dedup, op2_decontamination, op3_language_id, op4_substring_dedup, op5_mixing, op9_secret_scan]
     return {f.__name__: f for f in found}
 
 
