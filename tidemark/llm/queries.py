@@ -6,14 +6,16 @@ from tidemark.llm.decontamination import OP2_SQL, op2_decontamination
 from tidemark.llm.embedding_dedup import op7_embedding_dedup
 from tidemark.llm.html_text import op8_html_extraction
 from tidemark.llm.language_id import op3_language_id
+from tidemark.llm.license_scan import op6_license_scan
 from tidemark.llm.minhash_dedup import op1_minhash_dedup
 from tidemark.llm.mixing import op5_mixing
+from tidemark.llm.personal_data import op10_personal_data
 from tidemark.llm.secrets import op9_secret_scan
 from tidemark.llm.substring_dedup import op4_substring_dedup
 
 
 def registry() -> dict:
-    found = [op1_minhash_dedup, op2_decontamination, op3_language_id, op4_substring_dedup, op5_mixing, op7_embedding_dedup, op8_html_extraction, op9_secret_scan]
+    found = [op1_minhash_dedup, op2_decontamination, op3_language_id, op4_substring_dedup, op5_mixing, op6_license_scan, op7_embedding_dedup, op8_html_extraction, op9_secret_scan, op10_personal_data]
     return {f.__name__: f for f in found}
 
 
