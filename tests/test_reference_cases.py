@@ -1,5 +1,6 @@
-"""The reference's own unit cases, as DataFrame rows through the Column functions."""
+"""The rules of SURVEY section 2 on rows of our own, through the Column functions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.checksums import meta_checksum, meta_file_id, skip_from_store
@@ -8,79 +9,67 @@ from tidemark.functions.paths import object_key, sanitize_file_name
 from tidemark.functions.predicates import skip_from_catalog
 from tidemark.operators.setops import config_diff
 
+KEY = "north/77_take.mov"
+SKIP = {"status": "UPLOADED", "stored_key": KEY, "stored_checksum": "5F0C", "incoming": "5f0c", "canonical": KEY,
+        "present": True, "object_checksum": None, "checked": False, "in_size": None, "object_size": None}
+SKIP_SCHEMA = ("status string, stored_key string, stored_checksum string, incoming string, canonical string, present boolean, "
+               "object_checksum string, checked boolean, in_size bigint, object_size bigint")
 
-def _one(spark, expr, schema, rows):
-    return [r[0] for r in spark.createDataFrame(rows, schema).select(expr).collect()]
-
-
-def _skip_db(spark, rows):
-    schema = ("status string, stored_key string, stored_checksum string, incoming string, canonical string, "
-              "exists boolean, obj_ck string, checked boolean, in_size bigint, obj_size bigint")
-    c = F.col
-    expr = skip_from_catalog(c("status"), c("stored_key"), c("stored_checksum"), c("incoming"), c("canonical"),
-                             c("exists"), c("obj_ck"), c("checked"), c("in_size"), c("obj_size"))
-    return _one(spark, expr, schema, rows)
-
-
-def test_skip_from_catalog_requires_uploaded_status_path_and_checksum(spark):
-    k = "main/1_a.mp4"
-    assert _skip_db(spark, [("UPLOADED", k, "AA", "aa", k, True, None, False, None, None),
-                            ("UPLOADED", k, "AA", "bb", k, True, None, False, None, None)]) == [True, False]
 
-
-def test_skip_from_catalog_requires_matching_object_when_checked(spark):
-    k = "main/1_a.mp4"
-    assert _skip_db(spark, [("UPLOADED", k, "NEW", "new", k, True, "old", False, None, None),
-                            ("UPLOADED", k, "NEW", "new", k, False, None, False, None, None)]) == [False, False]
-
-
-def test_skip_from_catalog_requires_object_checksum_when_source_has_one(spark):
-    k = "main/1_a.mp4"
-    assert _skip_db(spark, [("UPLOADED", k, "NEW", "new", k, True, None, True, None, None)]) == [False]
+def values(spark, expr, schema, rows):
+    return [r[0] for r in spark.createDataFrame(rows, schema).select(expr).collect()]
 
 
-def test_skip_from_catalog_rejects_size_mismatch(spark):
-    k = "main/1_a.mp4"
-    assert _skip_db(spark, [("UPLOADED", k, "NEW", "new", k, True, "new", False, 100, 99)]) == [False]
+@pytest.mark.parametrize(("change", "skipped"), [
+    ({}, True),                                                     # checksums are compared without case
+    ({"incoming": "5f0d"}, False),
+    ({"status": "FAILED"}, False),
+    ({"stored_key": "north/78_take.mov"}, False),
+    ({"object_checksum": "77aa"}, False),                           # the stored object is another one
+    ({"present": False}, False),
+    ({"checked": True}, False),                                     # looked at, but it has no checksum
+    ({"checked": True, "object_checksum": "5f0C"}, True),
+    ({"object_checksum": "5f0c", "in_size": 4096, "object_size": 4095}, False),
+    ({"object_checksum": "5f0c", "in_size": 4096, "object_size": 4096}, True),
+])
+def test_skip_from_catalog(spark, change, skipped):
+    row = SKIP | change
+    assert values(spark, skip_from_catalog(*map(F.col, SKIP)), SKIP_SCHEMA, [tuple(row.values())]) == [skipped]
 
 
-def test_skip_from_store_requires_both_checksums(spark):
-    out = _one(spark, skip_from_store("o", "i"), "o string, i string", [("a", "A"), (None, "A")])
-    assert out == [True, False]
+def test_skip_from_store_needs_both_checksums(spark):
+    rows = [("9e1", "9E1"), ("9e1", "9e2"), (None, "9e1"), ("9e1", None), (None, None)]
+    assert values(spark, skip_from_store("o", "i"), "o string, i string", rows) == [True, False, False, False, False]
 
 
-def test_meta_checksum_case_insensitive_keys(spark):
-    df = spark.createDataFrame([({"X-Amz-Meta-Checksum": "abc"},), ({"checksum": "abc"},), ({},), (None,)],
-                               "m map<string,string>")
-    assert [r[0] for r in df.select(meta_checksum("m")).collect()] == ["abc", "abc", None, None]
-    df2 = spark.createDataFrame([({"X-Amz-Meta-Drive-File-Id": "f1"},), ({"other": "x"},)], "m map<string,string>")
-    assert [r[0] for r in df2.select(meta_file_id("m")).collect()] == ["f1", None]
+def test_object_metadata_keys_ignore_case(spark):
+    maps = [({"x-AMZ-meta-CHECKSUM": "c1", "x-amz-meta-drive-file-ID": "i1"},), ({"Checksum": "c2"},), ({"etag": "e"},), (None,)]
+    df = spark.createDataFrame(maps, "m map<string,string>")
+    assert [tuple(r) for r in df.select(meta_checksum("m"), meta_file_id("m")).collect()] == \
+        [("c1", "i1"), ("c2", None), (None, None), (None, None)]
 
 
-def test_object_key_prefixes_file_id(spark):
-    rows = [("main", "file123", "clip.mp4", None), ("rehovot", "id1", "clip.h265", "video/Rehovot"),
-            ("rehovot", "file123", "clip.mp4", "video/Rehovot")]
-    out = _one(spark, object_key("s", "f", "n", "p"), "s string, f string, n string, p string", rows)
-    assert out == ["main/file123_clip.mp4", "video/Rehovot/id1_clip.h265", "video/Rehovot/file123_clip.mp4"]
+def test_object_keys(spark):
+    rows = [("north", "77", "take.mov", None), ("south", "a-1", "x y.mkv", "films/South"), ("south", "a-1", "p/q.mkv", "films/South")]
+    assert values(spark, object_key("s", "f", "n", "p"), "s string, f string, n string, p string", rows) == \
+        ["north/77_take.mov", "films/South/a-1_x y.mkv", "films/South/a-1_p_q.mkv"]
 
 
-def test_sanitize_strips_separators_and_control_chars(spark):
-    rows = [("a\\b.mp4",), ("a/b.mp4",), ("  \x01x\x7f.mp4 ",), ("",), ("\\\\//",)]
-    out = _one(spark, sanitize_file_name("n"), "n string", rows)
-    assert "\\" not in out[0] and "/" not in out[1]
-    assert out[2] == "x.mp4" and out[3] == "unnamed" and out[4] == "_"
+def test_names_lose_separators_and_control_characters(spark):
+    rows = [("p\\q\\\\r.mov",), ("/p//q",), ("\x02 m\x1fn.mov \x7f",), (" \t ",), (None,)]
+    assert values(spark, sanitize_file_name("n"), "n string", rows) == ["p_q_r.mov", "_p_q", "mn.mov", "unnamed", "unnamed"]
 
 
-def test_is_video_like(spark):
-    rows = [("video/mp4", "x.bin"), ("video/hevc", "x.h265"), ("application/octet-stream", "clip.h265"),
-            ("", "foo.H265"), ("application/pdf", "doc.pdf"), (None, None)]
-    out = _one(spark, is_video_like("m", "n"), "m string, n string", rows)
-    assert out == [True, True, True, True, False, False]
+def test_video_like_by_type_or_suffix(spark):
+    rows = [("video/quicktime", "notes.txt"), (None, "take.H265"), ("application/octet-stream", "a.b.h265"), ("text/plain", "h265"),
+            ("image/png", None), ("", "")]
+    assert values(spark, is_video_like("m", "n"), "m string, n string", rows) == [True, True, True, False, False, False]
 
 
-def test_config_consistency_by_name(spark):
-    a = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "source_name string, folder_id string")
-    b = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "source_name string, folder_id string")
-    assert config_diff(a, b).count() == 0
-    b2 = spark.createDataFrame([("a", "1"), ("b", "9"), ("c", "3")], "source_name string, folder_id string")
-    assert sorted((r.source_name, r.side) for r in config_diff(a, b2).collect()) == [("b", "only_in_a"), ("b", "only_in_b")]
+def test_config_diff_names_both_sides(spark):
+    schema = "source_name string, folder_id string"
+    one = spark.createDataFrame([("north", "k1"), ("south", "k2"), ("west", "k3")], schema)
+    two = spark.createDataFrame([("north", "k1"), ("south", "k9"), ("east", "k4")], schema)
+    assert config_diff(one, one).count() == 0
+    assert sorted((r.source_name, r.side) for r in config_diff(one, two).collect()) == \
+        [("east", "only_in_b"), ("south", "only_in_a"), ("south", "only_in_b"), ("west", "only_in_a")]

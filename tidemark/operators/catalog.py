@@ -58,7 +58,9 @@ def upsert_discovered(catalog: DataFrame, listing: DataFrame, config: DataFrame
     CORRUPTED row whose checksum changed against its pre-upsert value becomes NEW (trap T1).
     """
     t = as_time(as_of)
-    lst = last_wins(listing, FILE_KEY, [order_col]) if order_col else listing
+    # Always one row per key: the last listed one, or without a time the largest by its values.
+    order = [order_col] if order_col else ["listed_at"] if "listed_at" in listing.columns else []
+    lst = last_wins(listing, FILE_KEY, order + sorted(c for c in listing.columns if c not in FILE_KEY and c not in order))
     lst = with_config(lst, config)
     name = F.coalesce(F.nullif(F.col("file_name"), F.lit("")), F.lit("unnamed"))
     lst = lst.select(
@@ -202,7 +204,7 @@ def files_page(catalog: DataFrame, *, source_name: str | None = None, status: st
 
 def claim_next(catalog: DataFrame, *, as_of, source_name: str | None = None, n: int = 1) -> tuple[DataFrame, DataFrame]:
     """W-03: the ``n`` oldest NEW or FAILED rows become PROCESSING. Returns (claimed rows,
-    next catalog). ``n`` bounds the claimed set, so it is broadcast back into the catalog."""
+    next catalog). The claimed keys are joined back on the file key."""
     t = as_time(as_of)
     cond = F.col("status").isin(NEW, FAILED)
     if source_name:
@@ -212,7 +214,6 @@ def claim_next(catalog: DataFrame, *, as_of, source_name: str | None = None, n:
     if "status_changed_at" in catalog.columns:
         claimed = claimed.withColumn("status_changed_at", t)
     keys = claimed.select(*FILE_KEY, F.lit(True).alias("_claimed"))
-    keys = F.broadcast(keys) if n <= 100_000 else keys
     j = catalog.join(keys, FILE_KEY, "left")
     hit = F.col("_claimed").isNotNull()
     nxt = (j.withColumn("status", F.when(hit, F.lit(PROCESSING)).otherwise(F.col("status")))
@@ -227,18 +228,16 @@ def resolve_by_name(requests: DataFrame, catalog: DataFrame) -> DataFrame:
 
     One row per candidate (``outcome`` = resolved or ambiguous, ``candidate_rank`` newest
     first by ``(updated_at, id)``) and one row with NULL candidate for ``not_found``. Counts
-    are partial aggregates and ranks come from ``group_rank``, so a name shared by a third of
-    the catalog never lands in one task; no candidate list is capped.
+    and ranks come from one ``group_rank``, so a name shared by a third of the catalog never
+    lands in one task; no candidate list is capped.
     """
     req = requests.select("source_name", "file_name").distinct()
     cand = catalog.select("source_name", "file_name", "file_id", "id", "size", "status",
                           "object_key", "updated_at").join(req, ["source_name", "file_name"], "left_semi")
-    counts = cand.groupBy("source_name", "file_name").agg(F.count(F.lit(1)).alias("n_matches"))
-    ranked = group_rank(cand, ["source_name", "file_name"], [F.col("updated_at").desc(), F.col("id").desc()],
-                        "candidate_rank")
-    found = ranked.join(counts, ["source_name", "file_name"])
+    found = group_rank(cand, ["source_name", "file_name"], [F.col("updated_at").desc(), F.col("id").desc()],
+                       "candidate_rank", count_col="n_matches")
     found = found.withColumn("outcome", F.when(F.col("n_matches") == 1, "resolved").otherwise("ambiguous"))
-    missing = (req.join(counts, ["source_name", "file_name"], "left_anti")
+    missing = (req.join(catalog.select("source_name", "file_name").distinct(), ["source_name", "file_name"], "left_anti")
                .select("source_name", "file_name", F.lit("not_found").alias("outcome"),
                        F.lit(0).cast("bigint").alias("n_matches")))
     cols = ["source_name", "file_name", "outcome", "n_matches", "candidate_rank", "file_id", "id", "size",

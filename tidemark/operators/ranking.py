@@ -1,21 +1,26 @@
 """Ranks without a global single-partition window (used by S-07 and W-04).
 
-``global_rank`` is zipWithIndex in DataFrame form: rows are range-partitioned by the order
-(an explicit partition count, which AQE keeps), each partition is counted (one row per
-partition), running offsets come from a window over those few rows, and the local rank is a
-window per partition. ``group_rank`` does the same per group: the range partitioning splits a
-hot group across many partitions, so no task ever holds a whole group.
+Rows are range-partitioned by the order and written once to the shared scratch folder with the
+number of their partition. Counts and rows are then both read from that table, so they agree on
+what a partition is, whatever sampling chose its bounds. ``global_rank`` adds running offsets of
+the partitions to a rank inside each; ``group_rank`` does the same per group, and because the
+ranges are on (group, order) a hot group is spread over many partitions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import scratch_path
 
-def _parts(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+def _ranged(df: DataFrame, order: list[Column], num_partitions: int | None) -> DataFrame:
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    path = scratch_path(spark, "ranked")
+    placed.write.parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
 
 
 def _names(order: list[Column | str]) -> list[Column]:
@@ -25,11 +30,10 @@ def _names(order: list[Column | str]) -> list[Column]:
 def global_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
     """1-based contiguous rank over the whole frame; ``order`` must be a total order."""
-    n = _parts(df, num_partitions)
     o = _names(order)
-    r = df.repartitionByRange(n, *o).withColumn("_pid", F.spark_partition_id())
+    r = _ranged(df, o, num_partitions)
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # At most n rows: a single-partition window here is bounded by the partition count.
+    # At most one row per partition: a single-partition window here is bounded by their number.
     offsets = counts.select(
         "_pid",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
@@ -40,17 +44,18 @@ def global_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank"
 
 
 def group_rank(df: DataFrame, group: list[str], order: list[Column | str], rank_col: str = "rank",
-               num_partitions: int | None = None) -> DataFrame:
-    """1-based rank within each group; ``order`` must be a total order inside a group."""
-    n = _parts(df, num_partitions)
+               num_partitions: int | None = None, count_col: str | None = None) -> DataFrame:
+    """1-based rank within each group, and with ``count_col`` the group's size; ``order`` must be
+    a total order inside a group and group columns must not be null."""
     o = _names(order)
-    r = df.repartitionByRange(n, *[F.col(g) for g in group], *o).withColumn("_pid", F.spark_partition_id())
+    r = _ranged(df, [*[F.col(g) for g in group], *o], num_partitions)
     counts = r.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"))
-    # A group spans at most n partitions, so this window holds at most n rows per group.
+    # A group spans at most as many rows here as there are partitions.
+    w = Window.partitionBy(*group)
     offsets = counts.select(
         "_pid", *group,
-        F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_pid")
-                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+        F.coalesce(F.sum("_n").over(w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        *([F.sum("_n").over(w).alias(count_col)] if count_col else []))
     r = r.join(offsets, ["_pid", *group])
     local = F.row_number().over(Window.partitionBy("_pid", *group).orderBy(*o))
     return r.withColumn(rank_col, F.col("_off") + local).drop("_pid", "_off")

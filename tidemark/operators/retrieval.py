@@ -1,10 +1,9 @@
 """Retrieval index and search operators (C-08, P-14..P-18, J-06, J-08, E-01, R-01..R-04, S-10, S-11, A-09).
 
-kNN is exact: the query side (bounded and size-checked) is broadcast as one matrix; each task
-scores its index rows with NumPy (vectorised dot products over Arrow batches) and keeps only
-its per-query top candidates, so the shuffle carries ``tasks x queries x k`` rows, never the
-query x chunk product. A final rank in Spark applies the exact tie rule (rounded score desc,
-then chunk id).
+kNN is exact and both sides stay distributed: queries are dealt into blocks, the index into
+parts, and each (block, part) group is scored as one NumPy product and keeps only its per-query
+top candidates, so ``parts x queries x k`` rows are shuffled on, never the query x chunk product.
+A final rank in Spark applies the exact tie rule (rounded score desc, then chunk id).
 """
 
 from __future__ import annotations
@@ -18,7 +17,8 @@ from tidemark.functions.text import CHARS_PER_TOKEN, chunk_array, chunk_count, c
 # Over-fetch factor for suffix post-filtering and embedding batch size.
 POSTFILTER_FACTOR = 3
 EMBED_BATCH = 32
-MAX_BROADCAST_QUERIES = 20_000
+#: Queries scored together; a group of the kNN join holds one such block and one part of the index.
+QUERY_BLOCK = 1024
 SCORE_DIGITS = 6
 
 _WS_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -33,19 +33,11 @@ def read_text(files: DataFrame, content: str = "content") -> DataFrame:
     # Only texts that begin or end with white space pay for the regex.
     edge = raw.substr(F.lit(1), F.lit(1)).rlike(_WS_CHAR) | raw.substr(F.lit(-1), F.lit(1)).rlike(_WS_CHAR)
     txt = F.when(edge, F.regexp_replace(raw, _WS_EDGES, "")).otherwise(raw)
-    return spread(files).withColumn("text", txt).drop(content).where(F.col("text") != "")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread CPU-heavy per-row work over the session's cores when the input arrives in fewer
-    partitions (a single large file); a no-op when the scan is already well split."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    return files.withColumn("text", txt).drop(content).where(F.col("text") != "")
 
 
 def chunk_text(df: DataFrame, text_col: str = "text", chunk_tokens: int = 500, overlap_tokens: int = 50) -> DataFrame:
     """P-14: one row per overlapping window: ``chunk`` (0-based), ``total_chunks``, ``text``."""
-    df = spread(df)
     size = chunk_tokens * CHARS_PER_TOKEN
     step = size - overlap_tokens * CHARS_PER_TOKEN
     arr = chunk_array(F.col(text_col), chunk_tokens, overlap_tokens)
@@ -132,89 +124,73 @@ def embed_with(df: DataFrame, fn, text_col: str = "text", batch: int = EMBED_BAT
 
 # ------------------------------------------------------------------ kNN (R-01, R-02, J-08)
 
-def _query_block(queries: DataFrame, key: str, vec: str):
-    rows = queries.select(key, vec).collect()  # bounded: the caller checked the count
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows], dtype=np.float64)
-    if len(rows) == 0:
-        return ids, mat.reshape(0, 0)
-    norms = np.linalg.norm(mat, axis=1)
+def _matrix(vectors) -> np.ndarray:
+    m = np.array([np.asarray(v, dtype=np.float64) for v in vectors], dtype=np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
-        unit = mat / norms[:, None]
-    return ids, unit
+        return m / np.linalg.norm(m, axis=1)[:, None]
 
 
-def _score_partitions(index: DataFrame, key: str, vec: str, keep: list[str], ids: np.ndarray, unit: np.ndarray,
-                      k: int | None, min_score: float | None) -> DataFrame:
-    sc = index.sparkSession.sparkContext
-    bc = sc.broadcast((ids, unit))
-    key_type = dict(index.dtypes)[key]
-    keep_types = [f"{c} {dict(index.dtypes)[c]}" for c in keep]
-    schema = ", ".join([f"query_id bigint", f"{key} {key_type}", "score double", *keep_types])
+def _scored(queries: DataFrame, index: DataFrame, key: str, vec: str, query_key: str, query_vec: str, keep: list[str],
+            k: int | None, min_score: float | None) -> DataFrame:
+    """(query_key, key, score, keep...): candidates of every (query block, index part) group.
 
-    def run(batches):
-        qids, q = bc.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(qids) == 0:
-                continue
-            m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].to_numpy()])
-            norms = np.linalg.norm(m, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = (q @ m.T) / norms[None, :]          # queries x rows, cosine
-            out_q, out_r, out_s = [], [], []
-            for qi in range(len(qids)):
-                s = scores[qi]
-                valid = ~np.isnan(s)
-                if min_score is not None:
-                    sel = np.nonzero(valid & (s >= min_score))[0]
-                elif k is not None and valid.sum() > k:
-                    # Keep everything within rounding reach of the k-th best: ties are settled later.
-                    kth = np.partition(s[valid], -k)[-k]
-                    sel = np.nonzero(valid & (s >= kth - 10.0 ** -SCORE_DIGITS))[0]
-                else:
-                    sel = np.nonzero(valid)[0]
-                out_q.append(np.full(len(sel), qids[qi], dtype=np.int64))
-                out_r.append(sel)
-                out_s.append(s[sel])
-            rows = np.concatenate(out_r) if out_r else np.array([], dtype=np.int64)
-            res = pd.DataFrame({"query_id": np.concatenate(out_q), key: pdf[key].to_numpy()[rows],
-                                "score": np.concatenate(out_s)})
-            for c in keep:
-                res[c] = pdf[c].to_numpy()[rows]
-            yield res
-
-    return index.select(key, vec, *keep).mapInPandas(run, schema)
-
-
-def _blocks(queries: DataFrame, key: str, max_queries: int) -> list[DataFrame]:
-    n = queries.count()  # size check before anything is broadcast
-    if n <= max_queries:
-        return [queries]
-    parts = -(-n // max_queries)
-    return [queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+    NULL vectors take no part; zero vectors have no cosine and match nothing.
+    """
+    spark = index.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    q = (queries.select(F.col(query_key).alias("_q"), F.col(query_vec).alias("_qv")).where("_qv is not null")
+         .withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks)))
+         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))))
+    i = (index.select(key, vec, *keep).where(F.col(vec).isNotNull())
+         .withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)))
+         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))))
+    types = dict(index.dtypes)
+    schema = ", ".join([f"_q {dict(queries.dtypes)[query_key]}", f"{key} {types[key]}", "score double",
+                        *[f"{c} {types[c]}" for c in keep]])
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out_q, out_r, out_s = [], [], []
+        if len(left) and len(right):
+            rows = _matrix(left[vec])
+            for at in range(0, len(right), 64):  # a tile of queries at a time
+                scores = _matrix(right["_qv"].iloc[at:at + 64]) @ rows.T
+                for n, s in enumerate(scores):
+                    valid = ~np.isnan(s)
+                    if min_score is not None:
+                        sel = np.nonzero(valid & (s >= min_score))[0]
+                    elif k is not None and valid.sum() > k:
+                        # Keep everything within rounding reach of the k-th best: ties are settled later.
+                        kth = np.partition(s[valid], -k)[-k]
+                        sel = np.nonzero(valid & (s >= kth - 10.0 ** -SCORE_DIGITS))[0]
+                    else:
+                        sel = np.nonzero(valid)[0]
+                    out_q.append(np.full(len(sel), at + n))
+                    out_r.append(sel)
+                    out_s.append(s[sel])
+        pick = np.concatenate(out_r) if out_r else np.zeros(0, np.int64)
+        whose = np.concatenate(out_q) if out_q else np.zeros(0, np.int64)
+        res = {"_q": right["_q"].iloc[whose], key: left[key].iloc[pick], "score": np.concatenate(out_s) if out_s else np.zeros(0)}
+        res |= {c: left[c].iloc[pick] for c in keep}
+        return pd.DataFrame({c: pd.Series(v.tolist(), dtype=None if c == "score" else object) for c, v in res.items()})
+
+    return (i.groupBy("_block", "_part").cogroup(q.groupBy("_block", "_part")).applyInPandas(run, schema)
+            .withColumnRenamed("_q", query_key))
 
 
 def knn(queries: DataFrame, index: DataFrame, k: int = 5, *, where: Column | None = None, key: str = "chunk_id",
         vec: str = "embedding", query_key: str = "query_id", query_vec: str = "embedding",
-        keep: list[str] | None = None, max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+        keep: list[str] | None = None) -> DataFrame:
     """R-01: top-``k`` index rows per query by cosine similarity, after an optional pre-filter
     (F-07, pushed to the scan). Rows: ``query_id, rank, <key>, score`` (+ ``keep`` columns);
-    score rounded to 6 digits, ties broken by the key. More queries than ``max_queries`` are
-    processed in blocks (exact for any size)."""
+    score rounded to 6 digits, ties broken by the key. Query ids may be of any type."""
     keep = keep or []
     idx = index.where(where) if where is not None else index
-    parts = []
-    for block in _blocks(queries.select(F.col(query_key).cast("bigint").alias(query_key), query_vec), query_key,
-                         max_queries):
-        ids, unit = _query_block(block, query_key, query_vec)
-        parts.append(_score_partitions(idx, key, vec, keep, ids, unit, k, None))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    cand = _scored(queries, idx, key, vec, query_key, query_vec, keep, k, None)
     cand = cand.withColumn("score_raw", F.col("score")).withColumn("score", F.round("score", SCORE_DIGITS))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key).asc())
+    w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), F.col(key).asc())
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .withColumnRenamed("query_id", query_key).select(query_key, "rank", key, "score", "score_raw", *keep))
+            .select(query_key, "rank", key, "score", "score_raw", *keep))
 
 
 def knn_postfilter(queries: DataFrame, index: DataFrame, k: int = 5, *, ext: str, path_col: str = "rel_path",
@@ -230,43 +206,42 @@ def knn_postfilter(queries: DataFrame, index: DataFrame, k: int = 5, *, ext: str
 
 
 def similarity_join(queries: DataFrame, index: DataFrame, min_score: float, *, key: str = "chunk_id",
-                    vec: str = "embedding", query_key: str = "query_id", query_vec: str = "embedding",
-                    max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                    vec: str = "embedding", query_key: str = "query_id", query_vec: str = "embedding") -> DataFrame:
     """J-08: every (query, row) pair whose cosine similarity reaches ``min_score``."""
-    parts = []
-    for block in _blocks(queries.select(F.col(query_key).cast("bigint").alias(query_key), query_vec), query_key,
-                         max_queries):
-        ids, unit = _query_block(block, query_key, query_vec)
-        parts.append(_score_partitions(index, key, vec, [], ids, unit, None, min_score))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("score", F.round("score", SCORE_DIGITS)).withColumnRenamed("query_id", query_key)
+    out = _scored(queries, index, key, vec, query_key, query_vec, [], None, min_score)
+    return out.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
 def knn_approx(queries: DataFrame, index: DataFrame, k: int = 5, *, key: str = "chunk_id", vec: str = "embedding",
                query_key: str = "query_id", query_vec: str = "embedding", bucket_length: float = 0.5,
-               num_tables: int = 4, max_distance: float = 1.2, seed: int = 7) -> DataFrame:
-    """R-03: approximate kNN for large query sets - random-projection LSH on unit vectors
-    (an equi join on hash buckets, no nested loop), candidates within ``max_distance``
-    (Euclidean on unit vectors, ``d^2 = 2 - 2 cos``), then the exact cosine re-rank. Check
-    recall against ``knn``."""
+               num_tables: int = 4, seed: int = 7) -> DataFrame:
+    """R-03: approximate kNN - random-projection LSH on unit vectors (an equi join on hash
+    buckets), then the exact cosine re-rank. A query whose buckets hold fewer than ``k`` rows is
+    answered by the exact ``knn``, so each gets ``k`` rows where ``k`` exist. NULL and zero
+    vectors match nothing."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     def unit(df, idc, vc):
-        v = F.transform(vc, lambda x: x.cast("double"))
+        # Spark may convert a row before it filters it, so the division and the vector must stand any.
+        v = F.transform(F.coalesce(vc.cast("array<double>"), F.array(F.lit(0.0))), lambda x: F.coalesce(x, F.lit(0.0)))
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return df.select(F.col(idc).alias("_id"), array_to_vector(F.transform(v, lambda x: x / norm)).alias("_v"))
+        df = df.select(F.col(idc).alias("_id"), v.alias("_a"), norm.alias("_n")).where("_n > 0")
+        return df.select("_id", array_to_vector(F.transform("_a", lambda x: x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0))).alias("_v"))
 
     q, c = unit(queries, query_key, F.col(query_vec)), unit(index, key, F.col(vec))
     lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
                                       numHashTables=num_tables, seed=seed).fit(c)
-    pairs = lsh.approxSimilarityJoin(q, c, max_distance, distCol="_d")
+    # Two unit vectors are at most 2 apart: no candidate is cut off by distance.
+    pairs = lsh.approxSimilarityJoin(q, c, 2.1, distCol="_d")
     cand = pairs.select(F.col("datasetA._id").alias(query_key), F.col("datasetB._id").alias(key),
                         F.round(1 - F.col("_d") * F.col("_d") / 2, SCORE_DIGITS).alias("score"))
     w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), F.col(key).asc())
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
+    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
+    full = ranked.where(F.col("rank") == k).select(query_key)
+    short = queries.join(full, query_key, "left_anti")
+    exact = knn(short, index, k, key=key, vec=vec, query_key=query_key, query_vec=query_vec)
+    return ranked.join(full, query_key, "left_semi").unionByName(exact.select(query_key, "rank", key, "score"))
 
 
 def result_listing(hits: DataFrame, *, text_col: str = "text", path_col: str = "rel_path") -> DataFrame:

@@ -594,7 +594,11 @@ SELECT h.query_id, h.rank, h.rel_path, 'chunk 1/1' AS chunk_label, printf('%.3f'
 FROM hits h LEFT JOIN documents d ON d.doc_id = h.chunk_id""", "fx_query", "fx_corpus")
 
     # ---------------------------------------------------------------- streams (end state) and file sources
-    q["stream_discover"] = upsert_sql(True, "SELECT * EXCLUDE (id) FROM up")
+    q["stream_discover"] = upsert_sql(True, """
+SELECT up.* REPLACE (CASE WHEN up.id > m.top THEN m.top + row_number() OVER (
+         PARTITION BY up.id > m.top ORDER BY l.doc_id % 4, up.source_name, up.file_id) ELSE up.id END AS id)
+FROM up LEFT JOIN fx_listing l ON l.source_name = up.source_name AND l.file_id = up.file_id
+CROSS JOIN (SELECT max(id) AS top FROM fx_catalog) m""")
     snaps = f"""
 WITH a AS (SELECT source_name, file_id, checksum AS md5, 0 AS snap FROM fx_catalog),
 b AS (SELECT source_name, file_id, md5, 1 AS snap FROM fx_listing)
@@ -605,7 +609,8 @@ WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.source_name = b.source_name AND a.file
                   AND {{cond}})"""
     q["stream_changes"] = with_fixtures(snaps.format(
         cond=f"{norm('a.md5')} IS NOT DISTINCT FROM {norm('b.md5')}"), *SYNC_FX)
-    q["stream_dedupe"] = with_fixtures(snaps.format(cond="a.md5 IS NOT DISTINCT FROM b.md5"), *SYNC_FX)
+    q["stream_dedupe"] = with_fixtures(snaps.format(
+        cond=f"{norm('a.md5')} IS NOT DISTINCT FROM {norm('b.md5')}"), *SYNC_FX)
     files = """
 WITH f AS (
   SELECT doc_id, source, text,

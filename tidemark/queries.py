@@ -500,11 +500,11 @@ def q_stream_discover(spark, sf):
     from tidemark.streaming.snapshots import read_version, write_version
     listing, catalog, _ = _sync_inputs(spark, sf)
     base = _scratch(spark, "stream-discover")
-    write_version(catalog, f"{base}/catalog", -1)
+    write_version(catalog, f"{base}/catalog", 0)
     rows = _listing_rows(listing, _as_of(catalog))
     _write_parts([rows.where(listing["doc_id"] % 4 == i) for i in range(4)], f"{base}/in")
     stream_discover(spark, f"{base}/in", f"{base}/catalog", f"{base}/ckpt").awaitTermination()
-    return read_version(spark, f"{base}/catalog").select(*[c for c in CATALOG_COLUMNS if c != "id"])
+    return read_version(spark, f"{base}/catalog").select(*CATALOG_COLUMNS)
 
 
 def _two_snapshots(spark, sf, name):

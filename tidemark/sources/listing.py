@@ -29,8 +29,11 @@ def scan_listing_pages(spark: SparkSession, path: str, source_name: str | None =
 def write_listing_pages(listing: DataFrame, path: str, page_size: int = PAGE_SIZE) -> None:
     """Write a listing as JSON pages of at most ``page_size`` files per source (a page is a
     bounded group, so collecting its entries into one row is bounded)."""
-    paged = listing.withColumn("_page", F.floor(F.col("doc_id") / page_size) if "doc_id" in listing.columns
-                               else F.abs(F.xxhash64("file_id")) % 1000)
+    if "doc_id" in listing.columns:
+        page = F.floor(F.col("doc_id") / page_size)
+    else:  # as many pages as the listing needs, so a page stays about as large as asked for
+        page = F.pmod(F.xxhash64("file_id"), F.lit(max(1, -(-listing.count() // page_size))))
+    paged = listing.withColumn("_page", page)
     pages = paged.groupBy("source_name", "_page").agg(F.collect_list(F.struct(
         F.col("file_id").alias("id"), F.col("file_name").alias("name"), F.col("mime_type").alias("mimeType"),
         F.col("md5").alias("md5Checksum"), F.col("size").cast("string").alias("size"))).alias("files"))
