@@ -222,9 +222,12 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int = 5, *, key: str = "
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
+    width = index.agg(F.max(F.size(vec))).first()[0] or 1
+
     def unit(df, idc, vc):
         # Spark may convert a row before it filters it, so the division and the vector must stand any.
-        v = F.transform(F.coalesce(vc.cast("array<double>"), F.array(F.lit(0.0))), lambda x: F.coalesce(x, F.lit(0.0)))
+        v = F.transform(F.when(F.size(vc) == width, vc.cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), width)),
+                        lambda x: F.coalesce(x, F.lit(0.0)))
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
         df = df.select(F.col(idc).alias("_id"), v.alias("_a"), norm.alias("_n")).where("_n > 0")
         return df.select("_id", array_to_vector(F.transform("_a", lambda x: x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0))).alias("_v"))
