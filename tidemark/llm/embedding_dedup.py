@@ -21,8 +21,10 @@ from tidemark.llm._common import U64, _BASE, arrow_map, mix, sorted_groups, tabl
 from tidemark.llm.components import connected_components
 from tidemark.llm.minhash_dedup import forest
 
-TABLES = 20
-PROBES = 12
+TABLES = 24
+PROBES = 21
+#: Expected unrelated vectors a vector meets, were the buckets even; real ones lean together.
+STRAY = 5e-4
 BLOCK = 256
 COSINE = 0.9
 
@@ -159,7 +161,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
                  hashes: int | None = None) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, ...)``: n_links, component_id and kept.
 
-    ``hashes`` is chosen so that a vector meets less than 0.05 unrelated ones in all its buckets.
+    ``hashes`` grows with the logarithm of the number of vectors, so that a vector meets fewer
+    than ``STRAY`` unrelated ones in all its buckets and the components stay those of near copies.
 
     * Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
     * Vectors of different width do not link. Equal vectors are one class and link with each other.
@@ -176,7 +179,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     if hashes is None:
         width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
         axes = 2 * (1 << max(1, (max(width, 1) - 1).bit_length()))
-        hashes = max(1, math.ceil(math.log(max(2, heads.count()) * tables * probes / 0.05) / math.log(axes)))
+        hashes = max(1, math.ceil(math.log(max(2, heads.count()) * tables * probes / STRAY) / math.log(axes)))
     kept = vectors.join(heads, "vec_id")
     keys = written(arrow_map(kept.select("vec_id", "embedding"), _keys(hashes, tables, probes), "vec_id long, key long, home boolean"),
                    "keys")
