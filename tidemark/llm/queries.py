@@ -9,6 +9,7 @@ from tidemark.llm.language_id import op3_language_id
 from tidemark.llm.license_scan import op6_license_scan
 from tidemark.llm.minhash_dedup import op1_minhash_dedup
 from tidemark.llm.mixing import op5_mixing
+from tidemark.llm.oracle_sql import OP1_SQL, OP4_SQL, OP7_SQL
 from tidemark.llm.personal_data import op10_personal_data
 from tidemark.llm.secrets import op9_secret_scan
 from tidemark.llm.substring_dedup import op4_substring_dedup
@@ -20,4 +21,5 @@ def registry() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL,
+            "op7_embedding_dedup": OP7_SQL}
