@@ -40,3 +40,28 @@ def test_last_wins_is_a_partial_aggregate(spark):
     assert out.collect()[0].v == "b"
     plan = _plan(out)
     assert "partial_max_by" in plan and "Window" not in plan
+
+
+def test_config_joins_never_shuffle_on_the_source_alone(spark):
+    from tidemark.operators.joins import with_config
+    from tidemark.plans.audit import objects_under_prefixes
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = spark.createDataFrame([("a", f"f{i}") for i in range(50)] + [(None, "x"), ("b", "y")],
+                                      "source_name string, file_id string")
+        cfg = spark.createDataFrame([("a", "pre")], "source_name string, object_prefix string")
+        out = with_config(files, cfg)
+        plan = out._jdf.queryExecution().toString()
+        assert "hashpartitioning(source_name" in plan and "_salt" in plan
+        assert not any("hashpartitioning(source_name" in ln and "_salt" not in ln for ln in plan.splitlines())
+        rows = out.collect()
+        assert len(rows) == 52 and sum(r.object_prefix == "pre" for r in rows) == 50
+        objs = spark.createDataFrame([(f"a/{i}", 1) for i in range(40)] + [("ab", 1), ("z", 1)],
+                                     "object_key string, object_size int")
+        pre = spark.createDataFrame([("a", "a"), ("t", "a/"), ("n", "")], "source_name string, prefix string")
+        got = objects_under_prefixes(objs, pre).groupBy("source_name").count().collect()
+        assert {r[0]: r[1] for r in got} == {"a": 41, "t": 40, "n": 42}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions._util import col
 from tidemark.functions.sizes import MIB, chunk_ranges
+from tidemark.sources.files import open_input
 
 
 def as_bytes(content: Column | str) -> Column:
@@ -111,7 +112,7 @@ def hash_files(paths: DataFrame, path_col: str = "path", block: int = MIB) -> Da
             for p in pdf[path_col]:
                 h = hashlib.sha256()
                 try:
-                    with open(_local(p), "rb") as fh:
+                    with open_input(p) as fh:
                         for piece in iter(lambda: fh.read(block), b""):
                             h.update(piece)
                     out.append(h.hexdigest())
@@ -129,7 +130,7 @@ def read_ranges(requests: DataFrame, path_col: str = "path") -> DataFrame:
             hashes = []
             for p, off, ln in zip(pdf[path_col], pdf["offset"], pdf["length"]):
                 try:
-                    with open(_local(p), "rb") as fh:
+                    with open_input(p) as fh:
                         fh.seek(int(off))
                         h, left = hashlib.sha256(), int(ln)
                         while left > 0:
@@ -144,7 +145,3 @@ def read_ranges(requests: DataFrame, path_col: str = "path") -> DataFrame:
             yield pdf.assign(sha256=hashes)
     schema = requests.select(path_col, "name", "offset", "length").schema.simpleString()[7:-1] + ", sha256 string"
     return requests.select(path_col, "name", "offset", "length").mapInPandas(run, schema)
-
-
-def _local(path: str) -> str:
-    return path[5:] if path.startswith("file:") else path

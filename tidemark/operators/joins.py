@@ -39,12 +39,26 @@ def inventory_view(inventory: DataFrame, with_checksum: bool = True) -> DataFram
     return inventory.select(*cols)
 
 
+#: Parts into which the rows of one source are dealt where they meet its one config row.
+SALTS = 16
+
+
+def salt(*cols) -> F.Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
+
+
+def salted(small: DataFrame) -> DataFrame:
+    """``small`` once per salt: a hot source is then ``SALTS`` keys, whatever join Spark picks."""
+    return small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def with_config(df: DataFrame, config: DataFrame | None) -> DataFrame:
     """J-09: attach ``object_prefix`` of each file's source (NULL when not configured)."""
     if config is None:
         return df.withColumn("object_prefix", F.lit(None).cast("string"))
     cfg = config.select("source_name", F.col("object_prefix").cast("string").alias("object_prefix"))
-    return df.join(cfg, "source_name", "left")
+    return (df.withColumn("_salt", salt(*FILE_KEY)).join(salted(cfg), ["source_name", "_salt"], "left")
+            .drop("_salt"))
 
 
 def join_plan_inputs(listing: DataFrame, catalog: DataFrame, inventory: DataFrame,
@@ -70,8 +84,16 @@ def fetch_metadata(listing: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def point_lookup(catalog: DataFrame, keys: DataFrame) -> DataFrame:
-    """C-05: catalog rows for the given keys (0 or 1 each; see ``key_violations``)."""
-    return catalog.join(keys.select(*FILE_KEY).distinct(), FILE_KEY, "left_semi")
+    """C-05: one row per wanted key: ``n_rows`` found and the catalog's columns. The columns are
+    NULL unless exactly one row was found, so a key held twice shows as an error (``n_rows`` > 1)."""
+    rest = [c for c in catalog.columns if c not in FILE_KEY]
+    wanted = keys.select(*FILE_KEY).distinct()
+    found = (catalog.join(wanted, FILE_KEY, "left_semi").groupBy(*FILE_KEY)
+             .agg(F.count(F.lit(1)).alias("n_rows"), F.first(F.struct(*rest)).alias("_row")))
+    out = wanted.join(found, FILE_KEY, "left")
+    one = F.when(F.col("n_rows") == 1, F.col("_row"))
+    return out.select(*FILE_KEY, F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+                      *[one[c].alias(c) for c in rest])
 
 
 def stat_objects(keys: DataFrame, inventory: DataFrame, key_col: str = "object_key") -> DataFrame:

@@ -116,7 +116,7 @@ def embed_with(df: DataFrame, fn, text_col: str = "text", batch: int = EMBED_BAT
                         vecs[s + i] = [float(x) for x in v]
                 except Exception as exc:  # noqa: BLE001 - the batch is reported, not fatal
                     for i in range(s, min(s + batch, len(texts))):
-                        errs[i] = f"{type(exc).__name__}: {exc}"[:1000]
+                        errs[i] = f"{type(exc).__name__}: {exc}"
             yield pdf.assign(**{out: vecs, "embed_error": errs})
 
     return df.mapInPandas(run, schema)
@@ -279,12 +279,6 @@ def upsert_index(index: DataFrame | None, new_chunks: DataFrame, *, prune: bool
     return old.unionByName(new_chunks.select(*old.columns))
 
 
-def write_index(index: DataFrame, path: str, *, reset: bool = False) -> None:
-    """S-10 / S-11: write a new index snapshot partitioned by repo (``reset`` overwrites)."""
-    (index.repartitionByRange("repo", "chunk_id").write.mode("overwrite" if reset else "errorifexists")
-     .partitionBy("repo").parquet(path))
-
-
 def corpus_stats(index: DataFrame) -> DataFrame:
     """A-09: chunks and files per repo."""
     return index.groupBy("repo").agg(F.countDistinct("file").alias("n_files"), F.count(F.lit(1)).alias("n_chunks"))

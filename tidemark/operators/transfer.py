@@ -3,31 +3,26 @@
 from __future__ import annotations
 
 import json
-import os
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.sources.files import open_input, replace_file
+
 PART_BYTES = 16 * (1 << 20)
 
 
 def local_put(dst_root: str, part_bytes: int = PART_BYTES):
-    """A put function for a mounted shared folder: stream ``src`` to ``dst_root/key`` in parts
-    through a temporary name, then rename (a retried task rewrites the same object), and store
-    the user metadata beside it as ``<key>.meta.json``."""
-    base = dst_root[5:] if dst_root.startswith("file:") else dst_root
+    """A put function for a folder given by path or URI: stream ``src`` to ``dst_root/key`` in
+    parts and store the user metadata beside it as ``<key>.meta.json``. A retried task writes
+    the same object again."""
+    base = dst_root.rstrip("/")
 
     def put(src: str, key: str, metadata: dict) -> int:
-        dst = os.path.join(base, key.lstrip("/"))
-        os.makedirs(os.path.dirname(dst), exist_ok=True)
-        tmp, written = f"{dst}.part-{os.getpid()}", 0
-        with open(src, "rb") as fin, open(tmp, "wb") as fout:
-            for piece in iter(lambda: fin.read(part_bytes), b""):
-                fout.write(piece)
-                written += len(piece)
-        os.replace(tmp, dst)
-        with open(dst + ".meta.json", "w", encoding="utf-8") as fh:
-            json.dump(metadata, fh)
+        dst = f"{base}/{key.lstrip('/')}"
+        with open_input(src) as fin:
+            written = replace_file(dst, iter(lambda: fin.read(part_bytes), b""))
+        replace_file(dst + ".meta.json", [json.dumps(metadata).encode("utf-8")])
         return written
 
     return put
@@ -50,7 +45,7 @@ def copy_objects(plan: DataFrame, put, *, src_col: str = "src_path", partitions:
                     errors.append(None)
                 except Exception as exc:  # noqa: BLE001 - reported per file
                     written.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}"[:4000])
+                    errors.append(f"{type(exc).__name__}: {exc}")
             yield pd.DataFrame({"source_name": pdf["source_name"], "file_id": pdf["file_id"],
                                 "object_key": pdf["object_key"], "bytes_written": written, "error": errors})
 

@@ -653,5 +653,40 @@ UNION ALL
 SELECT *, 'only_in_b' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""", *SYNC_FX)
     q["scan_listing_pages"] = with_fixtures(f"""
 SELECT source_name, file_id, file_name, mime_type, md5, size FROM fx_listing
-WHERE {video_like('mime_type', 'file_name')}""", *SYNC_FX)
+WHERE {video_like('mime_type', 'file_name')} AND doc_id % 31 <> 0""", *SYNC_FX)
+    q["stat_objects"] = with_fixtures(f"""
+SELECT c.source_name, c.file_id, c.object_key, i.object_size, {meta_checksum('i.meta_key', 'i.meta_value')} AS checksum
+FROM fx_catalog c LEFT JOIN fx_inventory i ON i.object_key = c.object_key""", *SYNC_FX)
+    q["point_lookup"] = with_fixtures("""
+WITH c AS (SELECT * FROM fx_catalog UNION ALL SELECT * FROM fx_catalog WHERE id % 50 = 0)
+SELECT l.source_name, l.file_id, count(c.id) AS n_rows,
+       CASE WHEN count(c.id) = 1 THEN max(c.id) END AS id, CASE WHEN count(c.id) = 1 THEN max(c.status) END AS status,
+       CASE WHEN count(c.id) = 1 THEN max(c.object_key) END AS object_key
+FROM (SELECT DISTINCT source_name, file_id FROM fx_listing) l
+LEFT JOIN c ON c.source_name = l.source_name AND c.file_id = l.file_id GROUP BY l.source_name, l.file_id""", *SYNC_FX)
+    q["fetch_metadata"] = with_fixtures("""
+SELECT source_name, file_id, file_name, md5, size FROM fx_listing l WHERE EXISTS (
+  SELECT 1 FROM fx_catalog c WHERE c.source_name = l.source_name AND c.file_id = l.file_id AND c.status = 'FAILED')""",
+                                          *SYNC_FX)
+    q["meta_file_id"] = with_fixtures(
+        "SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN file_id END AS meta_file_id FROM fx_listing", "fx_listing")
+    job = files + f""",
+v2 AS (SELECT doc_id, source, rel, CASE WHEN doc_id % 3 = 0 THEN text || ' v2' ELSE text END AS text FROM kept),
+sz AS (SELECT *, coalesce(strlen(text), 0) <= 20000 AS fits FROM v2),
+st AS (SELECT doc_id, rel, source, fits, regexp_replace(coalesce(text, ''), {uws}, '', 'g') AS text FROM sz),
+old AS (SELECT rel, regexp_replace(coalesce(text, ''), {uws}, '', 'g') <> '' AS indexed FROM kept)"""
+    # A pruned run also drops the files that no longer belong to the corpus, here the large ones.
+    q["index_job"] = job + f""",
+cn AS (SELECT *, {nchunks} AS n FROM st WHERE text <> '' AND fits),
+ce AS (SELECT *, unnest(range(0, n)) AS j FROM cn)
+SELECT rel AS rel_path, source AS repo, CAST(j AS BIGINT) AS chunk, n AS total_chunks,
+       substring(text, CAST(j AS BIGINT) * 1800 + 1, 2000) AS text
+FROM ce"""
+    q["index_job_counts"] = job + """,
+r AS (SELECT st.*, fits AND (st.doc_id % 3 = 0 OR NOT old.indexed) AS again FROM st JOIN old USING (rel))
+SELECT count(*) FILTER (again AND text <> '') AS processed, count(*) FILTER (fits AND NOT again) AS skipped,
+       count(*) FILTER (again AND text = '') AS empty, CAST(0 AS BIGINT) AS unreadable,
+       count(*) FILTER (NOT fits) AS oversized
+FROM r"""
+    q["oversized_files"] = files.replace(" AND size <= 500000", " AND size > 20000") + "\nSELECT rel, size FROM kept"
     return q

@@ -10,7 +10,7 @@ from tidemark.functions.checksums import meta_checksum, normalize_checksum
 from tidemark.functions.paths import key_basename, key_prefix
 from tidemark.functions.predicates import PROCESSING, UPLOADED
 from tidemark.functions.sizes import effective_size
-from tidemark.operators.joins import FILE_KEY
+from tidemark.operators.joins import FILE_KEY, salt, salted
 
 # Audit issue codes in report order.
 MISSING_IN_STORE = "missing_in_store"
@@ -58,9 +58,11 @@ def objects_under_prefixes(inventory: DataFrame, prefixes: DataFrame, mode: str
                         | (F.col("object_key").substr(F.col("_c._len") + 1, F.lit(1)) == "/"))
     elif mode != "string":
         raise ValueError("mode must be 'string' or 'path'")
-    joined = cut.join(prefixes, (F.col("_c._cut") == F.col("prefix"))
-                      & (F.length("prefix") == F.col("_c._len")))
-    return joined.drop("_c", "prefix")
+    dealt = salted(prefixes)
+    joined = cut.withColumn("_part", salt("object_key")).join(
+        dealt, (F.col("_c._cut") == F.col("prefix")) & (F.length("prefix") == F.col("_c._len"))
+        & (F.col("_part") == F.col("_salt")))
+    return joined.drop("_c", "_part", "_salt", "prefix")
 
 
 def audit_sources(listing: DataFrame, catalog: DataFrame, inventory: DataFrame,
@@ -72,11 +74,15 @@ def audit_sources(listing: DataFrame, catalog: DataFrame, inventory: DataFrame,
     read then).
     """
     prefixes = source_prefixes(config, listing)
-    audited = prefixes.select("source_name")
     objs = objects_under_prefixes(inventory.select("object_key", "object_size",
                                                    *(["metadata"] if full and "metadata" in inventory.columns else [])),
                                   prefixes, prefix_mode)
-    files = listing.join(audited, "source_name", "left_semi").select(
+    if config is None:  # every source of the listing is audited
+        listed = listing.where(F.col("source_name").isNotNull())
+    else:
+        listed = listing.withColumn("_salt", salt(*FILE_KEY)).join(
+            salted(prefixes.select("source_name")), ["source_name", "_salt"], "left_semi")
+    files = listed.select(
         *FILE_KEY, F.coalesce(F.col("file_name"), F.lit("")).alias("file_name"),
         F.col("md5").alias("source_md5"), effective_size(F.col("size")).alias("source_size"))
     cat = catalog.select(*FILE_KEY, F.col("status"), F.col("object_key").alias("expected_key"))
@@ -111,7 +117,7 @@ def audit_sources(listing: DataFrame, catalog: DataFrame, inventory: DataFrame,
     items = file_items.unionByName(orphans.select(*ITEM_COLUMNS))
 
     summary = audit_summary(items)
-    totals = audit_totals(audited, files, objs, file_items)
+    totals = audit_totals(prefixes.select("source_name"), files, objs, file_items)
     return AuditReport(items=items.select(*ITEM_COLUMNS), totals=totals, summary=summary)
 
 

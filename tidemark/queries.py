@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.checksums import meta_checksum, normalize_checksum
+from tidemark.functions.checksums import meta_checksum, meta_file_id, normalize_checksum
 from tidemark.functions.mime import is_video_like
 from tidemark.functions.paths import bucket_key, expected_key, key_basename, object_key, sanitize_file_name
 from tidemark.functions.probe import parse_probe
@@ -20,7 +20,8 @@ from tidemark.functions.sizes import chunk_ranges, effective_size, sample_offset
 from tidemark.operators import catalog as cat
 from tidemark.operators.integrity import content_hash, frame_verdict, pixel_stddev
 from tidemark.operators.joins import (
-    FILE_KEY, join_catalog_inventory, join_listing_catalog, not_in_catalog, with_config,
+    FILE_KEY, fetch_metadata, join_catalog_inventory, join_listing_catalog, not_in_catalog, point_lookup,
+    stat_objects, with_config,
 )
 from tidemark.plans.audit import audit_sources, issue_set
 from tidemark.plans.integrity import diagnose_bytes, frame_samples, quarantine, validate_media
@@ -615,10 +616,74 @@ def q_scan_listing_pages(spark, sf):
     from tidemark.sources.listing import scan_listing_pages, write_listing_pages
     listing, _, _ = _sync_inputs(spark, sf)
     root = _scratch(spark, "pages")
-    write_listing_pages(listing, root)
+    write_listing_pages(listing.withColumn("trashed", F.col("doc_id") % 31 == 0), root)
     return scan_listing_pages(spark, root)
 
 
+def q_stat_objects(spark, sf):
+    _, catalog, inventory = _sync_inputs(spark, sf)
+    s = stat_objects(catalog.select(*FILE_KEY, "object_key"), inventory)
+    return s.select(*FILE_KEY, "object_key", "object_size", meta_checksum("metadata").alias("checksum"))
+
+
+def q_point_lookup(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    doubled = catalog.unionByName(catalog.where(F.col("id") % 50 == 0))
+    return point_lookup(doubled, listing).select(*FILE_KEY, "n_rows", "id", "status", "object_key")
+
+
+def q_fetch_metadata(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    return fetch_metadata(listing, catalog.where(F.col("status") == "FAILED")).select(
+        *FILE_KEY, "file_name", "md5", "size")
+
+
+def q_meta_file_id(spark, sf):
+    listing, _, _ = _sync_inputs(spark, sf)
+    d = F.col("doc_id") % 4
+    key = (F.when(d == 0, F.lit("x-amz-meta-drive_file_id")).when(d == 1, F.lit("X-Amz-Meta-Drive-File-Id"))
+           .when(d == 2, F.lit("drive_file_id")).otherwise(F.lit("checksum")))
+    return listing.select("doc_id", meta_file_id(F.create_map(key, F.col("file_id"))).alias("meta_file_id"))
+
+
+def _index_runs(spark, sf):
+    """Two runs of the index job over files: all of them, then those that changed in between."""
+    from tidemark.plans.index import build_index
+    from tidemark.sources.materialize import document_rel_path, write_text_files
+    from tidemark.streaming.snapshots import read_version, write_version
+    root, store = _doc_files(spark, sf, "index-job"), _scratch(spark, "index-store")
+    roots = sorted(_source_dirs(spark, sf, root))
+    write_version(build_index(spark, roots).index, store, 0)
+    changed = table(spark, sf, "documents").where(F.col("doc_id") % 3 == 0)
+    write_text_files(changed.select(document_rel_path().alias("rel"), F.concat(F.col("text"), F.lit(" v2")).alias("text")),
+                     root).count()
+    run = build_index(spark, roots, index=read_version(spark, store), prune=True, max_bytes=JOB_MAX_BYTES)
+    write_version(run.index, store, 1)
+    return run, read_version(spark, store), root
+
+
+#: Size limit of the second index run, so that some files are left out and reported.
+JOB_MAX_BYTES = 20_000
+
+
+def q_index_job(spark, sf):
+    _, index, _ = _index_runs(spark, sf)
+    return index.select("rel_path", "repo", "chunk", "total_chunks", "text")
+
+
+def q_index_job_counts(spark, sf):
+    run, _, _ = _index_runs(spark, sf)
+    return run.counts
+
+
+def q_oversized_files(spark, sf):
+    from tidemark.sources.corpus import oversized_files
+    root = _doc_files(spark, sf, "oversized")
+    base = root[5:] if root.startswith("file:") else root
+    over = oversized_files(spark, [root], max_bytes=JOB_MAX_BYTES)
+    return over.select(F.regexp_replace("path", "^" + re.escape(base.rstrip("/") + "/"), "").alias("rel"), "size")
+
+
 def q_knn_approx(spark, sf):
     from tidemark.operators.retrieval import knn_approx
     query, index = _vectors(spark, sf)

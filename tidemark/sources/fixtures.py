@@ -107,10 +107,10 @@ SELECT vec_id AS chunk_id, embedding,
        concat('repo', CAST(label AS STRING)) AS repo,
        concat('repo', CAST(label AS STRING), '/dir/file_', CAST(vec_id AS STRING),
               CASE vec_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.yaml' ELSE '.sh' END) AS rel_path
-FROM {embeddings} WHERE vec_id >= 10
+FROM {embeddings}
 """,
     "fx_query": """
-SELECT vec_id AS query_id, embedding FROM {embeddings} WHERE vec_id < 10
+SELECT vec_id AS query_id, embedding FROM {embeddings} WHERE vec_id % 100 = 0
 """,
     "fx_frames": """
 SELECT CAST(floor(vec_id / 4.0) AS BIGINT) AS file_no,

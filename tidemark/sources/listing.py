@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.mime import is_video_like
 
-PAGE_SCHEMA = ("files ARRAY<STRUCT<id: STRING, name: STRING, mimeType: STRING, md5Checksum: STRING, size: STRING>>, "
+PAGE_SCHEMA = ("files ARRAY<STRUCT<id: STRING, name: STRING, mimeType: STRING, md5Checksum: STRING, size: STRING, trashed: BOOLEAN>>, "
                "nextPageToken STRING")
 PAGE_SIZE = 200
 MAX_NAME = 128
@@ -15,14 +15,15 @@ MAX_PREFIX = 512
 
 def scan_listing_pages(spark: SparkSession, path: str, source_name: str | None = None) -> DataFrame:
     """C-01: paged listing JSON (``files[]`` + ``nextPageToken``) to one row per file, keeping
-    only video-like files. The source comes from ``source_name`` or a ``source_name=`` folder."""
+    only video-like files that are not trashed. The source comes from ``source_name`` or a ``source_name=`` folder."""
     pages = spark.read.schema(PAGE_SCHEMA).json(path)
     src = F.lit(source_name) if source_name is not None else F.col("source_name")
     rows = pages.select(src.alias("source_name"), F.explode("files").alias("f"))
     out = rows.select(
         "source_name", F.col("f.id").alias("file_id"), F.col("f.name").alias("file_name"),
         F.col("f.mimeType").alias("mime_type"), F.col("f.md5Checksum").alias("md5"),
-        F.col("f.size").try_cast("bigint").alias("size"))
+        F.col("f.size").try_cast("bigint").alias("size"), F.coalesce("f.trashed", F.lit(False)).alias("_trashed"))
+    out = out.where(~F.col("_trashed")).drop("_trashed")
     return out.where(is_video_like("mime_type", "file_name"))
 
 
@@ -36,7 +37,8 @@ def write_listing_pages(listing: DataFrame, path: str, page_size: int = PAGE_SIZ
     paged = listing.withColumn("_page", page)
     pages = paged.groupBy("source_name", "_page").agg(F.collect_list(F.struct(
         F.col("file_id").alias("id"), F.col("file_name").alias("name"), F.col("mime_type").alias("mimeType"),
-        F.col("md5").alias("md5Checksum"), F.col("size").cast("string").alias("size"))).alias("files"))
+        F.col("md5").alias("md5Checksum"), F.col("size").cast("string").alias("size"),
+        (F.col("trashed") if "trashed" in listing.columns else F.lit(False)).alias("trashed"))).alias("files"))
     pages = pages.withColumn("nextPageToken", F.lit(None).cast("string"))
     (pages.select("source_name", F.to_json(F.struct("files", "nextPageToken")).alias("value"))
      .write.mode("overwrite").partitionBy("source_name").text(path))
