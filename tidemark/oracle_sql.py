@@ -611,6 +611,8 @@ WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.source_name = b.source_name AND a.file
         cond=f"{norm('a.md5')} IS NOT DISTINCT FROM {norm('b.md5')}"), *SYNC_FX)
     q["stream_dedupe"] = with_fixtures(snaps.format(
         cond=f"{norm('a.md5')} IS NOT DISTINCT FROM {norm('b.md5')}"), *SYNC_FX)
+    q["stream_stale"] = with_fixtures(
+        "SELECT DISTINCT source_name, file_id, true AS stale FROM fx_catalog WHERE status <> 'UPLOADED'", *SYNC_FX)
     files = """
 WITH f AS (
   SELECT doc_id, source, text,

@@ -544,6 +544,26 @@ def q_stream_dedupe(spark, sf):
     return _snap_tag(spark.read.parquet(f"{base}/out"), spark, sf)
 
 
+def q_stream_stale(spark, sf):
+    """Every catalog row is taken up, those now UPLOADED end five minutes later; then two later
+    events move the clock on. Each part is one run of the stream from the same checkpoint."""
+    from tidemark.streaming.jobs import stream_stale
+    _, catalog, _ = _sync_inputs(spark, sf)
+    base, schema = _scratch(spark, "stream-stale"), "source_name string, file_id string, status string, ts timestamp"
+    at = F.col("updated_at").cast("timestamp")
+    taken = catalog.select(*FILE_KEY, F.lit("PROCESSING").alias("status"), at.alias("ts"))
+    ended = catalog.where(F.col("status") == "UPLOADED").select(
+        *FILE_KEY, "status", (at + F.make_dt_interval(mins=F.lit(5))).alias("ts"))
+    clock = catalog.agg(F.max(at).alias("ts")).select(
+        F.lit("clock").alias("source_name"), F.lit("tick").alias("file_id"), F.lit("NEW").alias("status"), "ts")
+    later = [clock.withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.lit(n))) for n in (2, 3)]
+    for i, part in enumerate([taken.unionByName(ended), *later]):
+        part.write.parquet(f"{base}/in/{i}")
+        events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        _run_to_parquet(stream_stale(events), base)
+    return spark.read.parquet(f"{base}/out").select(*FILE_KEY, "stale")
+
+
 def _doc_files(spark, sf, name):
     from tidemark.sources.materialize import materialize_documents
     root = _scratch(spark, name)
