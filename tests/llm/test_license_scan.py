@@ -3,7 +3,7 @@
 import re
 
 from conftest import SF01
-from tidemark.llm.license_scan import TEMPLATES, op6_license_scan, scan_licenses
+from tidemark.llm.license_scan import SIBLINGS, TEMPLATES, op6_license_scan, scan_licenses
 
 
 def grams(text):
@@ -53,3 +53,29 @@ def test_edge_cases(spark):
     assert scan_licenses(df.limit(0)).count() == 0
     assert scan_licenses(df, {"one": ["word"]}).where("n_matches > 0").count() == 0
     assert scan_licenses(df, {}).where("n_matches > 0").count() == 0
+
+
+def test_families_are_told_apart(spark):
+    texts = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC0 1.0.": "CC0-1.0",
+        "licensed under cc by-nc-nd 3.0": "CC-BY-NC-ND-3.0", "Licensed under the Eclipse Public License 2.0.": "EPL-2.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "https://creativecommons.org/licenses/by-nd/4.0/": "CC-BY-ND-4.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "Licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        TEMPLATES["GPL-3.0"][1].replace("GNU General", "GNU Affero General"): "AGPL-3.0",
+        TEMPLATES["GPL-3.0"][1].replace("GNU General", "GNU Lesser General"): "LGPL-3.0",
+        "Released under the MIT License. Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0,MIT",
+    }
+    rows = [(i, f"Some words before. {t} And after it") for i, t in enumerate(texts)]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == dict(enumerate(texts.values()))
+
+
+def test_every_template_is_named_as_its_own(spark):
+    given = [(name, t) for own in (TEMPLATES, SIBLINGS) for name, ts in own.items() for t in ts]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(given)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.best_dice) for r in scan_licenses(df).collect()}
+    assert got == {i: (name, 1.0) for i, (name, _) in enumerate(given)}
