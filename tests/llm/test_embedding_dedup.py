@@ -1,9 +1,10 @@
 """Operator 7 against all pairs, recall at the threshold, and its defined edge cases."""
 
 import numpy as np
+import pytest
 
 from conftest import SF01
-from tidemark.llm.embedding_dedup import bucket_keys, near_vectors, op7_embedding_dedup, rotate
+from tidemark.llm.embedding_dedup import bucket_keys, bucket_plan, bucket_probes, bucket_tables, near_vectors, op7_embedding_dedup, rotate
 
 
 def brute(rows, cosine=0.9):
@@ -66,3 +67,34 @@ def test_edge_cases(spark):
     assert found[7] == (3, 7, True) and found[8] == (3, 7, False) and found[9] == (3, 7, False)
     assert found[None] == (0, None, True)
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def pairs_at(width, n=600, cosine=0.9):
+    x, z = np.random.default_rng(3).normal(size=(2, n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + np.sqrt(1 - cosine * cosine) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("width", [32, 64])
+@pytest.mark.parametrize("hashes", range(1, 9))
+def test_recall_for_every_hash_count(width, hashes):
+    x, y = pairs_at(width)
+    tables, probes = bucket_tables(hashes, width), bucket_probes(hashes)
+    a, b = bucket_keys(x, hashes, tables, probes), bucket_keys(y, hashes, tables, probes)
+    met = (a == b[:, :, :1]).any(axis=(1, 2)) | (b == a[:, :, :1]).any(axis=(1, 2))
+    assert met.mean() >= 0.98
+
+
+def test_plan_grows_with_the_table():
+    plans = [bucket_plan(n, 64) for n in (30_000, 1_000_000, 50_000_000)]
+    assert [h for h, _, _ in plans] == [5, 6, 7]
+    assert plans[0][1] < plans[1][1] < plans[2][1] and plans[0][2] < plans[1][2] < plans[2][2]
+    assert bucket_plan(10, 1)[0] > 0 and bucket_plan(0, 3)[0] > 0
+
+
+def test_links_with_more_hashes(spark):
+    x, y = pairs_at(64, 300, 0.905)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    out = got(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8), hashes=7))
+    assert sum(out[i + 300][1] == i for i in range(300)) >= 0.98 * 300

@@ -2,7 +2,8 @@
 
 A vector is rotated by three rounds of random signs and a fast Hadamard transform; its hash is
 the axis it lies closest to, with its sign. ``hashes`` such hashes make a bucket of one of
-``TABLES`` tables, and each vector also probes the buckets with the next best axes. A probe is
+``TABLES`` or more tables, and each vector also probes the buckets with the next best axes; both
+grow with ``hashes``, so that links at the threshold are found with ``RECALL``. A probe is
 tied to the smallest vector that lives in its bucket; the components of the ties are compared
 exactly, in double precision and in blocks, so no task holds a whole group and no list of pairs
 is made: a block returns link counts and a spanning forest.
@@ -21,8 +22,11 @@ from tidemark.llm._common import U64, _BASE, arrow_map, mix, sorted_groups, tabl
 from tidemark.llm.components import connected_components
 from tidemark.llm.minhash_dedup import forest
 
+#: Least tables, and least probes where there are as many.
 TABLES = 24
 PROBES = 21
+#: Share of isolated pairs at the threshold that meet in some table.
+RECALL = 0.99
 #: Expected unrelated vectors a vector meets, were the buckets even; real ones lean together.
 STRAY = 5e-4
 BLOCK = 256
@@ -81,6 +85,45 @@ def bucket_keys(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int =
     return out
 
 
+def bucket_probes(hashes: int) -> int:
+    """Probes for ``hashes`` hashes: all that change one axis, or two by one rank."""
+    return max(PROBES, 1 + 2 * hashes + hashes * (hashes - 1) // 2)
+
+
+def bucket_tables(hashes: int, width: int, cosine: float = COSINE, probes: int | None = None) -> int:
+    """Tables in which pairs at ``cosine`` meet with ``RECALL``, from the share that meets in one table.
+
+    The share is measured on random pairs of vectors of ``width`` components.
+    """
+    if width < 2 or not -1 < cosine < 1:
+        return TABLES
+    pairs = min(256, max(128, 16384 // width))
+    x, z = np.random.default_rng(7).normal(size=(2, pairs, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + math.sqrt(1 - cosine * cosine) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    probes = probes or bucket_probes(hashes)
+    a, b = bucket_keys(x, hashes, TABLES, probes), bucket_keys(y, hashes, TABLES, probes)
+    met = (a == b[:, :, :1]).any(axis=2) | (b == a[:, :, :1]).any(axis=2)
+    share = max(float(met.mean()), 1 / met.size)
+    return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - min(share, 0.999))))
+
+
+def bucket_plan(vectors: int, width: int, cosine: float = COSINE, tables: int | None = None,
+                probes: int | None = None) -> tuple[int, int, int]:
+    """(hashes, tables, probes) with fewer than ``STRAY`` unrelated vectors met and ``RECALL`` at the threshold."""
+    axes = 2 * (1 << max(1, (max(width, 1) - 1).bit_length()))
+    hashes = 1
+    while True:
+        most = STRAY * axes**hashes / max(2, vectors)
+        wanted = probes or bucket_probes(hashes)
+        if (tables or TABLES) * wanted <= most:
+            made = tables or bucket_tables(hashes, width, cosine, wanted)
+            if made * wanted <= most:
+                return hashes, made, wanted
+        hashes += 1
+
+
 def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, raw vectors in double precision) of each width; unusable rows are left out."""
     values = batch.column(1).to_pylist()
@@ -117,10 +160,11 @@ def _keys(hashes: int, tables: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, x in _vectors(batch):
-                for a in range(0, len(rows), 1000):
-                    keys = bucket_keys(_unit(x[a:a + 1000]), hashes, tables, probes)
+                some = max(1, 1000 * TABLES * PROBES // (tables * probes))
+                for a in range(0, len(rows), some):
+                    keys = bucket_keys(_unit(x[a:a + some]), hashes, tables, probes)
                     each = keys.shape[1] * keys.shape[2]
-                    ids = batch.column(0).take(pa.array(np.repeat(rows[a:a + 1000], each)))
+                    ids = batch.column(0).take(pa.array(np.repeat(rows[a:a + some], each)))
                     home = np.tile(np.arange(each) % keys.shape[2] == 0, len(keys))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64)), pa.array(home)],
                                                      names=["vec_id", "key", "home"])
@@ -157,12 +201,13 @@ def _links(cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES,
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int | None = None,
                  hashes: int | None = None) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, ...)``: n_links, component_id and kept.
 
     ``hashes`` grows with the logarithm of the number of vectors, so that a vector meets fewer
     than ``STRAY`` unrelated ones in all its buckets and the components stay those of near copies.
+    ``tables`` and ``probes`` grow with it, so that recall at ``cosine`` holds for any table size.
 
     * Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
     * Vectors of different width do not link. Equal vectors are one class and link with each other.
@@ -176,10 +221,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     classes = named.groupBy("f1", "f2").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     member = written(named.join(classes, ["f1", "f2"]).select("vec_id", "class_id", "copies"), "classes")
     heads = written(member.where("vec_id = class_id").groupBy("vec_id").agg(F.max("copies").alias("copies")), "heads")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
     if hashes is None:
-        width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
-        axes = 2 * (1 << max(1, (max(width, 1) - 1).bit_length()))
-        hashes = max(1, math.ceil(math.log(max(2, heads.count()) * tables * probes / STRAY) / math.log(axes)))
+        hashes, tables, probes = bucket_plan(heads.count(), width, cosine, tables, probes)
+    else:
+        probes = probes or bucket_probes(hashes)
+        tables = tables or bucket_tables(hashes, width, cosine, probes)
     kept = vectors.join(heads, "vec_id")
     keys = written(arrow_map(kept.select("vec_id", "embedding"), _keys(hashes, tables, probes), "vec_id long, key long, home boolean"),
                    "keys")
