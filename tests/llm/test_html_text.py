@@ -56,3 +56,18 @@ def test_rows_pass_one_by_one(spark):
     out = extract_text(df)
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in out.collect()) == [(0, "x", 1), (1, "", 0), (1, "", 0), (2, "", 0)]
     assert extract_text(df.limit(0)).count() == 0
+
+
+TEXT = "Long enough a paragraph of running text, with a link in it and more words after it."
+
+
+@pytest.mark.parametrize("named", ["layout has-sidebar", "no-sidebar", "container with-nav", "page header-fixed", "two-column right-sidebar",
+                                   "sidebar"])
+def test_wrappers_with_boilerplate_names_keep_the_article(named):
+    page = f"<body><div class='{named}'><div><h1>Head</h1>{P}{P}</div><div class=sidebar><p>Aside text</p></div></div></body>"
+    assert main_text(page) == f"Head {TEXT} {TEXT}"
+
+
+def test_names_of_parts_of_an_article_stay():
+    page = f"<article><h1>Head</h1>{P}<section id='legal-basis'>{P}</section><h2 id='related-work'>Work</h2>{P}<div class='share-box'>x</div></article>"
+    assert main_text(page) == f"Head {TEXT} {TEXT} Work {TEXT}"

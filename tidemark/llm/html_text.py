@@ -5,7 +5,8 @@ as link text. Every node gets its composite density: characters per tag, adjuste
 them is link text. The node whose children's densities sum highest holds the main text. The
 least density on the path from it up to the body is the threshold: while an ancestor has another
 child at or above it (a title beside the body of an article), the ancestor is taken instead.
-Elements that are boilerplate by tag, class, id or role never enter the tree.
+Elements that are boilerplate by tag or role never count; nor do those named so by a whole word of
+class or by the id, unless they hold most of the page's text outside links.
 """
 
 from __future__ import annotations
@@ -32,70 +33,86 @@ DROPPED = frozenset("script style noscript template textarea title iframe head n
                     "option svg object dialog menu canvas input label fieldset search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NAMES = re.compile(
-    r"(^|[\s_-])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar\w*|side|footer|header|masthead|cookies?|"
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar\w*|side|footer|header|masthead|cookies?|"
     r"consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|"
     r"disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|toolbar|widget|"
-    r"copyright|legal|disclaimer|skip)($|[\s_-])", re.IGNORECASE)
+    r"copyright|legal|disclaimer|skip", re.IGNORECASE)
+#: Words that may stand beside a name in one class or id without changing what it says.
+BESIDE = re.compile(r"left|right|top|bottom|site|global|primary|secondary|wrapper|container|box|area|block|list|items?|bar|links|"
+                    r"posts|articles|stories|\d+", re.IGNORECASE)
+#: Implied ends: an item ends the one before it.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+GONE, NAMED = 1, 2
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
                    re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("chars", "density", "items", "links", "link_tags", "name", "tags", "up")
+    __slots__ = ("chars", "density", "drop", "items", "links", "link_tags", "name", "tags", "up")
 
-    def __init__(self, name: str, up: Node | None):
-        self.name, self.up, self.items = name, up, []
+    def __init__(self, name: str, up: Node | None, drop: int = 0):
+        self.name, self.up, self.items, self.drop = name, up, [], drop
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = 0.0
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+def _named(value: str) -> bool:
+    """Whether a word of a class or an id consists of boilerplate names and words beside them."""
+    parts = [p for p in re.split(r"[_-]+", value) if p]
+    told = [bool(NAMES.fullmatch(p)) for p in parts]
+    return any(told) and all(t or BESIDE.fullmatch(p) for t, p in zip(told, parts, strict=True))
+
+
+def _boilerplate(name: str, attributes: str) -> int:
+    """GONE by tag, role or hidden, NAMED by class or id, else 0."""
     if name in DROPPED:
-        return True
+        return GONE
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
+        return 0
+    found = 0
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key in ("class", "id") and NAMES.search(value):
-            return True
-    return False
+            return GONE
+        if key == "class" and any(map(_named, value.split())) or key == "id" and name not in HEADINGS and _named(value.strip()):
+            found = NAMED
+    return found
 
 
 def parse(page: str) -> Node:
     """Tree of the block elements of a page, with text runs in order; boilerplate is left out."""
     root = node = Node("body", None)
     open_tags: list[tuple[str, Node]] = []  # every open element with the node to go back to
-    dropped: list[str] = []  # open elements inside a dropped one, itself first
+    boundary: list[int] = []  # places in open_tags of the elements that are to be dropped
     link = at = 0
+
+    def close(k: int) -> None:
+        nonlocal node, link
+        node = open_tags[k][1]
+        link -= sum(tag == "a" for tag, _ in open_tags[k:])
+        del open_tags[k:]
+        while boundary and boundary[-1] >= k:
+            boundary.pop()
+
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if not dropped and m.start() > at:
+        if m.start() > at:
             _text(node, page[at:m.start()], link)
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
-            if not dropped and m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA["):
                 _text(node, page[m.start() + 9:at].removesuffix("]]>"), link)
             continue
         if m[1]:
-            if dropped:
-                if name in dropped:
-                    del dropped[len(dropped) - 1 - dropped[::-1].index(name):]
-                elif any(tag == name and name in BLOCKS for tag, _ in open_tags) and name in ("body", "html", "article", "main"):
-                    dropped = []
-                if dropped:
-                    continue
-            if any(tag == name for tag, _ in open_tags):
-                while open_tags:
-                    tag, back = open_tags.pop()
-                    link -= tag == "a"
-                    node = back
-                    if tag == name:
-                        break
+            k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name), -1)
+            if k >= 0:
+                # The end of an inline element from outside does not end a dropped block.
+                if name in BLOCKS or not boundary or k >= boundary[-1] or open_tags[boundary[-1]][0] not in BLOCKS:
+                    close(k)
             elif name == "br":
                 node.items.append(" ")
             continue
@@ -105,49 +122,60 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
             continue
         empty = name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS
-        if dropped:
-            if not empty:
-                dropped.append(name)
-            continue
         if name in BLOCKS and name not in ("html", "body"):
             # A block ends an open paragraph; an item ends the one before it.
-            ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
             for k in range(len(open_tags) - 1, -1, -1):
                 tag = open_tags[k][0]
-                if tag == "p" or tag in ends.get(name, ()):
-                    node = open_tags[k][1]
-                    link -= sum(t == "a" for t, _ in open_tags[k:])
-                    del open_tags[k:]
+                if tag == "p" or tag in ENDS.get(name, ()):
+                    close(k)
                     if tag != "p":
                         break
-                elif tag in BLOCKS and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                elif tag in BLOCKS and tag not in HEADINGS:
                     break
-        if _boilerplate(name, attributes):
-            if not empty:
-                dropped = [name]
-            continue
-        if name in ("html", "body"):
+        drop = _boilerplate(name, attributes)
+        if name in ("html", "body") or drop and empty:
             continue
         if empty:
             node.tags += 1
             if name in ("br", "hr"):
                 node.items.append(" ")
             continue
+        if drop:
+            boundary.append(len(open_tags))
         open_tags.append((name, node))
-        if name in BLOCKS:
-            child = Node(name, node)
+        if drop or name in BLOCKS:
+            child = Node(name, node, drop)
             node.items.append(child)
             node = child
         else:
             node.tags += 1
-            if name == "a":
-                link += 1
-                node.link_tags += 1
-    if not dropped and at < len(page):
+        if name == "a":
+            link += 1
+            node.link_tags += 1
+    if at < len(page):
         _text(node, page[at:], link)
+    _prune(root)
     return root
 
 
+def _prune(root: Node) -> None:
+    """Takes dropped elements out; a named one stays if it holds most of the text outside links."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        node.items = [x for x in node.items if isinstance(x, str) or x.drop != GONE]
+        order.append(node)
+        stack.extend(x for x in node.items if isinstance(x, Node))
+    if not any(node.drop for node in order):
+        return
+    plain: dict[Node, int] = {}
+    for node in reversed(order):
+        plain[node] = node.chars - node.links + sum(plain[x] for x in node.items if isinstance(x, Node))
+    for node in order:
+        if node.drop and 2 * plain[node] <= plain[root]:
+            node.up.items = [x for x in node.up.items if x is not node]
+
+
 def _text(node: Node, run: str, link: int) -> None:
     run = html.unescape(run) if "&" in run else run
     node.items.append(run)
