@@ -71,3 +71,19 @@ def test_wrappers_with_boilerplate_names_keep_the_article(named):
 def test_names_of_parts_of_an_article_stay():
     page = f"<article><h1>Head</h1>{P}<section id='legal-basis'>{P}</section><h2 id='related-work'>Work</h2>{P}<div class='share-box'>x</div></article>"
     assert main_text(page) == f"Head {TEXT} {TEXT} Work {TEXT}"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div><h1>Head</h1><p class='notice'>Small note{P}{P}</div></body>",
+    f"<body><div><h1>Head</h1><p role=alert>Small note<div>{P}{P}</div></div></body>",
+    f"<body><div><h1>Head</h1><ul><li class='share'>Share</ul>{P}{P}</div></body>",
+    f"<body><section><nav><a href=1>One</a></section><div><h1>Head</h1>{P}{P}</div></body>",
+    f"<html><body><nav><a href=1>One</a></body><article><h1>Head</h1>{P}{P}</article></html>",
+])
+def test_dropped_elements_without_an_end_tag(page):
+    assert main_text(page) == f"Head {TEXT} {TEXT}"
+
+
+def test_an_item_ends_a_dropped_item():
+    assert main_text("<article><p>Before</p><ul><li class=share>Share<li>Item one<li>Item two</ul><p>After</p></article>") \
+        == "Before Item one Item two After"

@@ -109,7 +109,10 @@ def parse(page: str) -> Node:
             continue
         if m[1]:
             k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name), -1)
-            if k >= 0:
+            if name in ("html", "body"):
+                if boundary:
+                    close(boundary[0])
+            elif k >= 0:
                 # The end of an inline element from outside does not end a dropped block.
                 if name in BLOCKS or not boundary or k >= boundary[-1] or open_tags[boundary[-1]][0] not in BLOCKS:
                     close(k)
@@ -278,7 +281,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): one row per row of ``pages(page_id, url, html, ...)``.
 
     Null, empty and markup-only pages give an empty text; broken markup (unclosed, crossed or
-    stray tags, open comments) is read leniently and to its end. Null ids and urls, and repeated
+    stray tags, open comments) is read leniently and to its end, also inside dropped elements. Null ids and urls, and repeated
     rows pass through one by one; extra columns are not read; nothing is cut off.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
