@@ -13,15 +13,17 @@ from tidemark.llm.oracle_sql import OP1_SQL, OP4_SQL, OP7_SQL
 from tidemark.llm.personal_data import op10_personal_data
 from tidemark.llm.quality_rules import OP12_SQL, op12_quality_rules
 from tidemark.llm.secrets import op9_secret_scan
+from tidemark.llm.spelling_variants import OP11_SQL, op11_spelling_variants
 from tidemark.llm.substring_dedup import op4_substring_dedup
 
 
 def registry() -> dict:
     found = [op1_minhash_dedup, op2_decontamination, op3_language_id, op4_substring_dedup, op5_mixing, op6_license_scan, op7_embedding_dedup, op8_html_extraction, op9_secret_scan, op10_personal_data,
-             op12_quality_rules]
+             op11_spelling_variants, op12_quality_rules]
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
     return {"op1_minhash_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL,
-            "op7_embedding_dedup": OP7_SQL, "op12_quality_rules": OP12_SQL}
+            "op7_embedding_dedup": OP7_SQL, "op11_spelling_variants": OP11_SQL,
+            "op12_quality_rules": OP12_SQL}
