@@ -15,11 +15,12 @@ from tidemark.llm.quality_rules import OP12_SQL, op12_quality_rules
 from tidemark.llm.secrets import op9_secret_scan
 from tidemark.llm.spelling_variants import OP11_SQL, op11_spelling_variants
 from tidemark.llm.substring_dedup import op4_substring_dedup
+from tidemark.llm.token_alignment import op13_token_alignment
 
 
 def registry() -> dict:
     found = [op1_minhash_dedup, op2_decontamination, op3_language_id, op4_substring_dedup, op5_mixing, op6_license_scan, op7_embedding_dedup, op8_html_extraction, op9_secret_scan, op10_personal_data,
-             op11_spelling_variants, op12_quality_rules]
+             op11_spelling_variants, op12_quality_rules, op13_token_alignment]
     return {f.__name__: f for f in found}
 
 
