@@ -50,9 +50,11 @@ def assign_ids(new_rows: DataFrame, max_id: Column | int, order: list[str] | Non
 
 
 def upsert_discovered(catalog: DataFrame, listing: DataFrame, config: DataFrame | None = None, *, as_of,
-                      order_col: str | None = None, requeue: bool = False) -> DataFrame:
+                      order_col: str | None = None, requeue: bool = False, max_id: Column | int | None = None) -> DataFrame:
     """S-01 (with S-06 fused when ``requeue``): the next catalog after one discovery.
 
+    ``max_id`` is the highest id given so far, for catalogs of which only a part is passed in.
+
     Unseen files come in as NEW with 0 attempts and fresh ids; seen ones get the listed name,
     checksum, size, key and ``updated_at``; unlisted rows stay. With ``requeue`` an UPLOADED or
     CORRUPTED row whose checksum changed against its pre-upsert value becomes NEW (trap T1).
@@ -98,7 +100,7 @@ def upsert_discovered(catalog: DataFrame, listing: DataFrame, config: DataFrame
     if "status_changed_at" in cols:
         out["status_changed_at"] = F.when(in_c & ~changed, F.col("c_status_changed_at")).otherwise(t)
     merged = j.select(*[v.alias(k) for k, v in out.items()])
-    max_id = catalog.select(F.max("id")).scalar()
+    max_id = catalog.select(F.max("id")).scalar() if max_id is None else max_id
     seen = merged.where(F.col("id").isNotNull())
     fresh = assign_ids(merged.where(F.col("id").isNull()), max_id)
     return seen.unionByName(fresh.select(*cols))

@@ -673,8 +673,9 @@ SELECT source_name, file_id, file_name, md5, size FROM fx_listing l WHERE EXISTS
     q["meta_file_id"] = with_fixtures(
         "SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN file_id END AS meta_file_id FROM fx_listing", "fx_listing")
     job = files + f""",
-v2 AS (SELECT doc_id, source, rel, CASE WHEN doc_id % 3 = 0 THEN text || ' v2' ELSE text END AS text FROM kept),
-sz AS (SELECT *, coalesce(strlen(text), 0) <= 20000 AS fits FROM v2),
+v2 AS (SELECT doc_id, source, rel, CASE WHEN doc_id % 500 = 1 THEN repeat(text || ' ', CAST(ceil(500001.0 / (length(text) + 1)) AS BIGINT))
+                                        WHEN doc_id % 3 = 0 THEN text || ' v2' ELSE text END AS text FROM kept),
+sz AS (SELECT *, coalesce(strlen(text), 0) <= 500000 AS fits FROM v2),
 st AS (SELECT doc_id, rel, source, fits, regexp_replace(coalesce(text, ''), {uws}, '', 'g') AS text FROM sz),
 old AS (SELECT rel, regexp_replace(coalesce(text, ''), {uws}, '', 'g') <> '' AS indexed FROM kept)"""
     # A pruned run also drops the files that no longer belong to the corpus, here the large ones.

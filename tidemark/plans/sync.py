@@ -85,7 +85,8 @@ def plan_sync(listing: DataFrame, catalog: DataFrame, inventory: DataFrame,
 
 
 def discover(listing: DataFrame, catalog: DataFrame, config: DataFrame | None = None, *, as_of,
-             sources: list[str] | None = None, order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+             sources: list[str] | None = None, order_col: str | None = None,
+             max_id: Column | int | None = None) -> tuple[DataFrame, DataFrame]:
     """K-02: one sync of the given sources (all when ``sources`` is None).
 
     Returns (next catalog, work list). The upsert keeps unlisted rows, and a changed
@@ -95,7 +96,7 @@ def discover(listing: DataFrame, catalog: DataFrame, config: DataFrame | None =
     from tidemark.operators.catalog import upsert_discovered
 
     lst = listing if sources is None else listing.where(F.col("source_name").isin(list(sources)))
-    nxt = upsert_discovered(catalog, lst, config, as_of=as_of, order_col=order_col, requeue=True)
+    nxt = upsert_discovered(catalog, lst, config, as_of=as_of, order_col=order_col, requeue=True, max_id=max_id)
     work = lst.select(*FILE_KEY).distinct()
     return nxt, work
 

@@ -27,6 +27,7 @@ from tidemark.plans.audit import audit_sources, issue_set
 from tidemark.plans.integrity import diagnose_bytes, frame_samples, quarantine, validate_media
 from tidemark.plans.sync import discover, plan_sync, verify_transfer
 from tidemark.sources.fixtures import CHUNK_BYTES, STALE_SECONDS, fixtures
+from tidemark.sources.corpus import MAX_BYTES
 from tidemark.sources.tables import table
 from tidemark.functions.text import file_mtime_key, snippet
 from tidemark.operators.retrieval import (
@@ -501,7 +502,7 @@ def q_stream_discover(spark, sf):
     from tidemark.streaming.snapshots import read_version, write_version
     listing, catalog, _ = _sync_inputs(spark, sf)
     base = _scratch(spark, "stream-discover")
-    write_version(catalog, f"{base}/catalog", 0)
+    write_version(catalog, f"{base}/catalog", 0, key=FILE_KEY, watch=["id"], sort_by=FILE_KEY)
     rows = _listing_rows(listing, _as_of(catalog))
     _write_parts([rows.where(listing["doc_id"] % 4 == i) for i in range(4)], f"{base}/in")
     stream_discover(spark, f"{base}/in", f"{base}/catalog", f"{base}/ckpt").awaitTermination()
@@ -667,22 +668,25 @@ def q_meta_file_id(spark, sf):
 
 
 def _index_runs(spark, sf):
-    """Two runs of the index job over files: all of them, then those that changed in between."""
+    """Two runs of the index job over files: all of them, then those that changed in between, of
+    which some have outgrown the size limit. The second run is one delta of the stored index."""
     from tidemark.plans.index import build_index
     from tidemark.sources.materialize import document_rel_path, write_text_files
-    from tidemark.streaming.snapshots import read_version, write_version
+    from tidemark.streaming.snapshots import read_version, write_batch, write_version
     root, store = _doc_files(spark, sf, "index-job"), _scratch(spark, "index-store")
     roots = sorted(_source_dirs(spark, sf, root))
-    write_version(build_index(spark, roots).index, store, 0)
-    changed = table(spark, sf, "documents").where(F.col("doc_id") % 3 == 0)
-    write_text_files(changed.select(document_rel_path().alias("rel"), F.concat(F.col("text"), F.lit(" v2")).alias("text")),
-                     root).count()
-    run = build_index(spark, roots, index=read_version(spark, store), prune=True, max_bytes=JOB_MAX_BYTES)
-    write_version(run.index, store, 1)
+    write_version(build_index(spark, roots).index, store, 0, key=["file"])
+    grown = F.col("doc_id") % 500 == 1
+    changed = table(spark, sf, "documents").where((F.col("doc_id") % 3 == 0) | grown)
+    often = F.ceil(F.lit(MAX_BYTES + 1) / (F.length("text") + 1)).cast("int")
+    text = F.when(grown, F.expr("repeat(concat(text, ' '), often)")).otherwise(F.concat(F.col("text"), F.lit(" v2")))
+    write_text_files(changed.withColumn("often", often).select(document_rel_path().alias("rel"), text.alias("text")), root).count()
+    run = build_index(spark, roots, index=read_version(spark, store), prune=True)
+    write_batch(run.changes, store, gone=run.gone)
     return run, read_version(spark, store), root
 
 
-#: Size limit of the second index run, so that some files are left out and reported.
+#: A lower size limit, for the query that lists the files above one.
 JOB_MAX_BYTES = 20_000
 
 
