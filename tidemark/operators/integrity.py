@@ -122,26 +122,30 @@ def hash_files(paths: DataFrame, path_col: str = "path", block: int = MIB) -> Da
     return paths.select(path_col).mapInPandas(run, f"{path_col} string, sha256 string")
 
 
-def read_ranges(requests: DataFrame, path_col: str = "path") -> DataFrame:
+def read_ranges(requests: DataFrame, path_col: str = "path", keep: list[str] | None = None) -> DataFrame:
     """C-06 for large files: ``path, name, offset, length`` rows, each read by seeking inside
-    the task; returns the rows with ``sha256`` of the range (NULL when the file is missing)."""
+    the task, a block at a time; returns the rows (with the columns ``keep``) with the ``sha256``
+    of the range. A file that cannot be opened, or ends inside the range, keeps its row with a
+    NULL hash and the reason in ``read_error``."""
+    def hashed(path: str, offset: int, length: int) -> tuple[str | None, str | None]:
+        try:
+            with open_input(path) as fh:
+                fh.seek(offset)
+                h, left = hashlib.sha256(), length
+                while left > 0:
+                    piece = fh.read(min(MIB, left))
+                    if not piece:
+                        return None, f"EOFError: {left} bytes short"
+                    h.update(piece)
+                    left -= len(piece)
+                return h.hexdigest(), None
+        except (OSError, ValueError) as exc:
+            return None, f"{type(exc).__name__}: {exc}"
+
     def run(batches):
         for pdf in batches:
-            hashes = []
-            for p, off, ln in zip(pdf[path_col], pdf["offset"], pdf["length"]):
-                try:
-                    with open_input(p) as fh:
-                        fh.seek(int(off))
-                        h, left = hashlib.sha256(), int(ln)
-                        while left > 0:
-                            piece = fh.read(min(MIB, left))
-                            if not piece:
-                                break
-                            h.update(piece)
-                            left -= len(piece)
-                        hashes.append(h.hexdigest())
-                except FileNotFoundError:
-                    hashes.append(None)
-            yield pdf.assign(sha256=hashes)
-    schema = requests.select(path_col, "name", "offset", "length").schema.simpleString()[7:-1] + ", sha256 string"
-    return requests.select(path_col, "name", "offset", "length").mapInPandas(run, schema)
+            got = [hashed(p, int(o), int(n)) for p, o, n in zip(pdf[path_col], pdf["offset"], pdf["length"], strict=True)]
+            yield pdf.assign(sha256=[g[0] for g in got], read_error=[g[1] for g in got])
+
+    wanted = requests.select(*(keep or []), path_col, "name", "offset", "length")
+    return wanted.mapInPandas(run, wanted.schema.simpleString()[7:-1] + ", sha256 string, read_error string")

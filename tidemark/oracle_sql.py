@@ -254,10 +254,16 @@ ITEMS = ("source_name, file_id, file_name, source_md5, source_size, object_key,
          "status, array_to_string(issues, ',') AS issues")
 
 
-def bytes_sql(select: str, full: bool = False) -> str:
+def bytes_sql(select: str, full: bool = False, as_files: bool = False) -> str:
+    """K-05 over ``fx_bytes``; ``as_files`` counts and cuts bytes of UTF-8 instead of characters."""
+    size = "strlen" if as_files else "length"
+
+    def piece(column: str) -> str:
+        return f"array_slice(encode({column}), r.off + 1, r.off + r.ln)" if as_files else f"substring({column}, r.off + 1, r.ln)"
+
     return with_fixtures(f"""
-WITH files AS (SELECT doc_id, 'bytes/' || CAST(doc_id AS VARCHAR) AS object_key, length(source_bytes) AS source_size,
-                      length(stored_bytes) AS store_size, source_md5, meta_checksum, source_bytes, stored_bytes
+WITH files AS (SELECT doc_id, 'bytes/' || CAST(doc_id AS VARCHAR) AS object_key, {size}(source_bytes) AS source_size,
+                      {size}(stored_bytes) AS store_size, source_md5, meta_checksum, source_bytes, stored_bytes
                FROM fx_bytes),
 hashed AS (SELECT * FROM files WHERE store_size IS NOT NULL AND source_size = store_size),
 rb AS (SELECT doc_id, source_size AS s, least(source_size, {CHUNK_BYTES}) AS ln FROM hashed WHERE source_size > 0),
@@ -266,8 +272,8 @@ rr AS (SELECT doc_id, 'head' AS name, 0 AS p, CAST(0 AS BIGINT) AS off, ln FROM
        UNION ALL SELECT doc_id, 'tail', 2, s - ln, ln FROM rb),
 ranges AS (SELECT * FROM rr QUALIFY row_number() OVER (PARTITION BY doc_id, off, ln ORDER BY p) = 1),
 cmp AS (SELECT r.doc_id, r.name, r.off AS "offset", r.ln AS length,
-               sha256(substring(h.source_bytes, r.off + 1, r.ln)) AS source_sha256,
-               sha256(substring(h.stored_bytes, r.off + 1, r.ln)) AS store_sha256
+               sha256({piece('h.source_bytes')}) AS source_sha256,
+               sha256({piece('h.stored_bytes')}) AS store_sha256
         FROM ranges r JOIN hashed h USING (doc_id)),
 cmpm AS (SELECT *, coalesce(source_sha256 = store_sha256, false) AS match FROM cmp),
 agg AS (SELECT doc_id, count(*) AS n_ranges, CAST(sum(CASE WHEN match THEN 1 ELSE 0 END) AS BIGINT) AS ranges_matched,
@@ -498,6 +504,9 @@ FROM (SELECT DISTINCT source_name FROM cfg) c""")
                 "ranges_matched, full_sha256_match, verdict")
     q["diagnose_bytes"] = bytes_sql(f"SELECT {rep_cols}, 'chunks' AS mode FROM verdicts")
     q["diagnose_bytes_full"] = bytes_sql(f"SELECT {rep_cols}, 'full' AS mode FROM verdicts", full=True)
+    q["diagnose_files"] = bytes_sql(f"SELECT {rep_cols}, 'chunks' AS mode FROM verdicts", as_files=True)
+    q["diagnose_files_full"] = bytes_sql(f"SELECT {rep_cols}, 'full' AS mode FROM verdicts", full=True, as_files=True)
+    q["range_read"] = bytes_sql('SELECT doc_id, name, "offset", length, source_sha256, store_sha256, match FROM cmpm', as_files=True)
     q["hash_compare"] = bytes_sql('SELECT doc_id, name, "offset", length, source_sha256, store_sha256, match FROM cmpm')
     q["all_ranges_match"] = bytes_sql("SELECT doc_id, n_ranges, ranges_matched, any_mismatch, all_match FROM agg")
     q["content_hash"] = with_fixtures(

@@ -24,7 +24,7 @@ from tidemark.operators.joins import (
     stat_objects, with_config,
 )
 from tidemark.plans.audit import audit_sources, issue_set
-from tidemark.plans.integrity import diagnose_bytes, frame_samples, quarantine, validate_media
+from tidemark.plans.integrity import diagnose_bytes, diagnose_files, frame_samples, quarantine, validate_media
 from tidemark.plans.sync import discover, plan_sync, verify_transfer
 from tidemark.sources.fixtures import CHUNK_BYTES, STALE_SECONDS, fixtures
 from tidemark.sources.corpus import MAX_BYTES
@@ -309,6 +309,35 @@ def q_diagnose_bytes_full(spark, sf):
     return report
 
 
+def _byte_files(spark, sf):
+    """The two copies of ``fx_bytes`` as objects inside files, with what listing and inventory say of them."""
+    from tidemark.sources.materialize import write_packed
+    files, source, store = _bytes(spark, sf)
+
+    def packed(side, name):
+        at = _scratch(spark, name)
+        write_packed(side.withColumn("content", F.col("content").cast("binary")), f"{at}/objects", "doc_id").write.parquet(f"{at}/rows")
+        return spark.read.parquet(f"{at}/rows")
+    one, two = packed(source, "source-objects"), packed(store, "store-objects")
+    sized = files.drop("source_size").join(one.select("doc_id", F.col("size").alias("source_size")), "doc_id", "left")
+    return sized, one, two
+
+
+def q_diagnose_files(spark, sf):
+    report, _ = diagnose_files(*_byte_files(spark, sf), key="doc_id", chunk=CHUNK_BYTES)
+    return report
+
+
+def q_diagnose_files_full(spark, sf):
+    report, _ = diagnose_files(*_byte_files(spark, sf), key="doc_id", mode="full")
+    return report
+
+
+def q_range_read(spark, sf):
+    _, compared = diagnose_files(*_byte_files(spark, sf), key="doc_id", chunk=CHUNK_BYTES)
+    return compared.select("doc_id", "name", "offset", "length", "source_sha256", "store_sha256", "match")
+
+
 def q_hash_compare(spark, sf):
     files, source, store = _bytes(spark, sf)
     _, compared = diagnose_bytes(files, source, store, key="doc_id", chunk=CHUNK_BYTES)
