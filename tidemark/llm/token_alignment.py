@@ -24,6 +24,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm._common import table, text_slices, written
 
 FOLDER, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Documents and bytes of text of a chunk, bytes of text encoded together, stretches remembered.
-CHUNK_DOCS, CHUNK_BYTES, BATCH_BYTES, REMEMBERED = 1 << 16, 16 << 20, 4 << 20, 200_000
+#: Documents and bytes of text of a chunk, bytes of text read together, characters of stretches
+#: encoded together, stretches remembered.
+CHUNK_DOCS, CHUNK_BYTES, BATCH_BYTES, JOINED, REMEMBERED = 1 << 16, 16 << 20, 8 << 20, 1 << 15, 300_000
 #: A single space between printed characters that no vocabulary or split rule treats as space.
 _CUT = re.compile("(?<=[!-~À-ÿ]) (?=[!-~À-ÿ])")
+_PRINTED = {chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x100))}
 _SPACE_MARK = "▁"
+_PAIR_BITS = 1 << 24
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,23 +65,28 @@ class Encoders:
         self.b = SentencePieceProcessor(model_file=os.path.join(folder, b_file))
         letters = byte_letters()
         special = {i for i, t in self.a.get_added_tokens_decoder().items() if t.special}
-        self.a_bytes = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab().items() if i not in special}
+        # Bytes of each token by id; none where an id has no text of its own.
+        self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
+        for t, i in self.a.get_vocab().items():
+            if i not in special:
+                self.a_bytes[i] = bytes(letters[c] for c in t)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE_MARK, " ").encode()
-                        for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_unknown(i))}
-        if not all(self.a_bytes.values()) or not all(self.b_bytes.values()):
-            raise ValueError("a token without bytes cannot be placed")
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i)
+                        else p.replace(_SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_length, self.b_length = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.width = np.array([len(str(i)) for i in range(most)])
+        self.digits = np.zeros((most, int(self.width.max()) + 1), dtype=np.uint8)
+        for i in range(most):
+            self.digits[i, :self.width[i]] = list(str(i).encode())
         #: Whether texts may be cut at single spaces before B encodes them.
         self.separable = not any(_SPACE_MARK in p.lstrip(_SPACE_MARK) for p in pieces)
 
     def stretches(self, text: str) -> list[str]:
         return _CUT.split(text) if self.separable else [text]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        b = self.b.encode(texts, num_threads=1)
-        for x, y in zip(a, b, strict=True):
-            yield x.ids, y
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        return self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
 
 
 @functools.lru_cache(maxsize=2)
@@ -85,25 +94,58 @@ def encoders(folder: str, a_file: str, b_file: str) -> Encoders:
     return Encoders(folder, a_file, b_file)
 
 
-def groups_of(raw: bytes, a: list[int], b: list[int], a_bytes: dict, b_bytes: dict) -> list[tuple[list[int], list[int]]] | None:
-    """The tokens of ``raw`` between common ends, or None if one side does not spell it."""
-    if b"".join(map(a_bytes.get, a, [b"\xff"] * len(a))) != raw:
-        return None
-    if b"".join(map(b_bytes.get, b, [b"\xff"] * len(b))) != raw:
-        return None
-    out, i, j, from_i, from_j = [], 0, 0, 0, 0
-    end_a = end_b = 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b:
-            end_a += len(a_bytes[a[i]])
-            i += 1
-        else:
-            end_b += len(b_bytes[b[j]])
-            j += 1
-        if end_a == end_b:
-            out.append((a[from_i:i], b[from_j:j]))
-            from_i, from_j = i, j
-    return out
+@dataclass
+class Aligned:
+    """Alignment of some stretches: counts and links of each, and the text of its groups."""
+
+    sizes: np.ndarray       # per stretch: tokens of A, tokens of B, groups, 1 if both sides spell it
+    pairs: np.ndarray       # the links (A id, B id) as one number each, stretch by stretch
+    spelt: list[bytes]
+
+
+def align(enc: Encoders, stretches: list[str]) -> Aligned:
+    """Encode ``stretches`` in one go, a space before each, and align them.
+
+    If their tokens do not spell them, or do not part where they do, each is tried by itself.
+    """
+    text = " ".join(stretches)
+    raw = (" " + text).encode("utf-8", "surrogatepass")
+    a_ids, b_ids = enc.encode(text)
+    if b"".join([enc.a_bytes[i] for i in a_ids]) != raw or b"".join([enc.b_bytes[i] for i in b_ids]) != raw:
+        return _one_by_one(enc, stretches)
+    a, b = np.array(a_ids, dtype=np.int64), np.array(b_ids, dtype=np.int64)
+    end_a, end_b = np.cumsum(enc.a_length[a]), np.cumsum(enc.b_length[b])
+    place = np.searchsorted(end_b, end_a)
+    last_a = np.flatnonzero(end_b[np.minimum(place, len(b) - 1)] == end_a)     # last token of each group
+    last_b = place[last_a]
+    ends = np.cumsum([1 + len(s.encode("utf-8", "surrogatepass")) for s in stretches])
+    whole = np.searchsorted(end_a[last_a], ends)
+    if not np.array_equal(end_a[last_a][np.minimum(whole, len(last_a) - 1)], ends):
+        return _one_by_one(enc, stretches)
+    sizes = np.stack([np.diff(last_a[whole], prepend=-1), np.diff(last_b[whole], prepend=-1), np.diff(whole, prepend=-1),
+                      np.ones(len(stretches), dtype=np.int64)], axis=1)
+
+    # Tokens group by group, A's before B's, each in decimal digits and with the mark that follows it.
+    many_a, many_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    at_a = np.arange(len(a)) + np.repeat(np.cumsum(many_b) - many_b, many_a)
+    at_b = np.arange(len(b)) + np.repeat(np.cumsum(many_a), many_b)
+    ids = np.empty(len(a) + len(b), dtype=np.int64)
+    ids[at_a], ids[at_b] = a, b
+    mark = np.full(len(ids), ord(","), dtype=np.uint8)
+    mark[at_a[last_a]], mark[at_b[last_b]] = ord("|"), ord(";")
+    rows, width = enc.digits[ids], enc.width[ids]
+    rows[np.arange(len(ids)), width] = mark
+    flat = rows[np.arange(rows.shape[1]) <= width[:, None]].tobytes()
+    stop = np.cumsum(width + 1)[np.cumsum(sizes[:, 0] + sizes[:, 1]) - 1].tolist()
+    spelt = [flat[x:y - 1] for x, y in zip([0, *stop[:-1]], stop, strict=True)]
+    return Aligned(sizes, a[last_a] * _PAIR_BITS + b[last_b], spelt)
+
+
+def _one_by_one(enc: Encoders, stretches: list[str]) -> Aligned:
+    if len(stretches) == 1:
+        return Aligned(np.zeros((1, 4), dtype=np.int64), np.zeros(0, np.int64), [b""])
+    parts = [align(enc, [s]) for s in stretches]
+    return Aligned(np.concatenate([p.sizes for p in parts]), np.concatenate([p.pairs for p in parts]), [p.spelt[0] for p in parts])
 
 
 class Stretches:
@@ -116,22 +158,30 @@ class Stretches:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.spelt: list[bytes] = []
-        self.sizes: list[tuple[int, int, int, bool]] = []
-        self.links: list[list[tuple[int, int]]] = []
+        self.sizes = np.zeros((0, 4), dtype=np.int64)
+        self.pairs = np.zeros(0, dtype=np.int64)
 
     def learn(self, texts: set[str]) -> None:
         new = list(texts - self.number.keys())
-        for text, (a, b) in zip(new, self.enc.encode(new), strict=True):
-            groups = groups_of(b" " + text.encode("utf-8", "surrogatepass"), a, b, self.enc.a_bytes, self.enc.b_bytes)
-            self.number[text] = len(self.spelt)
-            self.spelt.append(b";".join(b"%s|%s" % (",".join(map(str, x)).encode(), ",".join(map(str, y)).encode()) for x, y in groups or ()))
-            self.sizes.append((len(a), len(b), len(groups or ()), groups is not None))
-            self.links.append([(x[-1], y[-1]) for x, y in groups or ()])
+        joined = [s for s in new if self.enc.separable and s[0] in _PRINTED and s[-1] in _PRINTED]
+        alone = set(joined)
+        blocks = [[s] for s in new if s not in alone]
+        at, held = 0, 0
+        for i, s in enumerate(joined, 1):
+            held += len(s) + 1
+            if held >= JOINED or i == len(joined):
+                blocks.append(joined[at:i])
+                at, held = i, 0
+        parts = [align(self.enc, block) for block in blocks]
+        for s in (s for block in blocks for s in block):
+            self.number[s] = len(self.number)
+        self.spelt += [x for p in parts for x in p.spelt]
+        self.sizes = np.concatenate([self.sizes, *(p.sizes for p in parts)])
+        self.pairs = np.concatenate([self.pairs, *(p.pairs for p in parts)])
 
 
 # ------------------------------------------------------------------ bitmaps
 
-_PAIR_BITS = 1 << 24
 _DOC_FIELDS = ["doc_id long", "chunk long", "number int", "n_a long", "n_b long", "n_groups long", "n_links long", "groups_sha256 string"]
 _BIT_FIELDS = ["a int", "b int", "plane int", "dense boolean", "bits binary", "ones long"]
 _SCHEMA = ", ".join(_DOC_FIELDS + _BIT_FIELDS)
@@ -244,28 +294,22 @@ def _documents(batch: pa.RecordBatch, enc: Encoders, known: Stretches, chunk: Ch
     if len(known.number) > REMEMBERED:
         known.forget()
     known.learn(set().union(*cut))
-    numbers = [list(map(known.number.__getitem__, c)) for c in cut]
-    sizes = np.array(known.sizes, dtype=np.int64).reshape(-1, 4)
-    counts = np.zeros((len(texts), 3), dtype=np.int64)
-    digests, linked, owner = [], [], []
-    for i, mine in enumerate(numbers):
-        if not mine or not sizes[mine, 3].all():
-            digests.append("")
-            continue
-        counts[i] = sizes[mine, :3].sum(axis=0)
-        digests.append(hashlib.sha256(b";".join([known.spelt[x] for x in mine])).hexdigest())
-        linked.append(np.array(mine, dtype=np.int64))
-        owner.append(np.full(len(mine), chunk.docs + i))
-    if linked:
-        used, place = np.unique(np.concatenate(linked), return_inverse=True)
-        lists = [known.links[x] for x in used.tolist()]
-        many = np.array([len(x) for x in lists])
-        pairs = np.array([p for x in lists for p in x], dtype=np.int64)
-        pairs = pairs[:, 0] * _PAIR_BITS + pairs[:, 1]
-        begin = np.cumsum(many) - many
-        width = many[place]
-        at = np.repeat(begin[place], width) + np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
-        chunk.add(pairs[at], np.repeat(np.concatenate(owner), width))
+    of = list(map(known.number.__getitem__, chain.from_iterable(cut)))
+    numbers, many = np.array(of, dtype=np.int64), np.array([len(c) for c in cut])
+    owner = np.repeat(np.arange(len(texts)), many)
+    good = (many > 0) & (np.bincount(owner, weights=known.sizes[numbers, 3] == 0, minlength=len(texts)) == 0)
+    counts = np.stack([np.bincount(owner, weights=known.sizes[numbers, k], minlength=len(texts)) for k in range(3)], axis=1).astype(np.int64)
+    counts[~good] = 0
+    stop = np.cumsum(many).tolist()
+    digests = [hashlib.sha256(b";".join(map(known.spelt.__getitem__, of[x:y]))).hexdigest() if ok else ""
+               for x, y, ok in zip([0, *stop[:-1]], stop, good.tolist(), strict=True)]
+    use = good[owner]
+    numbers, owner = numbers[use], owner[use]
+    if len(numbers):
+        width = known.sizes[numbers, 2]
+        begin = np.cumsum(known.sizes[:, 2]) - known.sizes[:, 2]
+        at = np.repeat(begin[numbers] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+        chunk.add(known.pairs[at], np.repeat(chunk.docs + owner, width))
     out = _rows(len(texts), doc_id=batch.column(0), chunk=np.full(len(texts), chunk.number),
                 number=np.arange(chunk.docs, chunk.docs + len(texts), dtype=np.int32), n_a=counts[:, 0], n_b=counts[:, 1],
                 n_groups=counts[:, 2], n_links=counts[:, 2], groups_sha256=digests)
