@@ -130,54 +130,96 @@ def _matrix(vectors) -> np.ndarray:
         return m / np.linalg.norm(m, axis=1)[:, None]
 
 
+def tile_scores(rows: np.ndarray, queries: np.ndarray, k: int | None, min_score: float | None,
+                tile: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, row number, cosine) of unit ``rows`` and ``queries``, a tile of queries at a
+    time: all that reach ``min_score``, or all within rounding reach of each query's ``k``-th best
+    (ties are settled later). Rows without a direction are NaN and match nothing."""
+    out_q, out_r, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for at in range(0, len(queries) if len(rows) else 0, tile):
+        scores = queries[at:at + tile] @ rows.T
+        scores[np.isnan(scores)] = -np.inf
+        least = np.full(len(scores), -2.0 if min_score is None else min_score)
+        if k is not None and scores.shape[1] > k:
+            least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k] - 10.0 ** -SCORE_DIGITS)
+        q, r = np.nonzero(scores >= least[:, None])
+        out_q.append(q + at)
+        out_r.append(r)
+        out_s.append(scores[q, r])
+    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
+
+
+def _picked(rows: pd.DataFrame, query_ids, hits, key: str, keep: list[str]) -> pd.DataFrame:
+    q, r, s = hits
+    res = {"_q": pd.Series(query_ids, dtype=object).iloc[q], key: rows[key].iloc[r], "score": s} | {c: rows[c].iloc[r] for c in keep}
+    return pd.DataFrame({c: pd.Series(v.tolist(), dtype="float64" if c == "score" else object) for c, v in res.items()})
+
+
+def _scored_in_place(index: DataFrame, ids: list, vectors: np.ndarray, schema: str, key: str, vec: str, keep: list[str],
+                     k: int | None, min_score: float | None) -> DataFrame:
+    """Candidates of a few queries, held by every task: the index stays where it lies. With ``k``
+    a task keeps its best so far and lets go of the rest batch by batch."""
+    shared = index.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def run(batches):
+        query_ids, q = shared.value
+        best = None
+        for pdf in batches:
+            found = _picked(pdf, query_ids, tile_scores(_matrix(pdf[vec]), q, k, min_score), key, keep) if len(pdf) else None
+            if found is None:
+                continue
+            if k is None:
+                yield found
+                continue
+            best = found if best is None else pd.concat([best, found], ignore_index=True)
+            place = best["score"].round(SCORE_DIGITS).groupby(best["_q"], sort=False).rank(ascending=False, method="min")
+            best = best[place <= k]
+        if best is not None and len(best):
+            yield best
+
+    return index.select(key, vec, *keep).where(F.col(vec).isNotNull()).mapInPandas(run, schema)
+
+
 def _scored(queries: DataFrame, index: DataFrame, key: str, vec: str, query_key: str, query_vec: str, keep: list[str],
             k: int | None, min_score: float | None) -> DataFrame:
-    """(query_key, key, score, keep...): candidates of every (query block, index part) group.
+    """(query_key, key, score, keep...): the candidates of every query.
 
-    NULL vectors take no part; zero vectors have no cosine and match nothing.
+    Up to ``QUERY_BLOCK`` queries (counted) go to all tasks and the index is scanned in place;
+    more are dealt into blocks, and each (query block, index part) is one group. NULL vectors
+    take no part; zero vectors have no cosine and match nothing.
     """
     spark = index.sparkSession
+    types = dict(index.dtypes)
+    schema = ", ".join([f"_q {dict(queries.dtypes)[query_key]}", f"{key} {types[key]}", "score double",
+                        *[f"{c} {types[c]}" for c in keep]])
+    asked = queries.select(F.col(query_key).alias("_q"), F.col(query_vec).alias("_qv")).where("_qv is not null")
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(few) <= QUERY_BLOCK:
+        if not few:
+            return index.sparkSession.createDataFrame([], schema).withColumnRenamed("_q", query_key)
+        out = _scored_in_place(index, [r["_q"] for r in few], _matrix([r["_qv"] for r in few]), schema, key, vec, keep, k, min_score)
+        return out.withColumnRenamed("_q", query_key)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = (queries.select(F.col(query_key).alias("_q"), F.col(query_vec).alias("_qv")).where("_qv is not null")
-         .withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks)))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    q = (asked.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks)))
          .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))))
     i = (index.select(key, vec, *keep).where(F.col(vec).isNotNull())
          .withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)))
          .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))))
-    types = dict(index.dtypes)
-    schema = ", ".join([f"_q {dict(queries.dtypes)[query_key]}", f"{key} {types[key]}", "score double",
-                        *[f"{c} {types[c]}" for c in keep]])
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out_q, out_r, out_s = [], [], []
-        if len(left) and len(right):
-            rows = _matrix(left[vec])
-            for at in range(0, len(right), 64):  # a tile of queries at a time
-                scores = _matrix(right["_qv"].iloc[at:at + 64]) @ rows.T
-                for n, s in enumerate(scores):
-                    valid = ~np.isnan(s)
-                    if min_score is not None:
-                        sel = np.nonzero(valid & (s >= min_score))[0]
-                    elif k is not None and valid.sum() > k:
-                        # Keep everything within rounding reach of the k-th best: ties are settled later.
-                        kth = np.partition(s[valid], -k)[-k]
-                        sel = np.nonzero(valid & (s >= kth - 10.0 ** -SCORE_DIGITS))[0]
-                    else:
-                        sel = np.nonzero(valid)[0]
-                    out_q.append(np.full(len(sel), at + n))
-                    out_r.append(sel)
-                    out_s.append(s[sel])
-        pick = np.concatenate(out_r) if out_r else np.zeros(0, np.int64)
-        whose = np.concatenate(out_q) if out_q else np.zeros(0, np.int64)
-        res = {"_q": right["_q"].iloc[whose], key: left[key].iloc[pick], "score": np.concatenate(out_s) if out_s else np.zeros(0)}
-        res |= {c: left[c].iloc[pick] for c in keep}
-        return pd.DataFrame({c: pd.Series(v.tolist(), dtype=None if c == "score" else object) for c, v in res.items()})
-
+    run = group_scorer(key, vec, keep, k, min_score)
     return (i.groupBy("_block", "_part").cogroup(q.groupBy("_block", "_part")).applyInPandas(run, schema)
             .withColumnRenamed("_q", query_key))
 
 
+def group_scorer(key: str, vec: str, keep: list[str], k: int | None, min_score: float | None):
+    """Scores the rows of one group against its queries (``_q``, ``_qv``)."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        hits = tile_scores(_matrix(left[vec]), _matrix(right["_qv"]), k, min_score) if len(left) and len(right) else \
+            (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return _picked(left, right["_q"].tolist(), hits, key, keep)
+    return run
+
+
 def knn(queries: DataFrame, index: DataFrame, k: int = 5, *, where: Column | None = None, key: str = "chunk_id",
         vec: str = "embedding", query_key: str = "query_id", query_vec: str = "embedding",
         keep: list[str] | None = None) -> DataFrame:
@@ -213,38 +255,15 @@ def similarity_join(queries: DataFrame, index: DataFrame, min_score: float, *, k
 
 
 def knn_approx(queries: DataFrame, index: DataFrame, k: int = 5, *, key: str = "chunk_id", vec: str = "embedding",
-               query_key: str = "query_id", query_vec: str = "embedding", bucket_length: float = 0.5,
-               num_tables: int = 4, seed: int = 7) -> DataFrame:
-    """R-03: approximate kNN - random-projection LSH on unit vectors (an equi join on hash
-    buckets), then the exact cosine re-rank. A query whose buckets hold fewer than ``k`` rows is
-    answered by the exact ``knn``, so each gets ``k`` rows where ``k`` exist. NULL and zero
-    vectors match nothing."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    width = index.agg(F.max(F.size(vec))).first()[0] or 1
-
-    def unit(df, idc, vc):
-        # Spark may convert a row before it filters it, so the division and the vector must stand any.
-        v = F.transform(F.when(F.size(vc) == width, vc.cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), width)),
-                        lambda x: F.coalesce(x, F.lit(0.0)))
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        df = df.select(F.col(idc).alias("_id"), v.alias("_a"), norm.alias("_n")).where("_n > 0")
-        return df.select("_id", array_to_vector(F.transform("_a", lambda x: x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0))).alias("_v"))
-
-    q, c = unit(queries, query_key, F.col(query_vec)), unit(index, key, F.col(vec))
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(c)
-    # Two unit vectors are at most 2 apart: no candidate is cut off by distance.
-    pairs = lsh.approxSimilarityJoin(q, c, 2.1, distCol="_d")
-    cand = pairs.select(F.col("datasetA._id").alias(query_key), F.col("datasetB._id").alias(key),
-                        F.round(1 - F.col("_d") * F.col("_d") / 2, SCORE_DIGITS).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), F.col(key).asc())
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
-    full = ranked.where(F.col("rank") == k).select(query_key)
-    short = queries.join(full, query_key, "left_anti")
-    exact = knn(short, index, k, key=key, vec=vec, query_key=query_key, query_vec=query_vec)
-    return ranked.join(full, query_key, "left_semi").unionByName(exact.select(query_key, "rank", key, "score"))
+               query_key: str = "query_id", query_vec: str = "embedding", nprobe: int = 8, complete: bool = True) -> DataFrame:
+    """R-03 for one call: build inverted lists in the scratch folder and probe them. Keep the lists
+    of an index that is asked more than once (``inverted_lists``)."""
+    from tidemark.operators.inverted_lists import build_lists, knn_lists
+    from tidemark.session import scratch_path
+
+    at = scratch_path(index.sparkSession, "inverted-lists")
+    build_lists(index.select(key, vec), at, key=key, vec=vec)
+    return knn_lists(queries, at, k, nprobe=nprobe, complete=complete, key=key, vec=vec, query_key=query_key, query_vec=query_vec)
 
 
 def result_listing(hits: DataFrame, *, text_col: str = "text", path_col: str = "rel_path") -> DataFrame:

@@ -596,6 +596,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY wide_rank) AS
 FROM kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY wide_rank) <= 5""", "fx_query", "fx_corpus")
     q["similarity_join"] = with_fixtures(scored + "\nSELECT query_id, chunk_id, score FROM sr WHERE raw >= 0.25",
                                          "fx_query", "fx_corpus")
+    q["knn_approx"] = q["knn"]
     q["search"] = with_fixtures(scored + f""",
 hits AS (SELECT query_id, {top}, chunk_id, raw, rel_path FROM sr QUALIFY rank <= 5)
 SELECT h.query_id, h.rank, h.rel_path, 'chunk 1/1' AS chunk_label, printf('%.3f', h.raw) AS score_text,
