@@ -49,7 +49,7 @@ def build_lists(index: DataFrame, path: str, *, cells: int | None = None, key: s
         rows.withColumn("_cell", F.lit(0)).withColumn("_part", F.lit(0)).write.partitionBy("_cell").parquet(f"{path}/lists")
         spark.createDataFrame([], "cell int, centre array<double>, radius double, rows long, parts int").write.parquet(f"{path}/cells")
         return
-    cells = max(1, min(cells or int(n ** 0.5), MAX_CELLS, n))
+    cells = max(2, min(cells or int(n ** 0.5), MAX_CELLS, n))
     share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)) < sample_rows
     fitted = (KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_v", predictionCol="_cell")
               .fit(rows.where(share).select(array_to_vector("_unit").alias("_v"))))
