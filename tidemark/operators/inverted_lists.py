@@ -46,7 +46,7 @@ def build_lists(index: DataFrame, path: str, *, cells: int | None = None, key: s
     rows = spark.read.parquet(at)
     n = rows.count()
     if not n:
-        rows.withColumn("_cell", F.lit(0)).withColumn("_part", F.lit(0)).write.partitionBy("_cell").parquet(f"{path}/lists")
+        rows.drop("_unit").withColumn("_part", F.lit(0)).withColumn("_cell", F.lit(0)).coalesce(1).write.parquet(f"{path}/lists")
         spark.createDataFrame([], "cell int, centre array<double>, radius double, rows long, parts int").write.parquet(f"{path}/cells")
         return
     cells = max(2, min(cells or int(n ** 0.5), MAX_CELLS, n))
