@@ -98,3 +98,21 @@ def test_links_with_more_hashes(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
     out = got(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8), hashes=7))
     assert sum(out[i + 300][1] == i for i in range(300)) >= 0.98 * 300
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(2, 32))
+    rows = [(5, x), (5, y), (7, x), (9, y + 0.01 * rng.normal(size=32)), (11, x + 0.01 * rng.normal(size=32)), (13, rng.normal(size=32))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect())
+    assert out == [(5, 1, 5, True), (5, 2, 5, True), (7, 2, 5, False), (9, 1, 5, False), (11, 2, 5, False), (13, 0, 13, True)]
+
+
+def test_topics_without_links(spark):
+    rng = np.random.default_rng(6)
+    topics = rng.normal(size=(8, 64))
+    rows = [(i, (topics[i % 8] + 0.75 * rng.normal(size=64)).tolist()) for i in range(1600)]
+    rows += [(2000 + i, (np.array(rows[i][1]) + 0.02 * rng.normal(size=64)).tolist()) for i in range(0, 1600, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    assert got(near_vectors(df)) == brute(rows)

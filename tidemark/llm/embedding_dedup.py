@@ -3,10 +3,11 @@
 A vector is rotated by three rounds of random signs and a fast Hadamard transform; its hash is
 the axis it lies closest to, with its sign. ``hashes`` such hashes make a bucket of one of
 ``TABLES`` or more tables, and each vector also probes the buckets with the next best axes; both
-grow with ``hashes``, so that links at the threshold are found with ``RECALL``. A probe is
-tied to the smallest vector that lives in its bucket; the components of the ties are compared
-exactly, in double precision and in blocks, so no task holds a whole group and no list of pairs
-is made: a block returns link counts and a spanning forest.
+grow with ``hashes``, so that links at the threshold are found with ``RECALL``. Equal vectors are
+one class, known by its fingerprint pair. Classes that meet in a bucket where one of them lives are
+compared exactly, in double precision; only verified links form components, and links are counted
+inside these. Both steps work in blocks, so no task holds a whole group and no list of pairs is
+made: the first returns spanning forests, the second link counts.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.llm._common import U64, _BASE, arrow_map, mix, sorted_groups, table, written
 from tidemark.llm.components import connected_components
@@ -152,104 +153,147 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     h = mix(h * _BASE + bits[:, k])
                 out[rows] = h
             ok[rows] = True
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one.view(np.int64), mask=~ok),
-                                          pa.array(two.view(np.int64), mask=~ok)], names=["vec_id", "f1", "f2"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(one.view(np.int64), mask=~ok), pa.array(two.view(np.int64), mask=~ok)],
+            names=["vec_id", "embedding", "f1", "f2"])
 
 
-def _keys(hashes: int, tables: int, probes: int):
+def _keys(hashes: int, tables: int, probes: int, home: bool):
+    """The buckets that a vector lives in, or those that it only probes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, x in _vectors(batch):
                 some = max(1, 1000 * TABLES * PROBES // (tables * probes))
                 for a in range(0, len(rows), some):
-                    keys = bucket_keys(_unit(x[a:a + some]), hashes, tables, probes)
-                    each = keys.shape[1] * keys.shape[2]
-                    ids = batch.column(0).take(pa.array(np.repeat(rows[a:a + some], each)))
-                    home = np.tile(np.arange(each) % keys.shape[2] == 0, len(keys))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64)), pa.array(home)],
-                                                     names=["vec_id", "key", "home"])
+                    keys = bucket_keys(_unit(x[a:a + some]), hashes, tables, 1 if home else probes)
+                    keys = keys if home else keys[:, :, 1:]
+                    ids = batch.column(0).take(pa.array(np.repeat(rows[a:a + some], keys.shape[1] * keys.shape[2])))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64))], names=["node", "key"])
     return run
 
 
-def _links(cosine: float):
+def _blocks(batches: Iterator[pa.RecordBatch], group_key: str, extra: str, cosine: float):
+    """(block table, rows, hit matrix, rows one, rows two) of each pair of blocks; one width at a time."""
+    for group in sorted_groups(batches, [group_key, "i", "j"]):
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        block = group.column("block").to_numpy()
+        batch = group.select(["node", "embedding", extra]).combine_chunks().to_batches()[0]
+        for rows, x in _vectors(batch):
+            x = _unit(x)
+            one, two = np.flatnonzero(block[rows] == i), np.flatnonzero(block[rows] == j)
+            hit = x[one] @ x[two].T >= cosine
+            if i == j:
+                np.fill_diagonal(hit, False)
+            yield batch, i == j, hit, rows[one], rows[two]
+
+
+def _bucket_links(cosine: float):
+    """Spanning forests of the links between vectors of which one lives in the bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["root", "i", "j"]):
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            block, nodes = group.column("block").to_numpy(), group.column("node").to_numpy()
-            copies = group.column("copies").to_numpy()
-            batch = group.select(["node", "embedding"]).combine_chunks().to_batches()[0]
-            edges, counts = [], np.zeros(len(nodes), np.int64)
-            for rows, x in _vectors(batch):
-                x = _unit(x)
-                one, two = np.flatnonzero(block[rows] == i), np.flatnonzero(block[rows] == j)
-                hit = x[one] @ x[two].T >= cosine
-                if i == j:
-                    np.fill_diagonal(hit, False)
-                counts[rows[one]] += hit.astype(np.int64) @ copies[rows[two]]
-                if i != j:
-                    counts[rows[two]] += hit.T.astype(np.int64) @ copies[rows[one]]
-                pairs = np.argwhere(hit)
-                edges += forest(np.stack([rows[one[pairs[:, 0]]], rows[two[pairs[:, 1]]]], axis=1), len(nodes))
+        for batch, _, hit, one, two in _blocks(batches, "key", "home", cosine):
+            home = batch.column(2).to_numpy(zero_copy_only=False)
+            pairs = np.argwhere(hit & (home[one][:, None] | home[two][None, :]))
+            e = np.array(forest(np.stack([one[pairs[:, 0]], two[pairs[:, 1]]], axis=1), batch.num_rows))
+            if len(e):
+                nodes = batch.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[e[:, 0]]), pa.array(nodes[e[:, 1]])], names=["a", "b"])
+    return run
+
+
+def _link_counts(cosine: float):
+    """Rows linked to each class of a component, from one pair of blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, same, hit, one, two in _blocks(batches, "root", "copies", cosine):
+            copies = batch.column(2).to_numpy()
+            counts = np.zeros(batch.num_rows, np.int64)
+            counts[one] += hit.astype(np.int64) @ copies[two]
+            if not same:
+                counts[two] += hit.T.astype(np.int64) @ copies[one]
             linked = np.flatnonzero(counts)
-            if len(linked):
-                e = np.array(edges)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([nodes[e[:, 0]], nodes[linked]])),
-                     pa.array(np.concatenate([nodes[e[:, 1]], np.zeros(len(linked), np.int64)]),
-                              mask=np.arange(len(e) + len(linked)) >= len(e)),
-                     pa.array(np.concatenate([np.zeros(len(e), np.int64), counts[linked]]))], names=["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[linked]), pa.array(counts[linked])],
+                                             names=["node", "n"])
     return run
 
 
+def _in_blocks(rows: DataFrame, group_key: str, heads: DataFrame, extra: str) -> DataFrame:
+    """``rows`` with their vectors, dealt by pairs of blocks of about ``BLOCK`` rows of a group."""
+    sizes = rows.groupBy(group_key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = (rows.join(sizes, group_key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .join(heads, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(group_key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+                     "node", extra, "embedding"))
+    return dealt.repartition(group_key, "i", "j").sortWithinPartitions(group_key, "i", "j")
+
+
+def _meetings(heads: DataFrame, hashes: int, tables: int, probes: int) -> DataFrame:
+    """``(key, node, home)`` of the buckets in which some class lives and another lives or probes.
+
+    Buckets with the very same members stand once. Only home keys and met probes are written.
+    """
+    made = heads.select("node", "embedding")
+    homes = written(arrow_map(made, _keys(hashes, tables, probes, True), "node long, key long"), "homes")
+    lived = homes.groupBy("key").agg(F.count(F.lit(1)).alias("homes"))
+    probed = arrow_map(made, _keys(hashes, tables, probes, False), "node long, key long")
+    met = written(probed.join(lived.select("key"), "key", "left_semi").select("key", "node"), "met")
+    live = met.select("key").union(lived.where("homes > 1").select("key")).distinct()
+    rows = written(homes.join(live, "key").select("key", "node", F.lit(True).alias("home"))
+                   .union(met.withColumn("home", F.lit(False))), "meetings")
+    def both(*c):
+        return F.sum(F.pmod(F.xxhash64(*c), F.lit(1 << 40))), F.sum(F.pmod(F.xxhash64(*c, F.lit(1)), F.lit(1 << 40)))
+    bare, full = both("node"), both("node", "home")
+    marks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), bare[0].alias("b1"), bare[1].alias("b2"),
+                                    full[0].alias("m1"), full[1].alias("m2"))
+    pair = F.col("n") == 2
+    once = (marks.groupBy("n", F.when(pair, F.col("b1")).otherwise(F.col("m1")).alias("s1"),
+                          F.when(pair, F.col("b2")).otherwise(F.col("m2")).alias("s2")).agg(F.min("key").alias("key")))
+    return rows.join(once.select("key"), "key", "left_semi")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int | None = None,
                  hashes: int | None = None) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, ...)``: n_links, component_id and kept.
 
     ``hashes`` grows with the logarithm of the number of vectors, so that a vector meets fewer
-    than ``STRAY`` unrelated ones in all its buckets and the components stay those of near copies.
-    ``tables`` and ``probes`` grow with it, so that recall at ``cosine`` holds for any table size.
+    than ``STRAY`` unrelated ones in all its buckets. ``tables`` and ``probes`` grow with it, so
+    that recall at ``cosine`` holds for any table size.
 
     * Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
     * Vectors of different width do not link. Equal vectors are one class and link with each other.
     * A null vec_id cannot be tied: no links, null component, kept. Rows that repeat a vec_id
-      count as vectors of their own, but share a component.
+      count as vectors of their own, each with its own links, but share a component.
     * Extra columns are not read; an empty table gives an empty result.
     """
     vectors = vectors.select("vec_id", "embedding")
-    prints = written(arrow_map(vectors, _prints, "vec_id long, f1 long, f2 long"), "prints")
-    named = prints.where("vec_id is not null and f1 is not null")
-    classes = named.groupBy("f1", "f2").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    member = written(named.join(classes, ["f1", "f2"]).select("vec_id", "class_id", "copies"), "classes")
-    heads = written(member.where("vec_id = class_id").groupBy("vec_id").agg(F.max("copies").alias("copies")), "heads")
+    fields = T.StructType([T.StructField("vec_id", T.LongType()), vectors.schema["embedding"],
+                           T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType())])
+    vectors = vectors.withColumn("vec_id", F.col("vec_id").cast("long"))
+    marked = arrow_map(vectors, _prints, fields)
+    prints = written(marked.select("vec_id", "f1", "f2"), "prints")
+    heads = written(marked.where("vec_id is not null and f1 is not null").groupBy("f1", "f2")
+                    .agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.any_value("embedding").alias("embedding"))
+                    .withColumn("node", F.monotonically_increasing_id()), "heads")
     width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
     if hashes is None:
         hashes, tables, probes = bucket_plan(heads.count(), width, cosine, tables, probes)
     else:
         probes = probes or bucket_probes(hashes)
         tables = tables or bucket_tables(hashes, width, cosine, probes)
-    kept = vectors.join(heads, "vec_id")
-    keys = written(arrow_map(kept.select("vec_id", "embedding"), _keys(hashes, tables, probes), "vec_id long, key long, home boolean"),
-                   "keys")
-    homes = keys.where("home").groupBy("key").agg(F.min("vec_id").alias("low"))
-    ties = keys.join(homes, "key").where("vec_id != low").select(F.col("vec_id").alias("a"), F.col("low").alias("b"))
-    groups = written(connected_components(ties, "candidates"), "groups")
-    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = (groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-              .join(kept.withColumnRenamed("vec_id", "node"), "node")
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node",
-                      "copies", "embedding"))
-    found = written(arrow_map(placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), _links(cosine),
-                              "a long, b long, n long"), "links")
-    parts = connected_components(found.where("b is not null").select("a", "b").union(
-        member.where("vec_id != class_id").select(F.col("vec_id").alias("a"), F.col("class_id").alias("b"))), "parts")
-    counts = found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n"))
-    labels = (member.join(counts, "class_id", "left").groupBy("vec_id")
-              .agg(F.max(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-              .join(parts.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left"))
+    meetings = written(_meetings(heads, hashes, tables, probes), "compared")
+    ties = arrow_map(_in_blocks(meetings, "key", heads.select("node", "embedding"), "home"), _bucket_links(cosine), "a long, b long")
+    groups = written(connected_components(ties, "links"), "groups")
+    counted = arrow_map(_in_blocks(groups, "root", heads.select("node", "copies", "embedding"), "copies"),
+                        _link_counts(cosine), "node long, n long")
+    lows = groups.join(heads.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("least"))
+    labels = (heads.select("node", "f1", "f2", "low", "copies")
+              .join(counted.groupBy("node").agg(F.sum("n").alias("n")), "node", "left")
+              .join(groups.join(lows, "root").select("node", "least"), "node", "left")
+              .select("f1", "f2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                      F.coalesce("least", "low").alias("least")))
+    rows = written(prints.join(labels, ["f1", "f2"], "left").select("vec_id", "n_links", "least"), "rows")
+    parts = connected_components(rows.select(F.col("vec_id").alias("a"), F.col("least").alias("b")), "parts")
     component = F.coalesce("root", "vec_id")
-    return prints.select("vec_id", "f1").join(labels, "vec_id", "left").select(
-        "vec_id", F.when(F.col("f1").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+    return rows.join(parts.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left").select(
+        "vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
