@@ -4,10 +4,11 @@ A vector is rotated by three rounds of random signs and a fast Hadamard transfor
 the axis it lies closest to, with its sign. ``hashes`` such hashes make a bucket of one of
 ``TABLES`` or more tables, and each vector also probes the buckets with the next best axes; both
 grow with ``hashes``, so that links at the threshold are found with ``RECALL``. Equal vectors are
-one class, known by its fingerprint pair. Classes that meet in a bucket where one of them lives are
-compared exactly, in double precision; only verified links form components, and links are counted
-inside these. Both steps work in blocks, so no task holds a whole group and no list of pairs is
-made: the first returns spanning forests, the second link counts.
+one class, known by its fingerprint pair. Classes that meet in a bucket are compared exactly, in
+double precision: first with the smallest class that lives there, then, in the buckets that these
+links leave in several components, each with each where one of the two lives there. Only verified
+links form components, and links are counted inside these. The work is done in blocks, so no task
+holds a whole group and no list of pairs is made: a block returns a spanning forest or link counts.
 """
 
 from __future__ import annotations
@@ -225,28 +226,55 @@ def _in_blocks(rows: DataFrame, group_key: str, heads: DataFrame, extra: str) ->
     return dealt.repartition(group_key, "i", "j").sortWithinPartitions(group_key, "i", "j")
 
 
-def _meetings(heads: DataFrame, hashes: int, tables: int, probes: int) -> DataFrame:
-    """``(key, node, home)`` of the buckets in which some class lives and another lives or probes.
+def _meetings(heads: DataFrame, hashes: int, tables: int, probes: int) -> tuple[DataFrame, DataFrame]:
+    """``(key, node, home)`` of the buckets in which some class lives and another lives or probes,
+    and ``(node, low)``: who meets the smallest class of a bucket, each pair once.
 
-    Buckets with the very same members stand once. Only home keys and met probes are written.
+    Only home keys and met probes are written.
     """
     made = heads.select("node", "embedding")
     homes = written(arrow_map(made, _keys(hashes, tables, probes, True), "node long, key long"), "homes")
-    lived = homes.groupBy("key").agg(F.count(F.lit(1)).alias("homes"))
+    lived = homes.groupBy("key").agg(F.count(F.lit(1)).alias("homes"), F.min("node").alias("low"))
     probed = arrow_map(made, _keys(hashes, tables, probes, False), "node long, key long")
-    met = written(probed.join(lived.select("key"), "key", "left_semi").select("key", "node"), "met")
-    live = met.select("key").union(lived.where("homes > 1").select("key")).distinct()
-    rows = written(homes.join(live, "key").select("key", "node", F.lit(True).alias("home"))
+    met = written(probed.join(lived, "key").select("key", "node", "low"), "met")
+    live = met.select("key", "low").union(lived.where("homes > 1").select("key", "low")).distinct()
+    rows = written(homes.join(live, "key").select("key", "node", "low", F.lit(True).alias("home"))
                    .union(met.withColumn("home", F.lit(False))), "meetings")
-    def both(*c):
-        return F.sum(F.pmod(F.xxhash64(*c), F.lit(1 << 40))), F.sum(F.pmod(F.xxhash64(*c, F.lit(1)), F.lit(1 << 40)))
-    bare, full = both("node"), both("node", "home")
-    marks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), bare[0].alias("b1"), bare[1].alias("b2"),
-                                    full[0].alias("m1"), full[1].alias("m2"))
-    pair = F.col("n") == 2
-    once = (marks.groupBy("n", F.when(pair, F.col("b1")).otherwise(F.col("m1")).alias("s1"),
-                          F.when(pair, F.col("b2")).otherwise(F.col("m2")).alias("s2")).agg(F.min("key").alias("key")))
-    return rows.join(once.select("key"), "key", "left_semi")
+    return rows.drop("low"), rows.where("node != low").select("node", "low").distinct()
+
+
+def _verified(cosine: float):
+    """Those pairs of classes whose vectors are linked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.zeros(batch.num_rows, bool)
+            other = batch.select(["low", "center"])
+            widths = {x.shape[1]: (rows, _unit(x)) for rows, x in _vectors(other)}
+            for rows, x in _vectors(batch.select(["node", "embedding"])):
+                if x.shape[1] in widths:
+                    across, y = widths[x.shape[1]]
+                    _, i, j = np.intersect1d(rows, across, assume_unique=True, return_indices=True)
+                    near[rows[i]] = np.einsum("ij,ij->i", _unit(x)[i], y[j]) >= cosine
+            keep = pa.array(near)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+    return run
+
+
+def _apart(meetings: DataFrame, joined: DataFrame) -> DataFrame:
+    """The buckets whose members are not all in one component of ``joined(node, root)`` yet.
+
+    Buckets with the very same members stand once.
+    """
+    rows = meetings.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def marks(name, *c):
+        return [F.sum(F.pmod(F.xxhash64(*c, F.lit(k)), F.lit(1 << 40))).alias(f"{name}{k}") for k in (1, 2)]
+    each = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"),
+                                    *marks("bare", "node"), *marks("full", "node", "home")).where("r1 != r2"))
+    # Of two members one lives there in any case, so who of them does not tell buckets apart.
+    same = [F.when(F.col("n") == 2, F.col(f"bare{k}")).otherwise(F.col(f"full{k}")).alias(f"s{k}") for k in (1, 2)]
+    once = each.groupBy("n", *same).agg(F.min("key").alias("key"))
+    return meetings.join(once.select("key"), "key", "left_semi")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int | None = None,
@@ -278,9 +306,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None
     else:
         probes = probes or bucket_probes(hashes)
         tables = tables or bucket_tables(hashes, width, cosine, probes)
-    meetings = written(_meetings(heads, hashes, tables, probes), "compared")
-    ties = arrow_map(_in_blocks(meetings, "key", heads.select("node", "embedding"), "home"), _bucket_links(cosine), "a long, b long")
-    groups = written(connected_components(ties, "links"), "groups")
+    vector = heads.select("node", "embedding")
+    meetings, centers = _meetings(heads, hashes, tables, probes)
+    pairs = (centers.join(vector, "node").join(vector.toDF("low", "center"), "low").select("node", "low", "embedding", "center"))
+    ties = written(arrow_map(pairs, _verified(cosine), "a long, b long"), "ties")
+    apart = written(_apart(meetings, connected_components(ties, "tied")), "apart")
+    more = arrow_map(_in_blocks(apart, "key", vector, "home"), _bucket_links(cosine), "a long, b long")
+    groups = written(connected_components(ties.union(more), "links"), "groups")
     counted = arrow_map(_in_blocks(groups, "root", heads.select("node", "copies", "embedding"), "copies"),
                         _link_counts(cosine), "node long, n long")
     lows = groups.join(heads.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("least"))
