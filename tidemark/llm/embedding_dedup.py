@@ -4,11 +4,10 @@ A vector is rotated by three rounds of random signs and a fast Hadamard transfor
 the axis it lies closest to, with its sign. ``hashes`` such hashes make a bucket of one of
 ``TABLES`` or more tables, and each vector also probes the buckets with the next best axes; both
 grow with ``hashes``, so that links at the threshold are found with ``RECALL``. Equal vectors are
-one class, known by its fingerprint pair. Classes that meet in a bucket are compared exactly, in
-double precision: first with the smallest class that lives there, then, in the buckets that these
-links leave in several components, each with each where one of the two lives there. Only verified
-links form components, and links are counted inside these. The work is done in blocks, so no task
-holds a whole group and no list of pairs is made: a block returns a spanning forest or link counts.
+one class, known by its fingerprint pair. A probe is tied to the smallest class that lives in its
+bucket; the components of the ties are compared exactly, in double precision and in blocks, so no
+task holds a whole group and no list of pairs is made: a block returns link counts and a spanning
+forest.
 """
 
 from __future__ import annotations
@@ -159,131 +158,58 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["vec_id", "embedding", "f1", "f2"])
 
 
-def _keys(hashes: int, tables: int, probes: int, home: bool):
-    """The buckets that a vector lives in, or those that it only probes."""
+def _keys(hashes: int, tables: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, x in _vectors(batch):
                 some = max(1, 1000 * TABLES * PROBES // (tables * probes))
                 for a in range(0, len(rows), some):
-                    keys = bucket_keys(_unit(x[a:a + some]), hashes, tables, 1 if home else probes)
-                    keys = keys if home else keys[:, :, 1:]
-                    ids = batch.column(0).take(pa.array(np.repeat(rows[a:a + some], keys.shape[1] * keys.shape[2])))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64))], names=["node", "key"])
+                    keys = bucket_keys(_unit(x[a:a + some]), hashes, tables, probes)
+                    each = keys.shape[1] * keys.shape[2]
+                    ids = batch.column(0).take(pa.array(np.repeat(rows[a:a + some], each)))
+                    home = np.tile(np.arange(each) % keys.shape[2] == 0, len(keys))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64)), pa.array(home)],
+                                                     names=["node", "key", "home"])
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], group_key: str, extra: str, cosine: float):
-    """(block table, rows, hit matrix, rows one, rows two) of each pair of blocks; one width at a time."""
-    for group in sorted_groups(batches, [group_key, "i", "j"]):
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        block = group.column("block").to_numpy()
-        batch = group.select(["node", "embedding", extra]).combine_chunks().to_batches()[0]
-        for rows, x in _vectors(batch):
-            x = _unit(x)
-            one, two = np.flatnonzero(block[rows] == i), np.flatnonzero(block[rows] == j)
-            hit = x[one] @ x[two].T >= cosine
-            if i == j:
-                np.fill_diagonal(hit, False)
-            yield batch, i == j, hit, rows[one], rows[two]
-
-
-def _bucket_links(cosine: float):
-    """Spanning forests of the links between vectors of which one lives in the bucket."""
+def _links(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, hit, one, two in _blocks(batches, "key", "home", cosine):
-            home = batch.column(2).to_numpy(zero_copy_only=False)
-            pairs = np.argwhere(hit & (home[one][:, None] | home[two][None, :]))
-            e = np.array(forest(np.stack([one[pairs[:, 0]], two[pairs[:, 1]]], axis=1), batch.num_rows))
-            if len(e):
-                nodes = batch.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[e[:, 0]]), pa.array(nodes[e[:, 1]])], names=["a", "b"])
-    return run
-
-
-def _link_counts(cosine: float):
-    """Rows linked to each class of a component, from one pair of blocks."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, same, hit, one, two in _blocks(batches, "root", "copies", cosine):
-            copies = batch.column(2).to_numpy()
-            counts = np.zeros(batch.num_rows, np.int64)
-            counts[one] += hit.astype(np.int64) @ copies[two]
-            if not same:
-                counts[two] += hit.T.astype(np.int64) @ copies[one]
+        for group in sorted_groups(batches, ["root", "i", "j"]):
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            block, nodes = group.column("block").to_numpy(), group.column("node").to_numpy()
+            copies = group.column("copies").to_numpy()
+            batch = group.select(["node", "embedding"]).combine_chunks().to_batches()[0]
+            edges, counts = [], np.zeros(len(nodes), np.int64)
+            for rows, x in _vectors(batch):
+                x = _unit(x)
+                one, two = np.flatnonzero(block[rows] == i), np.flatnonzero(block[rows] == j)
+                hit = x[one] @ x[two].T >= cosine
+                if i == j:
+                    np.fill_diagonal(hit, False)
+                counts[rows[one]] += hit.astype(np.int64) @ copies[rows[two]]
+                if i != j:
+                    counts[rows[two]] += hit.T.astype(np.int64) @ copies[rows[one]]
+                pairs = np.argwhere(hit)
+                edges += forest(np.stack([rows[one[pairs[:, 0]]], rows[two[pairs[:, 1]]]], axis=1), len(nodes))
             linked = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[linked]), pa.array(counts[linked])],
-                                             names=["node", "n"])
-    return run
-
-
-def _in_blocks(rows: DataFrame, group_key: str, heads: DataFrame, extra: str) -> DataFrame:
-    """``rows`` with their vectors, dealt by pairs of blocks of about ``BLOCK`` rows of a group."""
-    sizes = rows.groupBy(group_key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = (rows.join(sizes, group_key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .join(heads, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select(group_key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
-                     "node", extra, "embedding"))
-    return dealt.repartition(group_key, "i", "j").sortWithinPartitions(group_key, "i", "j")
-
-
-def _meetings(heads: DataFrame, hashes: int, tables: int, probes: int) -> tuple[DataFrame, DataFrame]:
-    """``(key, node, home)`` of the buckets in which some class lives and another lives or probes,
-    and ``(node, low)``: who meets the smallest class of a bucket, each pair once.
-
-    Only home keys and met probes are written.
-    """
-    made = heads.select("node", "embedding")
-    homes = written(arrow_map(made, _keys(hashes, tables, probes, True), "node long, key long"), "homes")
-    lived = homes.groupBy("key").agg(F.count(F.lit(1)).alias("homes"), F.min("node").alias("low"))
-    probed = arrow_map(made, _keys(hashes, tables, probes, False), "node long, key long")
-    met = written(probed.join(lived, "key").select("key", "node", "low"), "met")
-    live = met.select("key", "low").union(lived.where("homes > 1").select("key", "low")).distinct()
-    rows = written(homes.join(live, "key").select("key", "node", "low", F.lit(True).alias("home"))
-                   .union(met.withColumn("home", F.lit(False))), "meetings")
-    return rows.drop("low"), rows.where("node != low").select("node", "low").distinct()
-
-
-def _verified(cosine: float):
-    """Those pairs of classes whose vectors are linked."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = np.zeros(batch.num_rows, bool)
-            other = batch.select(["low", "center"])
-            widths = {x.shape[1]: (rows, _unit(x)) for rows, x in _vectors(other)}
-            for rows, x in _vectors(batch.select(["node", "embedding"])):
-                if x.shape[1] in widths:
-                    across, y = widths[x.shape[1]]
-                    _, i, j = np.intersect1d(rows, across, assume_unique=True, return_indices=True)
-                    near[rows[i]] = np.einsum("ij,ij->i", _unit(x)[i], y[j]) >= cosine
-            keep = pa.array(near)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            if len(linked):
+                e = np.array(edges)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([nodes[e[:, 0]], nodes[linked]])),
+                     pa.array(np.concatenate([nodes[e[:, 1]], np.zeros(len(linked), np.int64)]),
+                              mask=np.arange(len(e) + len(linked)) >= len(e)),
+                     pa.array(np.concatenate([np.zeros(len(e), np.int64), counts[linked]]))], names=["a", "b", "n"])
     return run
 
 
-def _apart(meetings: DataFrame, joined: DataFrame) -> DataFrame:
-    """The buckets whose members are not all in one component of ``joined(node, root)`` yet.
-
-    Buckets with the very same members stand once.
-    """
-    rows = meetings.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def marks(name, *c):
-        return [F.sum(F.pmod(F.xxhash64(*c, F.lit(k)), F.lit(1 << 40))).alias(f"{name}{k}") for k in (1, 2)]
-    each = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"),
-                                    *marks("bare", "node"), *marks("full", "node", "home")).where("r1 != r2"))
-    # Of two members one lives there in any case, so who of them does not tell buckets apart.
-    same = [F.when(F.col("n") == 2, F.col(f"bare{k}")).otherwise(F.col(f"full{k}")).alias(f"s{k}") for k in (1, 2)]
-    once = each.groupBy("n", *same).agg(F.min("key").alias("key"))
-    return meetings.join(once.select("key"), "key", "left_semi")
-
-
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int | None = None,
                  hashes: int | None = None) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, ...)``: n_links, component_id and kept.
 
     ``hashes`` grows with the logarithm of the number of vectors, so that a vector meets fewer
-    than ``STRAY`` unrelated ones in all its buckets. ``tables`` and ``probes`` grow with it, so
-    that recall at ``cosine`` holds for any table size.
+    than ``STRAY`` unrelated ones in all its buckets and the components stay those of near copies.
+    ``tables`` and ``probes`` grow with it, so that recall at ``cosine`` holds for any table size.
 
     * Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
     * Vectors of different width do not link. Equal vectors are one class and link with each other.
@@ -306,23 +232,28 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None
     else:
         probes = probes or bucket_probes(hashes)
         tables = tables or bucket_tables(hashes, width, cosine, probes)
-    vector = heads.select("node", "embedding")
-    meetings, centers = _meetings(heads, hashes, tables, probes)
-    pairs = (centers.join(vector, "node").join(vector.toDF("low", "center"), "low").select("node", "low", "embedding", "center"))
-    ties = written(arrow_map(pairs, _verified(cosine), "a long, b long"), "ties")
-    apart = written(_apart(meetings, connected_components(ties, "tied")), "apart")
-    more = arrow_map(_in_blocks(apart, "key", vector, "home"), _bucket_links(cosine), "a long, b long")
-    groups = written(connected_components(ties.union(more), "links"), "groups")
-    counted = arrow_map(_in_blocks(groups, "root", heads.select("node", "copies", "embedding"), "copies"),
-                        _link_counts(cosine), "node long, n long")
-    lows = groups.join(heads.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("least"))
-    labels = (heads.select("node", "f1", "f2", "low", "copies")
-              .join(counted.groupBy("node").agg(F.sum("n").alias("n")), "node", "left")
-              .join(groups.join(lows, "root").select("node", "least"), "node", "left")
-              .select("f1", "f2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                      F.coalesce("least", "low").alias("least")))
-    rows = written(prints.join(labels, ["f1", "f2"], "left").select("vec_id", "n_links", "least"), "rows")
-    parts = connected_components(rows.select(F.col("vec_id").alias("a"), F.col("least").alias("b")), "parts")
+    keys = written(arrow_map(heads.select("node", "embedding"), _keys(hashes, tables, probes), "node long, key long, home boolean"),
+                   "keys")
+    homes = keys.where("home").groupBy("key").agg(F.min("node").alias("first"))
+    ties = keys.join(homes, "key").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    groups = written(connected_components(ties, "candidates"), "groups")
+    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = (groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+              .join(heads.select("node", "copies", "embedding"), "node")
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node",
+                      "copies", "embedding"))
+    found = written(arrow_map(placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), _links(cosine),
+                              "a long, b long, n long"), "links")
+    # Links between classes, and the rows of a repeated vec_id, meet at the smallest vec_id of their classes.
+    low = heads.select(F.col("node").alias("a"), "low")
+    linked = (found.where("b is not null").select("a", "b").join(low, "a")
+              .join(low.toDF("b", "other"), "b").select(F.col("low").alias("a"), F.col("other").alias("b")))
+    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    labels = heads.join(counts, "node", "left").select(
+        "f1", "f2", "low", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = written(prints.join(labels, ["f1", "f2"], "left").select("vec_id", "n_links", "low"), "rows")
+    parts = connected_components(linked.union(rows.select(F.col("vec_id").alias("a"), F.col("low").alias("b"))), "parts")
     component = F.coalesce("root", "vec_id")
     return rows.join(parts.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left").select(
         "vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
