@@ -7,7 +7,8 @@ a fresh folder (never the folder being read).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.checksums import checksum_changed
 from tidemark.functions.paths import object_key
@@ -16,10 +17,13 @@ from tidemark.functions.predicates import (
 )
 from tidemark.functions.sizes import effective_size
 from tidemark.operators.joins import FILE_KEY, with_config
-from tidemark.operators.ranking import global_rank, group_rank
+from tidemark.operators.ranking import global_rank, group_rank, stored
 
 CATALOG_COLUMNS = ["id", "source_name", "file_id", "file_name", "checksum", "size", "status", "object_key",
                    "attempt_count", "last_error", "created_at", "updated_at"]
+CATALOG_SCHEMA = (
+    "id long, source_name string, file_id string, file_name string, checksum string, size long, status string, "
+    "object_key string, attempt_count int, last_error string, created_at timestamp_ntz, updated_at timestamp_ntz")
 MAX_ERROR_CHARS = 4000
 STALE_RESET_ERROR = "stale_processing_reset"
 
@@ -271,10 +275,42 @@ def listing_projection(catalog: DataFrame, view: str = "files") -> DataFrame:
     return catalog.select("file_id", "file_name", "size", "status", "object_key", "updated_at")
 
 
+def _laid_out(df: DataFrame, partition_by: str):
+    # Range partitioning on (source, file) splits a source that owns most files over many
+    # writer tasks; hash partitioning on the source alone would give it one task.
+    return (df.repartitionByRange(partition_by, "file_id").sortWithinPartitions(partition_by, "status", "file_id")
+            .write.partitionBy(partition_by))
+
+
 def write_snapshot(df: DataFrame, path: str, partition_by: str = "source_name") -> None:
     """Write a catalog snapshot to a new folder, partitioned by source and sorted by status
     within files (min/max statistics then serve the status filter)."""
-    # Range partitioning on (source, file) splits a source that owns most files over many
-    # writer tasks; hash partitioning on the source alone would give it one task.
-    (df.repartitionByRange(partition_by, "file_id").sortWithinPartitions(partition_by, "status", "file_id")
-     .write.mode("errorifexists").partitionBy(partition_by).parquet(path))
+    _laid_out(df, partition_by).mode("errorifexists").parquet(path)
+
+
+def scan_catalog(spark: SparkSession, path: str, source_name: str | None = None, status: str | None = None,
+                 schema: StructType | str = CATALOG_SCHEMA) -> DataFrame:
+    """C-04: catalog rows as ``write_snapshot`` lays them out; only the folder of ``source_name``
+    is listed and only row groups that may hold ``status`` are read."""
+    rows = spark.read.schema(schema).parquet(path)
+    if source_name is not None:
+        rows = rows.where(F.col("source_name") == source_name)
+    return rows if status is None else rows.where(F.col("status") == status)
+
+
+def upsert_partitions(path: str, listing: DataFrame, config: DataFrame | None = None, *, as_of, **options) -> None:
+    """S-01 on a partitioned catalog folder: only the sources that ``listing`` names are read,
+    upserted and put in place of their old folders; the others are not touched.
+
+    The new rows are written to scratch first, so the folder is not read while it changes. The
+    folders of the sources are replaced one after the other: a run that is broken off there is to
+    be repeated with the same listing and time, which gives the same rows. One writer at a time.
+    """
+    spark = listing.sparkSession
+    whole = scan_catalog(spark, path)
+    touched = listing.select("source_name").distinct()
+    # A semi join on the partition column prunes folders at run time, whatever their number.
+    old = whole.join(touched, "source_name", "left_semi")
+    top = whole.select(F.max("id")).scalar()
+    nxt = stored(upsert_discovered(old, listing, config, as_of=as_of, max_id=top, **options), "upserted")
+    _laid_out(nxt, "source_name").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

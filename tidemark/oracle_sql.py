@@ -702,4 +702,75 @@ SELECT count(*) FILTER (again AND text <> '') AS processed, count(*) FILTER (fit
        count(*) FILTER (NOT fits) AS oversized
 FROM r"""
     q["oversized_files"] = files.replace(" AND size <= 500000", " AND size > 20000") + "\nSELECT rel, size FROM kept"
+    paged = """
+p AS (SELECT source_name, CAST(floor(doc_id / 200.0) AS BIGINT) AS page, 't' AS stem, 0 AS stray FROM fx_listing
+      UNION ALL
+      SELECT source_name, CAST(floor(doc_id / 200.0) AS BIGINT), 'stray', 1 FROM fx_listing WHERE doc_id % 10 = 0),
+n AS (SELECT source_name, stem, stray, row_number() OVER w AS n, count(*) OVER (PARTITION BY source_name, stem) AS total
+      FROM (SELECT DISTINCT * FROM p) WINDOW w AS (PARTITION BY source_name, stem ORDER BY page))"""
+    q["listing_chain"] = with_fixtures("WITH" + paged + """
+SELECT source_name, CASE WHEN n > 1 THEN stem || '-' || n WHEN stray = 1 THEN stem ELSE '' END AS token,
+       CASE WHEN n < total THEN stem || '-' || (n + 1) END AS next,
+       CASE WHEN stray = 0 THEN n - 1 END AS position, CASE WHEN stray = 1 THEN 'unreached' END AS issue
+FROM n""", *SYNC_FX)
+    q["scan_catalog"] = q["upsert_discovered"]
+    q["discover_work"] = with_fixtures("SELECT DISTINCT source_name, file_id FROM fx_listing", *SYNC_FX)
+    q["claim_next_catalog"] = with_fixtures(f"""
+WITH c AS (SELECT id AS claimed FROM fx_catalog WHERE status IN ('NEW', 'FAILED') ORDER BY updated_at, id LIMIT 25)
+SELECT id, source_name, file_id, file_name, checksum, size,
+       CASE WHEN claimed IS NULL THEN status ELSE 'PROCESSING' END AS status, object_key, attempt_count, last_error,
+       created_at, CASE WHEN claimed IS NULL THEN updated_at ELSE {AS_OF} END AS updated_at
+FROM fx_catalog LEFT JOIN c ON claimed = id""", *SYNC_FX)
+    q["offset_page"] = with_fixtures("""
+WITH m AS (SELECT *, count(*) OVER () AS total FROM fx_catalog WHERE status = 'UPLOADED')
+SELECT id, source_name, file_id, file_name, checksum, size, status, object_key, attempt_count, last_error, created_at,
+       updated_at, total, total > 150 AS has_next
+FROM m ORDER BY updated_at DESC, id DESC LIMIT 50 OFFSET 100""", *SYNC_FX)
+    q["stable_change"] = with_fixtures("""
+WITH c AS (SELECT file_no % 20 AS board, file_no * 4 + sample_no AS frame, scale, unnest(pixels) AS pixel,
+                  unnest(range(0, 64)) AS cell FROM fx_frames),
+h AS (SELECT board, cell, frame, abs(scale * CAST(pixel AS DOUBLE)) > 16 AS hit,
+             row_number() OVER (PARTITION BY board, cell ORDER BY frame) AS place FROM c),
+g AS (SELECT *, place - row_number() OVER (PARTITION BY board, cell ORDER BY frame) AS island FROM h WHERE hit)
+SELECT board, cell, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_frames
+FROM g GROUP BY board, cell, island HAVING count(*) >= 2""", "fx_frames")
+    q["grid_offset"] = """
+WITH o AS (SELECT label, 240 - median(200 + 4 * label + 100 * CAST(embedding[1] AS DOUBLE)) AS ox,
+                  240 - median(240 + 100 * CAST(embedding[2] AS DOUBLE)) AS oy FROM embeddings GROUP BY label)
+SELECT label, round(ox, 6) AS offset_x, round(oy, 6) AS offset_y, round(CASE WHEN abs(ox) > 5 THEN ox ELSE 0 END, 6) AS dx,
+       round(CASE WHEN abs(oy) > 5 THEN oy ELSE 0 END, 6) AS dy FROM o"""
+    q["merge_predictions"] = """
+WITH p AS (SELECT doc_id, lang AS value, CASE WHEN doc_id % 17 <> 0 THEN CAST(doc_id * 37 % 101 AS DOUBLE) / 100 END AS confidence
+           FROM documents WHERE doc_id % 5 <> 0
+           UNION ALL
+           SELECT doc_id, lang || '2', CAST(doc_id * 41 % 101 AS DOUBLE) / 100 FROM documents WHERE doc_id % 10 = 1),
+f AS (SELECT doc_id, 'q' || quality AS value, CAST(doc_id * 53 % 101 AS DOUBLE) / 100 AS confidence FROM labels),
+a AS (SELECT * FROM p WHERE value IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC NULLS LAST, value) = 1),
+b AS (SELECT * FROM f WHERE value IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC NULLS LAST, value) = 1),
+j AS (SELECT a.doc_id AS ad, a.value AS av, a.confidence AS ac, b.doc_id AS bd, b.value AS bv, b.confidence AS bc,
+             coalesce(a.confidence >= 0.5, false) OR b.doc_id IS NULL AS own
+      FROM a FULL JOIN b ON a.doc_id = b.doc_id)
+SELECT CASE WHEN own THEN ad ELSE bd END AS doc_id, CASE WHEN own THEN av ELSE bv END AS value,
+       CASE WHEN own THEN ac ELSE bc END AS confidence, CASE WHEN own THEN 'primary' ELSE 'fallback' END AS predictor FROM j"""
+    q["sweep_leaderboard"] = r"""
+WITH r AS (SELECT 'flag=' || l_returnflag || ';status=' || l_linestatus || ';tax\;rate=' || CAST(round(l_tax * 100) AS INT) AS setting,
+                  l_suppkey % 8 AS board, CAST(l_quantity AS BIGINT) AS moves, l_orderkey * 10 + l_linenumber AS run FROM lineitem),
+s AS (SELECT 'total' AS scope, CAST(NULL AS BIGINT) AS board, setting, count(*) AS n_runs, sum(moves) AS score FROM r GROUP BY setting
+      UNION ALL SELECT 'board', board, setting, count(*), sum(moves) FROM r GROUP BY board, setting),
+o AS (SELECT 'total' AS scope, CAST(NULL AS BIGINT) AS board, setting, run,
+             row_number() OVER (PARTITION BY setting ORDER BY moves DESC, run) AS k FROM r
+      UNION ALL SELECT 'board', board, setting, run, row_number() OVER (PARTITION BY board, setting ORDER BY moves DESC, run) FROM r)
+SELECT s.scope, s.board, s.setting, s.n_runs, CAST(s.score AS BIGINT) AS score, o.run AS best_run,
+       rank() OVER (PARTITION BY s.scope, s.board ORDER BY s.score DESC) AS place,
+       dense_rank() OVER (PARTITION BY s.scope, s.board ORDER BY s.score DESC) AS dense_place
+FROM s JOIN o ON o.scope = s.scope AND o.board IS NOT DISTINCT FROM s.board AND o.setting = s.setting AND o.k = 1"""
+    q["orient_board"] = """
+WITH f AS (SELECT label, vec_id, list_transform(embedding, lambda e: CASE WHEN e > 0.1 THEN 'P' WHEN e < -0.1 THEN 'p' ELSE '.' END) AS c
+           FROM embeddings),
+t AS (SELECT label, len(list_filter(c[1:8], lambda x: x = 'P')) > len(list_filter(c[1:8], lambda x: x = 'p')) AS reversed
+      FROM f QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)
+SELECT label, vec_id, array_to_string(CASE WHEN reversed THEN list_reverse(c) ELSE c END, '') AS cells, reversed
+FROM f JOIN t USING (label)"""
     return q

@@ -11,6 +11,7 @@ from tidemark.functions.paths import key_basename, key_prefix
 from tidemark.functions.predicates import PROCESSING, UPLOADED
 from tidemark.functions.sizes import effective_size
 from tidemark.operators.joins import FILE_KEY, salt, salted
+from tidemark.operators.ranking import stored
 
 # Audit issue codes in report order.
 MISSING_IN_STORE = "missing_in_store"
@@ -114,10 +115,11 @@ def audit_sources(listing: DataFrame, catalog: DataFrame, inventory: DataFrame,
 
     orphans = orphan_objects(objs, f.where(present).select("source_name", F.col("o_key").alias("object_key")),
                              catalog, files.select(*FILE_KEY))
-    items = file_items.unionByName(orphans.select(*ITEM_COLUMNS))
+    # Written once: the summary and the totals count from the items instead of joining again.
+    items = stored(file_items.unionByName(orphans.select(*ITEM_COLUMNS)), "audit-items")
 
     summary = audit_summary(items)
-    totals = audit_totals(prefixes.select("source_name"), files, objs, file_items)
+    totals = audit_totals(prefixes.select("source_name"), files, objs, issue_set(items))
     return AuditReport(items=items.select(*ITEM_COLUMNS), totals=totals, summary=summary)
 
 

@@ -17,7 +17,7 @@ from tidemark.functions.mime import is_video_like
 from tidemark.functions.paths import bucket_key, expected_key, key_basename, object_key, sanitize_file_name
 from tidemark.functions.probe import parse_probe
 from tidemark.functions.sizes import chunk_ranges, effective_size, sample_offsets
-from tidemark.operators import catalog as cat
+from tidemark.operators import boards, catalog as cat
 from tidemark.operators.integrity import content_hash, frame_verdict, pixel_stddev
 from tidemark.operators.joins import (
     FILE_KEY, fetch_metadata, join_catalog_inventory, join_listing_catalog, not_in_catalog, point_lookup,
@@ -86,6 +86,11 @@ def q_discover(spark, sf):
     return nxt.select(*CATALOG_COLUMNS)
 
 
+def q_discover_work(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    return discover(listing, catalog, as_of=_as_of(catalog))[1]
+
+
 def q_requeue_changed(spark, sf):
     listing, catalog, _ = _sync_inputs(spark, sf)
     as_of = _as_of(catalog)
@@ -186,6 +191,18 @@ def q_claim_next(spark, sf):
     return claimed.select(*CATALOG_COLUMNS)
 
 
+def q_claim_next_catalog(spark, sf):
+    _, catalog, _ = _sync_inputs(spark, sf)
+    _, nxt = cat.claim_next(catalog, as_of=_as_of(catalog), n=25)
+    return nxt.select(*CATALOG_COLUMNS)
+
+
+def q_offset_page(spark, sf):
+    _, catalog, _ = _sync_inputs(spark, sf)
+    order = [F.col("updated_at").desc(), F.col("id").desc()]
+    return boards.page_with_total(catalog.select(*CATALOG_COLUMNS), order, page=2, size=50, status="UPLOADED")
+
+
 def q_resolve_by_name(spark, sf):
     listing, catalog, _ = _sync_inputs(spark, sf)
     return cat.resolve_by_name(listing.select("source_name", "file_name"), catalog)
@@ -662,12 +679,32 @@ def q_config_diff(spark, sf):
     return config_diff(a, b)
 
 
-def q_scan_listing_pages(spark, sf):
-    from tidemark.sources.listing import scan_listing_pages, write_listing_pages
+def _listing_pages(spark, sf):
+    """Pages of the listing, and pages of another listing that no first page leads to."""
+    from tidemark.sources.listing import write_listing_pages
     listing, _, _ = _sync_inputs(spark, sf)
     root = _scratch(spark, "pages")
     write_listing_pages(listing.withColumn("trashed", F.col("doc_id") % 31 == 0), root)
-    return scan_listing_pages(spark, root)
+    write_listing_pages(listing.where(F.col("doc_id") % 10 == 0), root, first_token="stray", mode="append")
+    return root
+
+
+def q_scan_listing_pages(spark, sf):
+    from tidemark.sources.listing import scan_listing_pages
+    return scan_listing_pages(spark, _listing_pages(spark, sf))
+
+
+def q_listing_chain(spark, sf):
+    from tidemark.sources.listing import listing_chain, read_pages
+    return listing_chain(read_pages(spark, _listing_pages(spark, sf)))
+
+
+def q_scan_catalog(spark, sf):
+    listing, catalog, _ = _sync_inputs(spark, sf)
+    path = _scratch(spark, "catalog")
+    cat.write_snapshot(catalog.select(*CATALOG_COLUMNS), path)
+    cat.upsert_partitions(path, listing, as_of=_as_of(catalog))
+    return cat.scan_catalog(spark, path).select(*CATALOG_COLUMNS)
 
 
 def q_stat_objects(spark, sf):
@@ -743,6 +780,52 @@ def q_knn_approx(spark, sf):
     return knn_approx(query, index, 5)
 
 
+# ---------------------------------------------------------------- boards and runs (D-*)
+
+def q_stable_change(spark, sf):
+    frames, = fixtures(spark, sf, "fx_frames")
+    cells = frames.select((F.col("file_no") % 20).alias("board"), (F.col("file_no") * 4 + F.col("sample_no")).alias("frame"),
+                          "scale", F.posexplode("pixels").alias("cell", "pixel"))
+    cells = cells.withColumn("difference", F.abs(F.col("scale") * F.col("pixel").cast("double")))
+    return boards.stable_change(cells, ["board", "cell"], "frame")
+
+
+def q_grid_offset(spark, sf):
+    x, y = (F.get("embedding", F.lit(k)).cast("double") for k in (0, 1))
+    points = table(spark, sf, "embeddings").select(
+        "label", (F.lit(200.0) + 4 * F.col("label") + 100 * x).alias("x"), (F.lit(240.0) + 100 * y).alias("y"))
+    return boards.grid_offset(points, ["label"]).select(
+        "label", *[F.round(c, 6).alias(c) for c in ("offset_x", "offset_y", "dx", "dy")])
+
+
+def q_merge_predictions(spark, sf):
+    d = F.col("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    one = docs.where(d % 5 != 0).select("doc_id", F.col("lang").alias("value"), F.when(
+        d % 17 != 0, (d * 37 % 101).cast("double") / 100).alias("confidence"))
+    two = docs.where(d % 10 == 1).select("doc_id", F.concat("lang", F.lit("2")).alias("value"),
+                                         ((d * 41 % 101).cast("double") / 100).alias("confidence"))
+    other = table(spark, sf, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("value"),
+                                              ((d * 53 % 101).cast("double") / 100).alias("confidence"))
+    return boards.merge_predictions(one.unionByName(two), other, ["doc_id"])
+
+
+def q_sweep_leaderboard(spark, sf):
+    flag, status = (F.lit("flag"), F.col("l_returnflag")), (F.lit("status"), F.col("l_linestatus"))
+    tax = (F.lit("tax;rate"), F.round(F.col("l_tax") * 100).cast("int").cast("string"))
+    params = F.when(F.col("l_linenumber") % 2 == 0, F.create_map(*flag, *status, *tax)).otherwise(F.create_map(*tax, *flag, *status))
+    runs = table(spark, sf, "lineitem").select(
+        params.alias("params"), (F.col("l_suppkey") % 8).alias("board"), F.col("l_quantity").cast("long").alias("moves"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run"))
+    return boards.sweep_leaderboard(runs)
+
+
+def q_orient_board(spark, sf):
+    piece = F.transform("embedding", lambda e: F.when(e > 0.1, "P").when(e < -0.1, "p").otherwise("."))
+    frames = table(spark, sf, "embeddings").select("label", "vec_id", piece.alias("cells"))
+    return boards.orient_board(frames, "label", "vec_id").withColumn("cells", F.array_join("cells", ""))
+
+
 def registry() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name, fn in list(globals().items()):
