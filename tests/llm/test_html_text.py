@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -87,3 +88,38 @@ def test_dropped_elements_without_an_end_tag(page):
 def test_an_item_ends_a_dropped_item():
     assert main_text("<article><p>Before</p><ul><li class=share>Share<li>Item one<li>Item two</ul><p>After</p></article>") \
         == "Before Item one Item two After"
+
+
+def test_quotes_open_values_only_after_an_equals_sign():
+    page = f"<body><div id=content><h1>Head</h1>{P}<p><a title=it's href=x>link</a> words</p><p>That's it</p>{P}</div></body>"
+    text = "Long enough a paragraph of running text, with a link in it and more words after it."
+    assert main_text(page) == f"Head {text} link words That's it {text}"
+    assert main_text("<article><p title = 'a > b' x=\"c > d\" y=1>x</p></article>") == "x"
+    assert main_text("<article><p title='never closed>x</p><p>y</p></article>") == "x y"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class=head><h1>Head</h1></div><div class=text>{P}{P}</div></body>",
+    f"<body><article><header><h1>Head</h1></header>{P}{P}</article></body>",
+    f"<body><div id=page><h1>Head</h1>{P}{P}<div class='post-comments'><p>A reader says so, and in a great many words.</p></div></div></body>",
+    f"<body><div id=page><h1>Head</h1>{P}{P}<div id='user_comments'><p>A reader says so, and in a great many words.</p></div></div></body>",
+    f"<body><main><div class='entry-header'><h1>Head</h1></div>{P}{P}<section class='comments-section'><p>Me too.</p></section></main></body>",
+])
+def test_nested_titles_and_reader_comments(page):
+    text = "Long enough a paragraph of running text, with a link in it and more words after it."
+    assert main_text(page) == f"Head {text} {text}"
+
+
+def test_a_list_of_sources_in_an_article_stays():
+    page = f"<article><h1>Head</h1>{P}<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul></article>"
+    assert main_text(page).endswith("after it. First source Second source")
+
+
+@pytest.mark.parametrize("part", ['<a "x ', "<a x='", '<a x="', "<b>", "</i>", "<h1>", "<p>", "<div>", "<div></div>", "<aside></aside>", "<li>",
+                                  "<nav>x</nav>", "<a x='>\"", "<!-- ", "<![CDATA[", "<script>", "</script ", "<!x ", "<", "&", "='"])
+def test_hostile_pages_take_linear_time(part):
+    at = time.perf_counter()
+    for page in (part * (1_000_000 // len(part)), "<b>" * 50_000 + part * 50_000, "<b><nav>" + "<i>" * 50_000 + "</b>" * 50_000 + part * 50_000,
+                 "<p>x</p>" + part * 100_000 + ">"):
+        main_text(page)
+    assert time.perf_counter() - at < 30

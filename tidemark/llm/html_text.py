@@ -43,9 +43,13 @@ BESIDE = re.compile(r"left|right|top|bottom|site|global|primary|secondary|wrappe
 #: Implied ends: an item ends the one before it.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Names of what readers write, and words that stand beside these only (an ``entry-header`` is a title).
+READERS = re.compile(r"comments?|commentlist|respond|replies|reply", re.IGNORECASE)
+BESIDE_READERS = re.compile(r"post|entry|article|user|reader|visitor|section|thread|form|title", re.IGNORECASE)
 GONE, NAMED = 1, 2
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
-                   re.DOTALL)
+NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+#: Up to the end of a tag, or to the equals sign before a value and its quote, if it has one.
+ATTRIBUTES = re.compile(r"""[^>=]*(?:>|=\s*(["']?))""")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 
 
@@ -62,7 +66,9 @@ def _named(value: str) -> bool:
     """Whether a word of a class or an id consists of boilerplate names and words beside them."""
     parts = [p for p in re.split(r"[_-]+", value) if p]
     told = [bool(NAMES.fullmatch(p)) for p in parts]
-    return any(told) and all(t or BESIDE.fullmatch(p) for t, p in zip(told, parts, strict=True))
+    readers = any(map(READERS.fullmatch, parts))
+    return any(told) and all(t or BESIDE.fullmatch(p) or readers and BESIDE_READERS.fullmatch(p)
+                             for t, p in zip(told, parts, strict=True))
 
 
 def _boilerplate(name: str, attributes: str) -> int:
@@ -81,34 +87,83 @@ def _boilerplate(name: str, attributes: str) -> int:
     return found
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of the tags of a page; comments and declarations have the name
+    '', a CDATA section '![', and an end tag a leading '/'.
+
+    A quote opens a value only after an equals sign. Every character is passed once: a tag whose
+    quotes leave no end ends at its first '>', and from there on quotes are not heeded.
+    """
+    at, quoted = page.find("<"), True
+    last = {c: page.rfind(c) for c in "\"'>"}
+    while 0 <= at:
+        end, name, attributes = 0, "", ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = end if end > 2 else len(page)
+        elif page.startswith("<![CDATA[", at):
+            end, name = page.find("]]>", at + 9) + 3, "!["
+            end = end if end > 2 else len(page)
+        elif at > last[">"]:
+            return
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+        elif m := NAME.match(page, at + 1):
+            name, start = m[0].lower(), m.end()
+            to = start
+            while quoted and (step := ATTRIBUTES.match(page, to)):
+                to = step.end()
+                if page[to - 1] == ">" and not step[1]:
+                    end = to
+                    break
+                if step[1] and last[step[1]] >= to:
+                    to = page.find(step[1], to) + 1
+            if not end:
+                quoted, end = False, page.find(">", start) + 1
+            attributes = page[start:end - 1]
+        if end:
+            yield at, end, name, attributes
+        at = page.find("<", end or at + 1)
+
+
 def parse(page: str) -> Node:
-    """Tree of the block elements of a page, with text runs in order; boilerplate is left out."""
+    """Tree of the block elements of a page, with text runs in order; boilerplate is left out.
+
+    Time grows with the page alone: of the open elements only the latest of a name, and the
+    blocks, are ever looked at.
+    """
     root = node = Node("body", None)
     open_tags: list[tuple[str, Node]] = []  # every open element with the node to go back to
+    places: dict[str, list[int]] = {}  # places in open_tags by name
+    blocks: list[int] = []  # places of blocks
     boundary: list[int] = []  # places in open_tags of the elements that are to be dropped
     link = at = 0
 
     def close(k: int) -> None:
         nonlocal node, link
         node = open_tags[k][1]
-        link -= sum(tag == "a" for tag, _ in open_tags[k:])
+        for name, _ in reversed(open_tags[k:]):
+            places[name].pop()
+            link -= name == "a"
         del open_tags[k:]
-        while boundary and boundary[-1] >= k:
-            boundary.pop()
+        for stack in (boundary, blocks):
+            while stack and stack[-1] >= k:
+                stack.pop()
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
+    for start, end, name, attributes in tokens(page):
+        if start < at:
             continue
-        if m.start() > at:
-            _text(node, page[at:m.start()], link)
-        at = m.end()
-        name = (m[2] or "").lower()
+        if start > at:
+            _text(node, page[at:start], link)
+        at = end
         if not name:
-            if m[0].startswith("<![CDATA["):
-                _text(node, page[m.start() + 9:at].removesuffix("]]>"), link)
             continue
-        if m[1]:
-            k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name), -1)
+        if name == "![":
+            _text(node, page[start + 9:at].removesuffix("]]>"), link)
+            continue
+        if name[0] == "/":
+            name = name[1:]
+            k = places[name][-1] if places.get(name) else -1
             if name in ("html", "body"):
                 if boundary:
                     close(boundary[0])
@@ -119,23 +174,27 @@ def parse(page: str) -> Node:
             elif name == "br":
                 node.items.append(" ")
             continue
-        attributes = m[3] or ""
-        if name in RAW and not attributes.rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+        closed = attributes.rstrip().endswith("/")
+        if name in RAW and not closed:
+            stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+            at = stop.end() if stop else len(page)
             continue
-        empty = name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS
+        empty = name in VOID or closed and name not in BLOCKS
         if name in BLOCKS and name not in ("html", "body"):
-            # A block ends an open paragraph; an item ends the one before it.
-            for k in range(len(open_tags) - 1, -1, -1):
+            # A block ends an open paragraph; a heading one right around it; an item the one before it.
+            if name in HEADINGS and blocks and open_tags[blocks[-1]][0] in HEADINGS:
+                close(blocks[-1])
+            for k in reversed(blocks):
                 tag = open_tags[k][0]
                 if tag == "p" or tag in ENDS.get(name, ()):
                     close(k)
                     if tag != "p":
                         break
-                elif tag in BLOCKS and tag not in HEADINGS:
+                elif tag not in HEADINGS:
                     break
         drop = _boilerplate(name, attributes)
+        if name == "header" and drop and places.get("article") and not boundary:
+            drop = 0  # the head of an article holds its title
         if name in ("html", "body") or drop and empty:
             continue
         if empty:
@@ -145,6 +204,9 @@ def parse(page: str) -> Node:
             continue
         if drop:
             boundary.append(len(open_tags))
+        if name in BLOCKS:
+            blocks.append(len(open_tags))
+        places.setdefault(name, []).append(len(open_tags))
         open_tags.append((name, node))
         if drop or name in BLOCKS:
             child = Node(name, node, drop)
@@ -175,8 +237,7 @@ def _prune(root: Node) -> None:
     for node in reversed(order):
         plain[node] = node.chars - node.links + sum(plain[x] for x in node.items if isinstance(x, Node))
     for node in order:
-        if node.drop and 2 * plain[node] <= plain[root]:
-            node.up.items = [x for x in node.up.items if x is not node]
+        node.items = [x for x in node.items if isinstance(x, str) or not x.drop or 2 * plain[x] > plain[root]]
 
 
 def _text(node: Node, run: str, link: int) -> None:
@@ -231,7 +292,10 @@ def main_node(root: Node) -> Node:
     while path[-1].up is not None:
         path.append(path[-1].up)
     threshold = min(n.density for n in path)
-    titled = any(n.name == "h1" for n in walk(best))
+    title: dict[Node, int] = {}  # characters inside h1
+    for node in reversed(order):
+        title[node] = node.chars if node.name == "h1" else sum(title[x] for x in node.items if isinstance(x, Node))
+    titled = title[best] > 0
     top = best
     for node in path[1:]:
         for x in node.items:
@@ -240,10 +304,10 @@ def main_node(root: Node) -> Node:
             elif x is top or x.chars <= 2 * x.links:
                 more = False
             else:  # a title is short, so its density says nothing
-                more = x.density >= threshold or x.name == "h1" and not titled
+                more = x.density >= threshold or 2 * title[x] > x.chars and not titled
             if more:
                 best = node
-                titled = titled or any(isinstance(y, Node) and y.name == "h1" for y in node.items)
+                titled = titled or title[node] > 0
                 break
         top = node
     return best
@@ -255,14 +319,19 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     out: list[str] = []
-    stack: list = [main_node(root)]
+    main = main_node(root)
+    stack: list = [main]
+    within = main
+    while within is not None and within.name != "article":
+        within = within.up
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             out.append(x)
         else:
-            # Inside the main part, a container that is mostly links is a menu.
-            if x.name in ("ul", "ol", "div", "section", "table", "dl") and x.links * 2 > x.chars and x.link_tags > 1:
+            # Inside the main part, a container that is mostly links is a menu, but not in an article
+            # element: there it is a list of sources, or a part of the text.
+            if within is None and x.name in ("ul", "ol", "div", "section", "table", "dl") and x.links * 2 > x.chars and x.link_tags > 1:
                 continue
             out.append(" ")
             stack.append(" ")
