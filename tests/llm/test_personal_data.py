@@ -1,13 +1,16 @@
 """Operator 10: base spans against plain patterns over the whole table, the models, edge cases."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from conftest import SF01
-from tidemark.llm.personal_data import (ABSTAIN, NO, YES, base_spans, find_personal_data, fit_labelers, op10_personal_data)
+from tidemark.llm.personal_data import (_MORE, ABSTAIN, BASE, KINDS as ALL_KINDS, NO, YES, base_spans, candidates,
+                                        find_personal_data, fit_labelers, op10_personal_data)
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -76,3 +79,26 @@ def test_added_spans_and_edge_cases(spark):
     assert by[None].spans == by[7].spans and [by[7].n_email, by[7].n_ip, by[7].n_card, by[7].n_phone] == [1, 1, 1, 1]
     assert find_personal_data(df.limit(0)).count() == 0
     assert find_personal_data(df.where("doc_id < 2")).count() == 2
+
+
+def test_added_candidates_equal_all_against_all():
+    rng = random.Random(4)
+    parts = ["James Smith", "a@b.com", "(555) 123-4567", "078-05-1120", "DE89 3704 0044 0532 0130 00", "mary at", "x [at] y.com", "+49 30 1234567", "é ",
+             "4111 1111 1111 1111", "10.0.0.1", " ", "."]
+    for _ in range(300):
+        text = rng.choice(["", " "]).join(rng.choices(parts, k=rng.randint(1, 12)))
+        base = base_spans(text)
+        want, taken = [], [(a, b) for a, _, b in base]
+        for k, kind in enumerate(ALL_KINDS[BASE:], BASE):
+            for m in _MORE[kind].finditer(text):
+                if not any(x < m.end() and m.start() < y for x, y in taken):
+                    want.append((m.start(), k, m.end()))
+                    taken.append(m.span())
+        assert candidates(text, base) == sorted(want), text
+
+
+def test_many_names_take_linear_time():
+    at = time.perf_counter()
+    text = "James Smith a@b.com, " * 150_000
+    assert len(candidates(text, base_spans(text))) == 150_000
+    assert time.perf_counter() - at < 20

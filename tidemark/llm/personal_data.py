@@ -93,17 +93,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of the other kinds that overlap neither a base span nor one of a kind before; the
+    taken spans and a kind's matches are two sorted lists, walked once together."""
     out: list[tuple[int, int, int]] = []
-    taken = sorted((a, b) for a, _, b in base)
+    taken = _disjoint(sorted((a, b) for a, _, b in base))
     for k, kind in enumerate(KINDS[BASE:], BASE):
         if kind in _NEEDS and not _NEEDS[kind].search(text):
             continue
+        free, at = [], 0
         for m in _MORE[kind].finditer(text):
             a, b = m.span()
-            if not any(x < b and a < y for x, y in taken):
-                out.append((a, k, b))
-                taken.append((a, b))
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            if at == len(taken) or taken[at][0] >= b:
+                free.append((a, b))
+        if free:
+            out += [(a, k, b) for a, b in free]
+            taken = sorted(taken + free)
     return sorted(out)
 
 
