@@ -3,8 +3,8 @@
 Three fixed patterns give the base spans. The method adds spans: in candidate strings (long runs
 of key characters) a window of ``WINDOW`` characters slides along, its character counts are
 updated by the one that enters and the one that leaves, and the largest Shannon entropy of a
-window decides by character class. An allow-list suppresses placeholders and UUIDs among these;
-base spans always stay. Positions are code points: the pieces between the matches of a pattern
+window decides by character class. Base spans, which always stay, and words on the allow-list
+(placeholders and UUIDs) are cut out of a candidate first, and what is left of it is tested piece by piece. Positions are code points: the pieces between the matches of a pattern
 and the matches themselves alternate, so their lengths add up to offsets.
 """
 
@@ -27,6 +27,7 @@ WINDOW = 20
 CLASSES = {"hex": ("0123456789abcdefABCDEF", 3.0),
            "text": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8)}
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0123456789|abcdefgh"
+WORD = r"[A-Za-z0-9_-]+"
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 MASK = "[SECRET]"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -78,33 +79,61 @@ def window_entropy(string: Column, alphabet: str, width: int = WINDOW) -> Column
 
 
 def _secretive(string: Column) -> Column:
-    """Entropy test of a candidate by its character class, and the allow-list."""
+    """Entropy test of a piece by its character class."""
     one_case = string.rlike("^([0-9a-f]+|[0-9A-F]+)$")
     mixed = string.rlike("[0-9]") & string.rlike("[A-Za-z]")
     bits = F.when(one_case, window_entropy(string, CLASSES["hex"][0]) >= CLASSES["hex"][1]).otherwise(
         window_entropy(string, CLASSES["text"][0]) >= CLASSES["text"][1])
-    return F.when(mixed & ~string.rlike(ALLOWED) & ~string.rlike(UUID), bits).otherwise(False)
+    return F.when(mixed, bits).otherwise(False)
 
 
-def secret_spans(text: Column) -> tuple[Column, Column]:
-    """(base, all) spans of a text, sorted by start, then kind; null text is empty."""
+def base_spans(text: Column) -> Column:
+    """Base spans of a text, sorted by start, then kind; null text is empty."""
     text = F.coalesce(text, F.lit(""))
-    base = F.concat(_spans(text, ASSIGN, 0, lambda value: F.length(value) >= 6, group=2),
-                    _spans(text, ACCESS, 1, lambda found: F.length(found) >= 20), _spans(text, HEX, 2))
-    return F.array_sort(base), _spans(text, CANDIDATE, 3, _secretive)
+    return F.array_sort(F.concat(_spans(text, ASSIGN, 0, lambda value: F.length(value) >= 6, group=2),
+                                 _spans(text, ACCESS, 1, lambda found: F.length(found) >= 20), _spans(text, HEX, 2)))
+
+
+def _candidates(text: Column) -> Column:
+    """Candidate strings with their places: array of (start, kind, end, found)."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    return F.zip_with(_spans(text, CANDIDATE, 3), F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast("array<string>")),
+                      lambda x, f: F.struct(x["start"].alias("start"), x["end"].alias("end"), f.alias("found")))
+
+
+def _added(c: Column, base: Column) -> Column:
+    """Spans that the method adds in one candidate: its pieces between base spans and allowed
+    words, if ``WINDOW`` characters long and secretive."""
+    def span(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end"))
+
+    taken = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    words = _spans(c["found"], WORD, 3, lambda w: w.rlike(ALLOWED) | w.rlike(UUID))
+    allowed = F.transform(words, lambda w: span(w["start"] + c["start"], w["end"] + c["start"]))
+    cuts = F.array_sort(F.concat(taken, allowed, F.array(span(c["end"], c["end"]))))
+    start = F.struct(c["start"].alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        piece = F.concat(s["out"], F.array(span(s["at"], x["start"])))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"),
+                        F.when(x["start"] - s["at"] >= WINDOW, piece).otherwise(s["out"]).alias("out"))
+
+    pieces = F.aggregate(cuts, start, step)["out"]
+    return F.filter(pieces, lambda x: _secretive(F.substring(c["found"], x["start"] - c["start"] + 1, x["end"] - x["start"])))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` rows with base_spans and all_spans (arrays of start, kind index, end).
 
-    Added spans that overlap a base span are dropped. Null and empty texts have no spans; rows
-    are taken one by one, so repeated rows and null ids each keep their own; texts of any
-    length are read whole, and extra columns pass through (these two names are replaced).
+    Added spans never overlap a base span: what a base span leaves of a candidate is tested by
+    itself. Null and empty texts have no spans; rows are taken one by one, so repeated rows and
+    null ids each keep their own; texts of any length are read whole, and extra columns pass
+    through (these two names are replaced).
     """
-    base, added = secret_spans(F.col("text"))
-    out = docs.drop("base_spans", "all_spans").withColumn("base_spans", base).withColumn("all_spans", added)
-    free = F.filter("all_spans", lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return out.withColumn("all_spans", F.array_sort(F.concat("base_spans", free)))
+    out = docs.drop("base_spans", "all_spans").withColumn("base_spans", base_spans(F.col("text")))
+    added = F.flatten(F.transform(_candidates(F.col("text")), lambda c: _added(c, F.col("base_spans"))))
+    return out.withColumn("all_spans", F.array_sort(F.concat("base_spans", added)))
 
 
 def _joined(spans: Column) -> Column:
