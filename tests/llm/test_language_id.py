@@ -67,3 +67,40 @@ def test_edge_cases(spark):
     kept = keep_identified(few)
     assert kept.columns == docs.columns and kept.count() == docs.where("doc_id < 60").count()
     assert keep_identified(docs.limit(0)).count() == 0
+
+
+def test_probabilities_equal_a_plain_loop():
+    """Byte by byte over one window at a time, with the gate equations written out."""
+    rng = np.random.default_rng(2)
+    net = ByteNetwork(["a", "b", "c"], hidden=5)
+    for k in net.p:
+        net.p[k] = rng.normal(0, 0.7, net.p[k].shape).astype(np.float32)
+    x = rng.integers(0, 256, (9, 13)).astype(np.uint8)
+    valid = np.ones((9, 13), bool)
+    valid[2, 6:] = valid[5, 1:] = valid[8, :] = False
+    got = net.probabilities(np.where(valid, x, 0).astype(np.uint8), valid)
+
+    def sigmoid(v):
+        return 1 / (1 + np.exp(-v))
+
+    for row in range(9):
+        size = int(valid[row].sum())
+        seen = {}
+        for d, order in (("f", range(size)), ("b", range(size - 1, -1, -1))):
+            h = np.zeros(5)
+            for t in order:
+                xs, u = net.p["x" + d][x[row, t]] + net.p["c" + d], h @ net.p["u" + d].astype(float)
+                z, r = sigmoid(xs[:5] + u[:5]), sigmoid(xs[5:10] + u[5:10])
+                h = (1 - z) * h + z * np.tanh(xs[10:] + r * u[10:])
+                seen[d, t] = h
+        for t in range(size):
+            e = np.exp(np.concatenate([seen["f", t], seen["b", t]]) @ net.p["v"] + net.p["o"])
+            assert np.allclose(got[t, row], e / e.sum(), atol=1e-5)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(4 * k + i, f"text {chr(97 + k % 26) * 5} {k}", f"l{k:03}") for k in range(100) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len({lang for lang, _ in training_sample(docs)}) == 100
+    few = training_sample(docs, most=100)
+    assert few == training_sample(docs.repartition(3), most=100) and len(few) < 400

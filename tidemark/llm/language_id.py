@@ -3,7 +3,7 @@
 The network reads windows of ``WINDOW`` bytes in both directions, labels every byte position
 and averages the position probabilities over the whole text. It is trained here, in numpy, by
 backpropagation through time on a bounded sample of labelled rows (``per_language`` texts in
-expectation for each of at most ``languages`` values, one span of ``span`` characters each).
+expectation for each language, ``most`` in all, one span of ``span`` characters each).
 Prediction runs inside ``mapInArrow``: all windows of a slice of texts step together.
 """
 
@@ -19,6 +19,8 @@ from tidemark.llm._common import arrow_map, string_buffers, table, text_slices
 
 WINDOW = 64
 HIDDEN = 12
+#: Windows that step together.
+ROWS = 1024
 UNKNOWN = "und"
 
 
@@ -69,12 +71,66 @@ class ByteNetwork:
                     tapes[d].append((t, before, *rest))
         return out, tapes
 
+    def _fused(self) -> tuple[np.ndarray, ...]:
+        """Weights for ``probabilities``: byte tables with their biases, (gate, direction, byte) by
+        unit, and recurrent weights; update and reset are halved, for sigmoid(x) = (1 + tanh(x / 2)) / 2."""
+        n, p = self.hidden, self.p
+        x = np.stack([p["x" + d] + p["c" + d] for d in "fb"])
+        u = np.stack([p["u" + d] for d in "fb"])
+        gates = np.stack([x[:, :, :n], x[:, :, n:2 * n]]) * 0.5
+        own = np.stack([u[:, :, :n], u[:, :, n:2 * n]]) * 0.5
+        return (np.ascontiguousarray(gates.reshape(-1, n)), np.ascontiguousarray(x[:, :, 2 * n:].reshape(-1, n)),
+                np.ascontiguousarray(own), np.ascontiguousarray(u[:, :, 2 * n:]))
+
     def probabilities(self, x: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        """Label probabilities of every position, (steps, rows, labels)."""
-        states, _ = self.states(x, valid)
-        s = states @ self.p["v"] + self.p["o"]
-        s = np.exp(s - s.max(axis=2, keepdims=True))
-        return s / s.sum(axis=2, keepdims=True)
+        """Label probabilities of every position, (steps, rows, labels).
+
+        Both directions step together: one gather, one tanh for update and reset, one for the
+        candidate, all into buffers made once. ``states`` is the plain form of the same.
+        """
+        rows, steps = x.shape
+        n, kind = self.hidden, self.p["v"].dtype
+        gate_table, table_, own, inner = self._fused()
+        bytes_ = np.ascontiguousarray(x.T).astype(np.intp)
+        at = np.empty((2, 2, rows), np.intp)
+        zr, cand, h = np.empty((2, 2, rows, n), kind), np.empty((2, rows, n), kind), np.zeros((2, rows, n), kind)
+        product, u = np.empty((2, 2, rows, n), kind), np.empty((2, rows, n), kind)
+        states = np.empty((2, steps, rows, n), kind)
+        full, ok = valid.all(axis=0), np.ascontiguousarray(valid.T).astype(kind)[:, :, None]
+        for t in range(steps):
+            back = steps - 1 - t
+            at[0, 0] = bytes_[t]
+            np.add(bytes_[back], 256, out=at[0, 1])
+            np.add(at[0], 512, out=at[1])
+            np.take(gate_table, at.reshape(-1), axis=0, out=zr.reshape(-1, n), mode="clip")
+            np.take(table_, at[0].reshape(-1), axis=0, out=cand.reshape(-1, n), mode="clip")
+            if t:
+                for d in (0, 1):
+                    np.matmul(h[d], own[0, d], out=product[0, d])
+                    np.matmul(h[d], own[1, d], out=product[1, d])
+                    np.matmul(h[d], inner[d], out=u[d])
+                zr += product
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            if t:
+                u *= zr[1]
+                cand += u
+            np.tanh(cand, out=cand)
+            cand -= h
+            cand *= zr[0]
+            h += cand
+            for d, place in ((0, t), (1, back)):
+                if not full[place]:
+                    h[d] *= ok[place]
+                states[d, place] = h[d]
+        s = states[0] @ self.p["v"][:n]
+        s += states[1] @ self.p["v"][n:]
+        s += self.p["o"]
+        s -= s.max(axis=2, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(axis=2, keepdims=True)
+        return s
 
     def gradients(self, x: np.ndarray, valid: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean cross-entropy over the valid positions and its gradients, through time."""
@@ -146,20 +202,23 @@ def _teachable() -> Column:
     return (F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull()
 
 
-def training_sample(docs: DataFrame, per_language: int = 400, span: int = 640,
-                    languages: int = 64) -> list[tuple[str, str]]:
-    """Bounded (lang, span of text) sample; a row's hash decides, so reruns agree."""
+def training_sample(docs: DataFrame, per_language: int = 400, span: int = 640, most: int = 25_600) -> list[tuple[str, str]]:
+    """Bounded (lang, span of text) sample; a row's hash decides, so reruns agree.
+
+    Every language is learned: ``per_language`` rows of each in expectation, or ``most`` in all
+    shared evenly, but one at least. The model itself has a weight per language.
+    """
     rows = docs.where(_teachable())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return []
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(10**6, 10**6 * per_language // r["count"] + 1))).otherwise(share)
+    per = max(1, min(per_language, most // len(counts)))
+    shares = [(r["lang"], min(10**6, 10**6 * per // r["count"] + 1)) for r in counts]
+    told = docs.sparkSession.createDataFrame(shares, "lang string, _share long")
     chance = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"))
     start = F.pmod(F.xxhash64(F.lit("span"), F.col("doc_id").cast("string")), F.greatest(F.length("text") - span, F.lit(1)))
-    picked = rows.where(F.pmod(chance, F.lit(10**6)) < share).select(
-        "lang", F.substring("text", (start + 1).cast("int"), F.lit(span)).alias("span"))
+    rows = rows.select("lang", chance.alias("_chance"), F.substring("text", (start + 1).cast("int"), F.lit(span)).alias("span"))
+    picked = rows.join(F.broadcast(told), "lang").where(F.pmod("_chance", F.lit(10**6)) < F.col("_share")).select("lang", "span")
     return sorted((r["lang"], r["span"]) for r in picked.collect())
 
 
@@ -184,13 +243,16 @@ def _predict(model: ByteNetwork | None):
             total, hits = np.zeros((n, k)), np.zeros((n, k), np.int64)
             if model:
                 row, x, valid = windows(data, offsets)
-                for a in range(0, len(row), 2048):
-                    own, ok = row[a:a + 2048], valid[a:a + 2048]
-                    p = model.probabilities(x[a:a + 2048], ok)
-                    np.add.at(total, own, np.where(ok.T[:, :, None], p, 0).sum(axis=0, dtype=np.float64))
+                for a in range(0, len(row), ROWS):
+                    own, ok = row[a:a + ROWS], valid[a:a + ROWS]
+                    p = model.probabilities(x[a:a + ROWS], ok)
                     label = p.argmax(axis=2)
-                    for c in range(k):
-                        np.add.at(hits[:, c], own, ((label == c) & ok.T).sum(axis=0))
+                    label[~ok.T] = k
+                    p *= ok.T[:, :, None]
+                    np.add.at(total, own, p.sum(axis=0, dtype=np.float64))
+                    # One count of (window, label) pairs; positions beyond a text count as label k.
+                    pairs = np.bincount((label + np.arange(len(own)) * (k + 1)).ravel(), minlength=len(own) * (k + 1))
+                    np.add.at(hits, own, pairs.reshape(len(own), k + 1)[:, :k])
             total /= np.maximum(np.diff(offsets), 1)[:, None]
             best = total.argmax(axis=1)
             letters = [bool(t) and any(map(str.isalpha, t)) for t in batch.column(1).to_pylist()]
@@ -209,7 +271,8 @@ def identify(docs: DataFrame, model: ByteNetwork | None, key: str = "doc_id") ->
     """One row per row of ``docs``: key, lang_pred, score and the share of positions so labelled.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text when there
-    was nothing to learn from. Very long texts are read whole, a slice of windows at a time.
+    was nothing to learn from. Equal label sums go to the first label in code-point order; repeated
+    rows and null keys are told one by one; an empty table gives none. Very long texts are read whole, a slice of windows at a time.
     Only the key and the text are read, so other columns may have any names.
     """
     return arrow_map(docs.select(F.col(key).alias("doc_id"), "text"), _predict(model),
