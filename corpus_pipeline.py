@@ -15,8 +15,9 @@ from tidemark.llm.secrets import redact_secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter."""
-    return keep_identified(docs)
+    """Documents without a language go: null texts, texts without a letter, and those of which no
+    language has half of the network's probability. ``lang`` of the others is the language told."""
+    return keep_identified(docs, least=0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

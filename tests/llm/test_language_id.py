@@ -104,3 +104,26 @@ def test_every_language_is_learned(spark):
     assert len({lang for lang, _ in training_sample(docs)}) == 100
     few = training_sample(docs, most=100)
     assert few == training_sample(docs.repartition(3), most=100) and len(few) < 400
+
+
+def test_the_pipeline_goes_on_with_the_language_told(spark, monkeypatch):
+    """The network decides which rows stay and what later stages read as ``lang``."""
+    import corpus_pipeline
+    from tidemark.llm import language_id
+
+    words = {"en": "the cat and the dog went home with them", "de": "der hund und die katze sind nach hause gegangen"}
+    rows = [(i, f"{words[lang]} {i}", lang, "s") for i in range(60) for lang in [("en", "de")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    unlabelled = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.col("lang")))
+    assert unlabelled.where("lang is null").count() > 5
+    kept = corpus_pipeline.language_id(spark, unlabelled, "").collect()
+    want = {i: lang for i, _, lang, _ in rows}
+    assert len(kept) == 60 and sum(r.lang == want[r.doc_id] for r in kept) >= 54
+
+    class Unsure(ByteNetwork):
+        def probabilities(self, x, valid):
+            return np.full((x.shape[1], x.shape[0], 3), 1 / 3, np.float32)
+
+    monkeypatch.setattr(language_id, "train", lambda sample: Unsure(["a", "b", "c"], hidden=2))
+    assert corpus_pipeline.language_id(spark, docs, "").count() == 0
+    assert keep_identified(docs).count() == 60

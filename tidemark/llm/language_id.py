@@ -281,14 +281,15 @@ def identify(docs: DataFrame, model: ByteNetwork | None, key: str = "doc_id") ->
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """Rows of ``docs`` whose language is told with a score of ``least`` or more; ``und`` goes.
+    """Rows of ``docs`` whose language is told with a score of ``least`` or more; ``und`` goes, and
+    ``lang`` becomes the language told.
 
     The whole row travels through the labelling, so repeated and null ids need no join.
     """
     model = train(training_sample(docs))
     predict = _predict(model)
     names = docs.columns
-    at = names.index("text")
+    at, lang_at = names.index("text"), names.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=1 << 20):
@@ -296,7 +297,8 @@ def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
             told = pa.concat_tables([pa.Table.from_batches([b]) for b in predict([pair])])
             score = told.column("score").to_numpy()
             ok = (score >= least) & (np.array(told.column("lang_pred").to_pylist(), dtype=object) != UNKNOWN)
-            yield batch.filter(pa.array(ok))
+            label = told.column("lang_pred").combine_chunks().cast(batch.schema.field(lang_at).type)
+            yield batch.set_column(lang_at, batch.schema.field(lang_at), label).filter(pa.array(ok))
 
     return docs.mapInArrow(run, docs.schema)
 
