@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from conftest import SF01
+from tidemark.llm import embedding_dedup
 from tidemark.llm.embedding_dedup import bucket_keys, bucket_plan, bucket_probes, bucket_tables, near_vectors, op7_embedding_dedup, rotate
 
 
@@ -116,3 +117,39 @@ def test_topics_without_links(spark):
     rows += [(2000 + i, (np.array(rows[i][1]) + 0.02 * rng.normal(size=64)).tolist()) for i in range(0, 1600, 40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
     assert got(near_vectors(df)) == brute(rows)
+
+
+def test_keys_of_a_vector_do_not_grow_with_the_table(spark, monkeypatch):
+    plans, keys = [], embedding_dedup._keys
+    monkeypatch.setattr(embedding_dedup, "_keys", lambda *plan: plans.append(plan) or keys(*plan))
+    rng = np.random.default_rng(8)
+    for n in (200, 1000):
+        rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 64)))]
+        assert near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).count() == n
+    plans += [embedding_dedup.work_plan(lambda k: n / 128**k, n, 64) for n in (10_256, 51_282)]
+    assert all(tables * probes <= 20 for _, tables, probes in plans) and len(set(plans)) == 1
+    large = embedding_dedup.work_plan(lambda k: 1e6 / 128**k, 1_000_000, 64)
+    assert large[0] == 2 and large[1] * large[2] <= 60
+    # Vectors that lean together get more hashes, copies of one another do not.
+    assert embedding_dedup.work_plan(lambda k: 20_000 / 10**k, 50_000, 64)[0] == 2
+    assert embedding_dedup.work_plan(lambda k: 20_000, 50_000, 64)[0] == 1
+
+
+@pytest.mark.parametrize("hashes, probes", [(1, 3), (2, 6)])
+def test_pairs_that_meet_often_count_once(spark, monkeypatch, hashes, probes):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)))]
+    rows += [(400 + i, (np.array(rows[i][1]) + 0.1 * rng.normal(size=6)).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert got(near_vectors(df, tables=12, probes=probes, hashes=hashes)) == brute(rows)
+
+
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_near_pairs_meet(hashes):
+    x, y = pairs_at(64)
+    probes = embedding_dedup.near_probes(hashes)
+    tables = bucket_tables(hashes, 64, probes=probes, recall=embedding_dedup.MEET, least=1)
+    a, b = bucket_keys(x, hashes, tables, probes), bucket_keys(y, hashes, tables, probes)
+    met = (a == b[:, :, :1]).any(axis=(1, 2)) | (b == a[:, :, :1]).any(axis=(1, 2))
+    assert met.mean() >= 0.995

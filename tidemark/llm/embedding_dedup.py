@@ -1,22 +1,23 @@
 """Near-duplicate vectors by cross-polytope hashing (operator 7).
 
 A vector is rotated by three rounds of random signs and a fast Hadamard transform; its hash is
-the axis it lies closest to, with its sign. ``hashes`` such hashes make a bucket of one of
-``TABLES`` or more tables, and each vector also probes the buckets with the next best axes; both
-grow with ``hashes``, so that links at the threshold are found with ``RECALL``. Equal vectors are
-one class, known by its fingerprint pair. A probe is tied to the smallest class that lives in its
-bucket; the components of the ties are compared exactly, in double precision and in blocks, so no
-task holds a whole group and no list of pairs is made: a block returns link counts and a spanning
-forest.
+the axis it lies closest to, with its sign. ``hashes`` such hashes make a bucket of one of several
+tables; a vector lives in one bucket of a table and visits those with the next best axes. Tables
+are as many as ``MEET`` asks for at the threshold, and ``hashes`` as few as the vectors that share
+a bucket allow (``work_plan``). Equal vectors are one class, known by its fingerprint pair. Those
+that live in a bucket are compared with all that live there or visit it, exactly, in double
+precision and in blocks, so no task holds a whole bucket and no list of pairs is made: a block
+returns link counts and a spanning forest. A pair counts in the first bucket where it meets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.llm._common import U64, _BASE, arrow_map, mix, sorted_groups, table, written
@@ -30,7 +31,13 @@ PROBES = 21
 RECALL = 0.99
 #: Expected unrelated vectors a vector meets, were the buckets even; real ones lean together.
 STRAY = 5e-4
-BLOCK = 256
+#: Share of pairs at the threshold that meet, where those who meet are compared at once.
+MEET = 0.999
+#: Making and moving a key of a vector takes about the time of so many comparisons of two vectors.
+KEY_COST = 300
+BLOCK = 512
+#: Numbers in a temporary array of a task.
+PIECE = 1 << 20
 COSINE = 0.9
 
 
@@ -86,13 +93,19 @@ def bucket_keys(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int =
     return out
 
 
-def bucket_probes(hashes: int) -> int:
+def near_probes(hashes: int) -> int:
     """Probes for ``hashes`` hashes: all that change one axis, or two by one rank."""
-    return max(PROBES, 1 + 2 * hashes + hashes * (hashes - 1) // 2)
+    return 1 + 2 * hashes + hashes * (hashes - 1) // 2
+
+
+def bucket_probes(hashes: int) -> int:
+    """``near_probes``, or ``PROBES`` where there are more."""
+    return max(PROBES, near_probes(hashes))
 
 
-def bucket_tables(hashes: int, width: int, cosine: float = COSINE, probes: int | None = None) -> int:
-    """Tables in which pairs at ``cosine`` meet with ``RECALL``, from the share that meets in one table.
+def bucket_tables(hashes: int, width: int, cosine: float = COSINE, probes: int | None = None,
+                  recall: float = RECALL, least: int = TABLES) -> int:
+    """Tables in which pairs at ``cosine`` meet with ``recall``, from the share that meets in one table.
 
     The share is measured on random pairs of vectors of ``width`` components.
     """
@@ -107,7 +120,7 @@ def bucket_tables(hashes: int, width: int, cosine: float = COSINE, probes: int |
     a, b = bucket_keys(x, hashes, TABLES, probes), bucket_keys(y, hashes, TABLES, probes)
     met = (a == b[:, :, :1]).any(axis=2) | (b == a[:, :, :1]).any(axis=2)
     share = max(float(met.mean()), 1 / met.size)
-    return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - min(share, 0.999))))
+    return max(least, math.ceil(math.log(1 - recall) / math.log(1 - min(share, 0.999))))
 
 
 def bucket_plan(vectors: int, width: int, cosine: float = COSINE, tables: int | None = None,
@@ -125,15 +138,38 @@ def bucket_plan(vectors: int, width: int, cosine: float = COSINE, tables: int |
         hashes += 1
 
 
+def work_plan(load: Callable[[int], float], vectors: int, width: int, cosine: float = COSINE, tables: int | None = None,
+              probes: int | None = None) -> tuple[int, int, int]:
+    """(hashes, tables, probes) of least work, given ``load(hashes)``, the mean number living in a vector's bucket.
+
+    More hashes make smaller buckets but more keys. As ``load`` is measured, vectors that lean
+    together get more hashes; ``bucket_plan`` bounds them, what then still meets is alike.
+    """
+    most = bucket_plan(vectors, width, cosine, tables, probes)[0]
+    best: tuple[float, int, int, int] | None = None
+    for hashes in range(1, most + 1):
+        wanted = probes or near_probes(hashes)
+        made = tables or bucket_tables(hashes, width, cosine, wanted, MEET, 1)
+        if best and made * wanted * KEY_COST >= best[0]:
+            break
+        cost = made * wanted * (KEY_COST + load(hashes))
+        if not best or cost < best[0]:
+            best = cost, hashes, made, wanted
+    return best[1:]
+
+
 def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, raw vectors in double precision) of each width; unusable rows are left out."""
-    values = batch.column(1).to_pylist()
-    by: dict[int, list[int]] = {}
-    for i, v in enumerate(values):
-        if v and all(c is not None and math.isfinite(c) for c in v) and any(v):
-            by.setdefault(len(v), []).append(i)
-    for rows in by.values():
-        yield np.array(rows), np.array([values[i] for i in rows], dtype=np.float64)
+    column = batch.column(batch.schema.get_field_index("embedding"))
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == width)
+        x = values[starts[rows][:, None] + np.arange(width)]
+        good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+        if good.any():
+            yield rows[good], x[good]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -158,40 +194,71 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["vec_id", "embedding", "f1", "f2"])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], each: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, row numbers, unit vectors), few enough that ``each`` numbers for each of them stay small."""
+    for batch in batches:
+        for rows, x in _vectors(batch):
+            some = max(1, PIECE // max(each, x.shape[1]))
+            for a in range(0, len(rows), some):
+                yield batch, rows[a:a + some], _unit(x[a:a + some])
+
+
+def _homes(hashes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, x in _pieces(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(x, hashes, 1, 1).ravel().view(np.int64))], names=["key"])
+    return run
+
+
 def _keys(hashes: int, tables: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, x in _vectors(batch):
-                some = max(1, 1000 * TABLES * PROBES // (tables * probes))
-                for a in range(0, len(rows), some):
-                    keys = bucket_keys(_unit(x[a:a + some]), hashes, tables, probes)
-                    each = keys.shape[1] * keys.shape[2]
-                    ids = batch.column(0).take(pa.array(np.repeat(rows[a:a + some], each)))
-                    home = np.tile(np.arange(each) % keys.shape[2] == 0, len(keys))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64)), pa.array(home)],
-                                                     names=["node", "key", "home"])
+        for batch, rows, x in _pieces(batches, tables * probes):
+            keys = bucket_keys(x, hashes, tables, probes).reshape(len(x), -1).view(np.int64)
+            ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1])
+            kept = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
+                                             names=[*kept.schema.names, "keys"])
     return run
 
 
-def _links(cosine: float):
+def _first(keys: np.ndarray, one: np.ndarray, two: np.ndarray, at: int, key: int) -> np.ndarray:
+    """Whether a pair (``one`` lives in bucket ``key`` of table ``at``, ``two`` is there) met in no bucket before.
+
+    ``keys`` (rows x tables x probes) has a row's own bucket first. Where both visit each other in
+    the table, the bucket of the smaller key comes first.
+    """
+    new = (keys[two, at, 0] >= key) | (keys[one, at] != keys[two, at, :1]).all(axis=1)
+    for t in range(at):
+        left = np.flatnonzero(new)
+        a, b = keys[one[left], t], keys[two[left], t]
+        new[left] = (a != b[:, :1]).all(axis=1) & (b != a[:, :1]).all(axis=1)
+    return new
+
+
+def _links(cosine: float, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["root", "i", "j"]):
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            block, nodes = group.column("block").to_numpy(), group.column("node").to_numpy()
-            copies = group.column("copies").to_numpy()
-            batch = group.select(["node", "embedding"]).combine_chunks().to_batches()[0]
+        for group in sorted_groups(batches, ["key", "i", "j"]):
+            group = group.combine_chunks()
+            key, at = group.column("key")[0].as_py(), group.column("at")[0].as_py() // probes
+            nodes, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
+            lives, first, second = (group.column(c).to_numpy() for c in ("home", "first", "second"))
+            if not first.any() or not second.any():
+                continue
+            keys = group.column("keys").chunk(0).flatten().to_numpy().reshape(len(nodes), -1, probes)
             edges, counts = [], np.zeros(len(nodes), np.int64)
-            for rows, x in _vectors(batch):
+            for rows, x in _vectors(group.select(["embedding"]).to_batches()[0]):
                 x = _unit(x)
-                one, two = np.flatnonzero(block[rows] == i), np.flatnonzero(block[rows] == j)
-                hit = x[one] @ x[two].T >= cosine
-                if i == j:
-                    np.fill_diagonal(hit, False)
-                counts[rows[one]] += hit.astype(np.int64) @ copies[rows[two]]
-                if i != j:
-                    counts[rows[two]] += hit.T.astype(np.int64) @ copies[rows[one]]
-                pairs = np.argwhere(hit)
-                edges += forest(np.stack([rows[one[pairs[:, 0]]], rows[two[pairs[:, 1]]]], axis=1), len(nodes))
+                one, two = np.flatnonzero(first[rows]), np.flatnonzero(second[rows])
+                a, b = np.nonzero(x[one] @ x[two].T >= cosine)
+                a, b = rows[one[a]], rows[two[b]]
+                # Two that live here meet in both orders.
+                once = ~lives[b] | (nodes[a] < nodes[b])
+                a, b = a[once], b[once]
+                new = _first(keys, a, b, at, key)
+                a, b = a[new], b[new]
+                np.add.at(counts, a, copies[b])
+                np.add.at(counts, b, copies[a])
+                edges += forest(np.stack([a, b], axis=1), len(nodes))
             linked = np.flatnonzero(counts)
             if len(linked):
                 e = np.array(edges)
@@ -203,13 +270,33 @@ def _links(cosine: float):
     return run
 
 
+def _cells(spots: DataFrame) -> DataFrame:
+    """Rows (key, at, home, node, i, j, first, second) of blocks ``i`` of those that live in a bucket by ``j`` of all there.
+
+    ``spots(node, key, at, home)`` are the buckets of the vectors. ``first`` and ``second`` say
+    whether a row is in block i or j of its cell; buckets where none can meet are left out.
+    """
+    sizes = (spots.groupBy("key").agg(F.count_if("home").alias("living"), F.count(F.lit(1)).alias("all"))
+             .where("living > 0 and `all` > 1")
+             .select("key", F.ceil(F.col("living") / BLOCK).cast("int").alias("rows"),
+                     F.ceil(F.col("all") / BLOCK).cast("int").alias("columns")))
+    return (spots.join(sizes, "key")
+            .withColumn("row", F.expr("cast(pmod(xxhash64(node), rows) as int)"))
+            .withColumn("column", F.expr("cast(pmod(xxhash64(node), columns) as int)"))
+            .select("key", "at", "home", "node", F.expr("""inline(concat(
+                if(home, transform(sequence(0, columns - 1), j -> struct(row as i, j as j, true as first, j = column as second)),
+                         array()),
+                transform(filter(sequence(0, rows - 1), i -> not home or i != row),
+                          i -> struct(i as i, column as j, false as first, true as second))))""")))
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int | None = None,
                  hashes: int | None = None) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, ...)``: n_links, component_id and kept.
 
-    ``hashes`` grows with the logarithm of the number of vectors, so that a vector meets fewer
-    than ``STRAY`` unrelated ones in all its buckets and the components stay those of near copies.
-    ``tables`` and ``probes`` grow with it, so that recall at ``cosine`` holds for any table size.
+    ``hashes`` grows with the logarithm of the number of vectors that share a bucket, so that
+    comparing them takes no more than the keys of smaller buckets would; ``tables`` and ``probes``
+    grow with it, so that recall at ``cosine`` holds for any table size.
 
     * Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
     * Vectors of different width do not link. Equal vectors are one class and link with each other.
@@ -227,23 +314,26 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None
                     .agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.any_value("embedding").alias("embedding"))
                     .withColumn("node", F.monotonically_increasing_id()), "heads")
     width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    count = heads.count()
+
+    def load(k: int) -> float:
+        living = arrow_map(heads.select("embedding"), _homes(k), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        return (living.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0) / max(1, count)
+
     if hashes is None:
-        hashes, tables, probes = bucket_plan(heads.count(), width, cosine, tables, probes)
+        hashes, tables, probes = work_plan(load, count, width, cosine, tables, probes)
     else:
         probes = probes or bucket_probes(hashes)
         tables = tables or bucket_tables(hashes, width, cosine, probes)
-    keys = written(arrow_map(heads.select("node", "embedding"), _keys(hashes, tables, probes), "node long, key long, home boolean"),
-                   "keys")
-    homes = keys.where("home").groupBy("key").agg(F.min("node").alias("first"))
-    ties = keys.join(homes, "key").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    groups = written(connected_components(ties, "candidates"), "groups")
-    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = (groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-              .join(heads.select("node", "copies", "embedding"), "node")
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node",
-                      "copies", "embedding"))
-    found = written(arrow_map(placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), _links(cosine),
+    probes = len(probe_plan(hashes, probes))
+    some = heads.select("node", "copies", "embedding")
+    keyed = written(arrow_map(some, _keys(hashes, tables, probes), T.StructType(
+        [*some.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))])), "keys")
+    spots = (keyed.select("node", "keys", F.posexplode("keys").alias("at", "key"))
+             .where(F.array_position("keys", F.col("key")) == F.col("at") + 1)
+             .select("node", "key", "at", (F.col("at") % probes == 0).alias("home")))
+    placed = _cells(spots).join(keyed, "node")
+    found = written(arrow_map(placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _links(cosine, probes),
                               "a long, b long, n long"), "links")
     # Links between classes, and the rows of a repeated vec_id, meet at the smallest vec_id of their classes.
     low = heads.select(F.col("node").alias("a"), "low")
